@@ -153,11 +153,13 @@ def nearest_rank(
     to a rank in thousandths; ranks are computed in integers.
     """
     part = list(keys) or [ALL]
-    base = df.where(F.col(value).isNotNull())
-    base = base if keys else base.withColumn(ALL, F.lit(0))
+    base = df if keys else df.withColumn(ALL, F.lit(0))
     magnitude = F.floor(F.log1p(F.abs(F.col(value).cast("double"))) / F.log(F.lit(1.02)))
     band = (F.signum(F.col(value).cast("double")) * magnitude).cast("bigint")
-    counted = base.groupBy(*part, value).agg(F.count(F.lit(1)).alias("__freq")).withColumn("__band", band)
+    # Nulls are dropped by their zero count, after the aggregate: a filter before it would repeat
+    # the value expression, which may be a costly parse.
+    counted = base.groupBy(*part, value).agg(F.count(value).alias("__freq"), F.max(band).alias("__band"))
+    counted = counted.where(F.col("__freq") > 0)
 
     whole = Window.partitionBy(*part)
     upto = whole.orderBy("__band").rowsBetween(Window.unboundedPreceding, Window.currentRow)
