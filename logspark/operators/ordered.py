@@ -45,8 +45,8 @@ def running(
 ) -> DataFrame:
     """Add running values over ``order`` within ``keys``.
 
-    ``specs`` maps an output name to ``("sum" | "max" | "last", expression)``; ``last`` skips
-    nulls. ``chunk`` is a column that never decreases along ``order``; keys must not be null.
+    ``specs`` maps an output name to ``(kind, expression)`` with kind ``sum``, ``max``, ``last``
+    (skips nulls) or ``max_before`` (the maximum of the earlier rows only). ``chunk`` is a column that never decreases along ``order``; keys must not be null.
     ``peers`` includes rows with equal order values (a RANGE frame).
     """
     part = [*keys, chunk]
@@ -69,6 +69,11 @@ def running(
             carry.append(F.max(total).over(earlier).alias(before))
             local[name] = F.max(expr).over(frame)
             final[name] = F.greatest(F.col(name), F.col(before))
+        elif kind == "max_before":
+            summary.append(F.max(expr).alias(total))
+            carry.append(F.max(total).over(earlier).alias(before))
+            local[name] = F.max(expr).over(ordered.rowsBetween(begin, -1))
+            final[name] = F.greatest(F.col(name), F.col(before))
         elif kind == "last":
             summary.append(F.max_by(expr, F.when(expr.isNotNull(), position)).alias(total))
             carry.append(F.last(total, ignorenulls=True).over(earlier).alias(before))
@@ -107,6 +112,23 @@ def with_lookback(df: DataFrame, keys: Sequence[str], position: str, rows: int,
     return df.withColumn("__copy", F.explode(copies)).select(*df.columns, "__copy.*")
 
 
+def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: int, *, chunk_seconds: int = 86400) -> DataFrame:
+    """Runs of instants at most ``gap`` apart: start, end and row count per run.
+
+    Rows are counted per instant first, so repeated rows of one instant never gather in a task.
+    """
+    kind = type_of(df, ts)
+    us, start = F.col("__us"), F.col("__start")
+    ticks = df.groupBy(*keys, micros(F.col(ts)).alias("__us")).agg(F.count(F.lit(1)).alias("__rows"))
+    ticks = ticks.withColumn("__chunk", F.floor(us / (chunk_seconds * 1_000_000)).cast("bigint"))
+    linked = running(ticks, keys, "__chunk", ["__us"], {"__before": ("max_before", us)})
+    opens = F.col("__before").isNull() | (us - F.col("__before") > gap_seconds * 1_000_000)
+    begun = running(linked, keys, "__chunk", ["__us"], {"__start": ("max", F.when(opens, us))})
+    return begun.groupBy(*keys, "__start").agg(F.max("__us").alias("__end"), F.sum("__rows").alias("n")).select(
+        *keys, from_micros(start, kind).alias("starts_at"), from_micros(F.col("__end"), kind).alias("last_seen"), "n"
+    )
+
+
 def rolling_count(
     df: DataFrame,
     keys: Sequence[str],

@@ -1,6 +1,6 @@
 """Registered queries; importing this package fills the registry."""
 
-from logspark.plans import parse_plans, search_plans  # noqa: F401
+from logspark.plans import anomaly_plans, parse_plans, search_plans  # noqa: F401
 from logspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
