@@ -46,7 +46,8 @@ def running(
     """Add running values over ``order`` within ``keys``.
 
     ``specs`` maps an output name to ``(kind, expression)`` with kind ``sum``, ``max``, ``last``
-    (skips nulls) or ``max_before`` (the maximum of the earlier rows only). ``chunk`` is a column that never decreases along ``order``; keys must not be null.
+    (skips nulls) or ``max_before`` (the maximum of the earlier rows only). ``chunk`` is a column
+    that never decreases along ``order``. Rows with a null key form no group and are left out.
     ``peers`` includes rows with equal order values (a RANGE frame).
     """
     part = [*keys, chunk]
@@ -83,7 +84,8 @@ def running(
             raise ValueError(f"unknown running kind {kind!r}")
 
     carried = df.groupBy(*part).agg(*summary).select(*part, *carry)
-    out = df.withColumns(local).join(carried, part, "left").withColumns(final)
+    # Inner, so that both sides get the same derived filters and share one shuffle of the rows.
+    out = df.withColumns(local).join(carried, part).withColumns(final)
     return out.select(*df.columns, *specs)
 
 
@@ -166,21 +168,23 @@ def rolling_count(
 
 
 def nearest_rank(
-    df: DataFrame, keys: Sequence[str], value: str, permille: Mapping[str, int], *, count: str = "n"
+    df: DataFrame, keys: Sequence[str], value: str, permille: Mapping[str, int], *, count: str = "n", weight: str | None = None
 ) -> DataFrame:
     """Exact nearest-rank percentiles: element ``ceil(p * n)`` of the sorted values.
 
     Values are counted per distinct value, then per coarse value band. The band totals say which
     band holds each rank, so only those bands are ever sorted. ``permille`` maps an output name
-    to a rank in thousandths; ranks are computed in integers.
+    to a rank in thousandths; ranks are computed in integers. ``weight`` names a column that holds
+    how many rows a row stands for.
     """
     part = list(keys) or [ALL]
     base = df if keys else df.withColumn(ALL, F.lit(0))
     magnitude = F.floor(F.log1p(F.abs(F.col(value).cast("double"))) / F.log(F.lit(1.02)))
     band = (F.signum(F.col(value).cast("double")) * magnitude).cast("bigint")
+    freq = F.sum(F.when(F.col(value).isNotNull(), F.col(weight)).otherwise(0)) if weight else F.count(value)
     # Nulls are dropped by their zero count, after the aggregate: a filter before it would repeat
     # the value expression, which may be a costly parse.
-    counted = base.groupBy(*part, value).agg(F.count(value).alias("__freq"), F.max(band).alias("__band"))
+    counted = base.groupBy(*part, value).agg(freq.alias("__freq"), F.max(band).alias("__band"))
     counted = counted.where(F.col("__freq") > 0)
 
     whole = Window.partitionBy(*part)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logspark.functions.text import with_line_figures
 from logspark.operators.metrics import PERCENTILES, count_if
 from logspark.operators.ordered import ALL, nearest_rank
+from logspark.session import cut_lineage
 
 # Targets of the report.
 P95_TARGET_MS = 500
@@ -19,6 +20,8 @@ CPU_TARGET = 0.8
 MEMORY_TARGET = 0.85
 LOAD_TARGET = 1.0
 
+SYSTEM = ("cpu", "memory", "load")
+
 
 def performance_report(lines: DataFrame, line: str = "value", *, by: Sequence[str] = ()) -> DataFrame:
     """One row per group: requests, errors, error rate, throughput, bytes, latency ranks, system averages.
@@ -32,16 +35,24 @@ def performance_report(lines: DataFrame, line: str = "value", *, by: Sequence[st
     base = base if by else base.withColumn(ALL, F.lit(0))
     figures = with_line_figures(base.select(*part, line), line)
     seconds = F.greatest(F.lit(60), F.ceil(F.col("lines") / 50))
-    volume = figures.groupBy(*part).agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.count("duration_ms").alias("requests"),
-        count_if(F.col("is_error")).alias("errors"),
+    # One row per distinct duration, written to the shared folder: the text is read and matched
+    # once, although totals and ranks both need it.
+    per_duration = cut_lineage(
+        figures.groupBy(*part, "duration_ms").agg(
+            F.count(F.lit(1)).alias("lines"),
+            count_if(F.col("is_error")).alias("errors"),
+            F.sum("bytes").alias("bytes"),
+            *[agg(c).alias(f"{c}_{n}") for c in SYSTEM for n, agg in (("sum", F.sum), ("n", F.count))],
+        )
+    )
+    volume = per_duration.groupBy(*part).agg(
+        F.sum("lines").alias("lines"),
+        F.coalesce(F.sum(F.when(F.col("duration_ms").isNotNull(), F.col("lines"))), F.lit(0)).alias("requests"),
+        F.sum("errors").alias("errors"),
         F.coalesce(F.sum("bytes"), F.lit(0.0)).cast("bigint").alias("total_bytes"),
-        F.avg("cpu").alias("cpu"),
-        F.avg("memory").alias("memory"),
-        F.avg("load").alias("load"),
+        *[(F.sum(f"{c}_sum") / F.sum(f"{c}_n")).alias(c) for c in SYSTEM],
     )
-    ranks = nearest_rank(figures, part, "duration_ms", PERCENTILES, count="__n").drop("__n")
+    ranks = nearest_rank(per_duration, part, "duration_ms", PERCENTILES, count="__n", weight="lines").drop("__n")
     return volume.join(ranks, part, "left").select(
         *by,
         "requests",
@@ -50,9 +61,7 @@ def performance_report(lines: DataFrame, line: str = "value", *, by: Sequence[st
         (F.col("requests") / seconds).alias("throughput_rps"),
         "total_bytes",
         *[F.coalesce(F.col(p), F.lit(0.0)).alias(p) for p in PERCENTILES],
-        "cpu",
-        "memory",
-        "load",
+        *SYSTEM,
     )
 
 
