@@ -58,16 +58,34 @@ USERS = """
 SELECT CAST(c_custkey AS STRING) AS user_name, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'super-admin' WHEN 'BUILDING' THEN 'admin' WHEN 'FURNITURE' THEN 'analyst' WHEN 'HOUSEHOLD' THEN 'operator' ELSE 'viewer' END AS role, c_acctbal > 0 AS is_active
 FROM customer"""
 
+# Log messages as text lines: errors open a stack trace of two indented lines, warnings are indented notes.
+TRACE_LINES = """
+SELECT seq * 4 AS line_no, concat('host-', CAST(seq % 4 AS STRING)) AS source,
+ CASE level WHEN 'ERROR' THEN concat('java.lang.IllegalStateException: ', message) WHEN 'WARN' THEN concat('  note ', message) ELSE message END AS value FROM logs
+UNION ALL SELECT seq * 4 + 1, concat('host-', CAST(seq % 4 AS STRING)), concat('    at com.shop.', service, '.run(Main.java)') FROM logs WHERE level = 'ERROR'
+UNION ALL SELECT seq * 4 + 2, concat('host-', CAST(seq % 4 AS STRING)), '    ... 3 more' FROM logs WHERE level = 'ERROR'"""
+
+# Intake messages of three topics; some are not JSON.
+MESSAGES = """
+SELECT event_id, ts AS timestamp, CASE event_id % 4 WHEN 0 THEN 'app-metrics' WHEN 1 THEN 'traces' ELSE 'logs' END AS topic,
+ CASE event_id % 4 WHEN 0 THEN concat('{"metricName":"', event_type, '","value":', CAST(user_id AS STRING), ',"labels":{"user":"', CAST(user_id AS STRING), '"}}')
+ WHEN 1 THEN concat('{"traceID":"t', CAST(event_id AS STRING), '","spanID":"s1","operation":"', event_type, '","start":', CAST(event_id AS STRING), ',"end":', CAST(event_id + user_id AS STRING), ',"process":{"serviceName":"svc-', CAST(user_id % 8 AS STRING), '"}}')
+ WHEN 2 THEN concat('{"time":"2024-01-01T00:00:00Z","severity":"', CASE event_type WHEN 'error' THEN 'CRITICAL' ELSE 'info' END, '","msg":"', event_type, '","serviceName":"svc-', CAST(user_id % 8 AS STRING), '","attributes":{"a":"1","b":"2"},"tags":{"b":"3"}}')
+ ELSE CASE WHEN event_id % 3 = 0 THEN concat('{"broken":', event_type) ELSE concat('{"message":"', event_type, '","level":"WARN"}') END END AS value
+FROM events"""
+
 VIEWS = {
     "logs": LOGS,
     "lines": LINES,
+    "trace_lines": TRACE_LINES,
+    "messages": MESSAGES,
     "spans": SPANS,
     "audit": AUDIT,
     "metrics": METRICS,
     "deployments": DEPLOYMENTS,
     "users": USERS,
 }
-NEEDS = {"lines": ("logs",), "metrics": ("logs",)}
+NEEDS = {"lines": ("logs",), "trace_lines": ("logs",), "metrics": ("logs",)}
 
 
 def _ordered(names: tuple[str, ...]) -> list[str]:
