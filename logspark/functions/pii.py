@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logspark.functions.once import spread
+
 # Record patterns, applied in this order.
 RECORD_PATTERNS = {
     "EMAIL": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
@@ -34,16 +36,50 @@ TEXT_PATTERNS = {
 NOT_REDACTED = ("ipAddress",)
 MODES = ("hash", "mask", "remove")
 
+# Types whose matches can only begin (or end) with a letter, digit or underscore: one look-around
+# says the same as a full word boundary there.
+WORD_FIRST = {"SSN", "CREDIT_CARD", "IP_ADDRESS", "MAC_ADDRESS", "API_KEY", "JWT_TOKEN", "UUID", "PASSWORD", "USERNAME", "ssn", "creditCard", "phone", "ipAddress", "apiKey"}
+WORD_LAST = (WORD_FIRST | {"PHONE"}) - {"JWT_TOKEN"}
+# Every match of a type holds one of these texts (lower case); a plain search for them comes first.
+REQUIRED = {
+    "EMAIL": ("@",), "email": ("@",), "IP_ADDRESS": (".",), "ipAddress": (".",), "JWT_TOKEN": ("eyj",), "UUID": ("-",),
+    "PASSWORD": ("password", "passwd", "pwd"), "USERNAME": ("user", "login"),
+}
+DIGITS = {"PHONE", "SSN", "CREDIT_CARD", "IP_ADDRESS", "ssn", "creditCard", "phone", "ipAddress"}
+
 # Word boundaries over ASCII letters only, whatever the Java version takes as a word character.
+NOT_AFTER_WORD, NOT_BEFORE_WORD = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 ASCII_BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
-def java(pattern: str) -> str:
-    return pattern.replace(r"\b", ASCII_BOUNDARY)
+def java(kind: str, pattern: str) -> str:
+    """The pattern with its word boundaries spelled out for Java."""
+    flags = "(?i)" if pattern.startswith("(?i)") else ""
+    body = pattern[len(flags):]
+    if kind in WORD_FIRST and body.startswith(r"\b"):
+        body = NOT_AFTER_WORD + body[2:]
+    if kind in WORD_LAST and body.endswith(r"\b"):
+        body = body[:-2] + NOT_BEFORE_WORD
+    return flags + body.replace(r"\b", ASCII_BOUNDARY)
+
+
+def possible(text: Column, kind: str) -> Column:
+    """A cheap necessary condition for a match of a type."""
+    out = F.lit(True)
+    if kind in REQUIRED:
+        out = F.lit(False)
+        for word in REQUIRED[kind]:
+            out = out | F.lower(text).contains(word)
+    return out & text.rlike("[0-9]") if kind in DIGITS else out
+
+
+def holds(text: Column, kind: str, pattern: str) -> Column:
+    return possible(text, kind) & text.rlike(java(kind, pattern))
 
 
-def all_matches(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
+def all_matches(text: Column, kind: str, pattern: str) -> Column:
+    found = F.regexp_extract_all(text, F.lit(java(kind, pattern)), F.lit(0))
+    return F.when(possible(text, kind), found).otherwise(F.array().cast("array<string>"))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -51,10 +87,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def replace_matches(text: Column, pattern: str, token: Callable[[Column], Column]) -> Column:
+def replace_matches(text: Column, kind: str, pattern: str, token: Callable[[Column], Column]) -> Column:
     """Replace every match by a token computed from it: the pieces between matches, interleaved with tokens."""
-    pieces = F.split(text, java(pattern), -1)
-    tokens = F.transform(all_matches(text, pattern), token)
+    expression = java(kind, pattern)
+    pieces = F.split(text, expression, -1)
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(expression), F.lit(0)), token)
     return F.array_join(F.zip_with(pieces, tokens, lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), "")
 
 
@@ -93,13 +130,12 @@ def redacted(text: Column, mode: str = "hash", patterns: Mapping[str, str] = REC
         if not left:
             return current
         (kind, pattern), rest = left[0], left[1:]
-        hit = text.rlike(java(pattern))
-        step = F.when(hit, replace_matches(current, pattern, record_token(kind, mode))).otherwise(current)
+        step = F.when(holds(text, kind, pattern), replace_matches(current, kind, pattern, record_token(kind, mode))).otherwise(current)
         return _let(step, lambda v: chain(v, rest)) if rest else step
 
     any_hit = F.lit(False)
-    for pattern in patterns.values():
-        any_hit = any_hit | text.rlike(java(pattern))
+    for kind, pattern in patterns.items():
+        any_hit = any_hit | holds(text, kind, pattern)
     return F.when(any_hit, chain(text, list(patterns.items()))).otherwise(text)
 
 
@@ -109,7 +145,7 @@ def redacted_text(text: Column, mode: str = "hash", patterns: Mapping[str, str]
 
     def chain(current: Column, left: list[tuple[str, str]]) -> Column:
         (kind, pattern), rest = left[0], left[1:]
-        step = F.when(current.rlike(java(pattern)), replace_matches(current, pattern, text_token(kind, mode))).otherwise(current)
+        step = F.when(holds(current, kind, pattern), replace_matches(current, kind, pattern, text_token(kind, mode))).otherwise(current)
         return _let(step, lambda v: chain(v, rest)) if rest else step
 
     return chain(text, kinds)
@@ -131,19 +167,19 @@ def redact(df: DataFrame, mode: str = "hash", columns: Sequence[str] | None = No
                 if isinstance(inner.dataType, T.StringType):
                     base = out.get(field.name, c)
                     out[field.name] = base.withField(inner.name, redacted(c[inner.name], mode))
-    return df.withColumns(out)
+    return spread(df).withColumns(out)
 
 
 def detections(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), patterns: Mapping[str, str] = RECORD_PATTERNS) -> DataFrame:
     """One row per record, type and field with the number of matches."""
     cells = F.array(
         *[
-            F.struct(F.lit(kind).alias("type"), F.lit(c).alias("field"), F.size(all_matches(F.col(c), p)).cast("bigint").alias("n"))
+            F.struct(F.lit(kind).alias("type"), F.lit(c).alias("field"), F.size(all_matches(F.col(c), kind, p)).cast("bigint").alias("n"))
             for c in columns
             for kind, p in patterns.items()
         ]
     )
-    return df.select(*keep, F.explode(cells).alias("d")).select(*keep, "d.*").where(F.col("n") > 0)
+    return spread(df).select(*keep, F.explode(cells).alias("d")).select(*keep, "d.*").where(F.col("n") > 0)
 
 
 def census(df: DataFrame, columns: Sequence[str], patterns: Mapping[str, str] = RECORD_PATTERNS) -> DataFrame:
@@ -155,9 +191,9 @@ def census(df: DataFrame, columns: Sequence[str], patterns: Mapping[str, str] =
 
 def distinct_matches(df: DataFrame, text: str, keep: Sequence[str], patterns: Mapping[str, str] = TEXT_PATTERNS) -> DataFrame:
     """Distinct matches per record and type, one row each."""
-    cells = F.array(*[F.struct(F.lit(k).alias("type"), F.array_distinct(all_matches(F.col(text), p)).alias("found")) for k, p in patterns.items()])
+    cells = F.array(*[F.struct(F.lit(k).alias("type"), F.array_distinct(all_matches(F.col(text), k, p)).alias("found")) for k, p in patterns.items()])
     return (
-        df.select(*keep, F.explode(cells).alias("d"))
+        spread(df).select(*keep, F.explode(cells).alias("d"))
         .select(*keep, "d.type", F.explode("d.found").alias("match"))
     )
 

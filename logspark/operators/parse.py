@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions.levels import extract_level, syslog_level
-from logspark.functions.once import evaluated
+from logspark.functions.once import evaluated, spread
 from logspark.functions.text import found, service_in
 from logspark.functions.timefx import parse_timestamp
 
@@ -153,7 +153,7 @@ def read_fields(
     """Add ``format`` and the ``fields`` map of each line. ``formats`` are custom ones, tried after the built-in list."""
     all_formats = {**LINE_FORMATS, **(formats or {})}
     c = F.col(line)
-    typed = evaluated(df, {"format": detect_format(c, all_formats, base)})
+    typed = evaluated(spread(df), {"format": detect_format(c, all_formats, base)})
     fields = F.when(F.col("format") == "json", F.from_json(c, "map<string,string>"))
     fields = fields.when(F.col("format") == "rfc3164", syslog_fields(c))
     for name, text in all_formats.items():
@@ -172,10 +172,11 @@ def to_logs(parsed: DataFrame, line: str = "value", *, zone: str | None = None)
     levels = [_pick(n) for n in ("level", "severity", "loglevel", "priority")]
     duration = F.coalesce(_pick("response_time"), found(_pick("duration"), r"^(\d+)\s*(?:ms)?$", 1))
     keep = [c for c in parsed.columns if c not in (line, "format", "fields")]
-    return parsed.select(
+    timed = parsed.withColumn("__time", _pick("timestamp", "time", "ts", "time_local"))
+    return timed.select(
         *keep,
         "format",
-        parse_timestamp(_pick("timestamp", "time", "ts", "time_local"), zone=zone).alias("timestamp"),
+        parse_timestamp(F.col("__time"), zone=zone).alias("timestamp"),
         F.when(F.col("format") == "rfc3164", _pick("level")).otherwise(extract_level(levels, message)).alias("level"),
         message.alias("message"),
         F.coalesce(_pick("service", "serviceName", "hostname", "program"), service_in(message)).alias("service"),
@@ -204,7 +205,7 @@ def quarantine(logs: DataFrame) -> DataFrame:
 
 def format_counts(df: DataFrame, line: str = "value", **options) -> DataFrame:
     formats = {**LINE_FORMATS, **options.get("formats", {})}
-    return df.groupBy(detect_format(F.col(line), formats, options.get("base")).alias("format")).agg(F.count(F.lit(1)).alias("n"))
+    return spread(df).groupBy(detect_format(F.col(line), formats, options.get("base")).alias("format")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def app_entries(df: DataFrame, line: str = "value") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logspark.functions.once import spread
 from logspark.functions.text import with_line_figures
 from logspark.operators.metrics import PERCENTILES, count_if
 from logspark.operators.ordered import ALL, nearest_rank
@@ -33,7 +34,7 @@ def performance_report(lines: DataFrame, line: str = "value", *, by: Sequence[st
     part = list(by) or [ALL]
     base = lines.where(F.length(line) > 0)
     base = base if by else base.withColumn(ALL, F.lit(0))
-    figures = with_line_figures(base.select(*part, line), line)
+    figures = with_line_figures(spread(base.select(*part, line)), line)
     seconds = F.greatest(F.lit(60), F.ceil(F.col("lines") / 50))
     # One row per distinct duration, written to the shared folder: the text is read and matched
     # once, although totals and ranks both need it.

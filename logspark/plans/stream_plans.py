@@ -37,7 +37,7 @@ def ntz(df, *columns):
     "stream_error_burst",
     WITH_LOGS
     + f""", k AS (SELECT time_bucket(INTERVAL 20 MINUTE, timestamp) - to_minutes(20 * i::INTEGER) AS window_start FROM logs, (SELECT unnest(range(3)) AS i) WHERE level = 'ERROR')
- SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, count(*) AS errors FROM k WHERE window_start + INTERVAL 1 HOUR <= {CLOSED} GROUP BY 1 HAVING count(*) > 5""",
+ SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, count(*) AS errors FROM k WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM logs WHERE level = 'ERROR') - INTERVAL 10 MINUTE GROUP BY 1 HAVING count(*) > 5""",
 )
 def stream_error_burst(t):
     bursts = J.sliding_error_bursts(log_stream(t), width="1 hour", slide="20 minutes")
@@ -89,31 +89,33 @@ def stream_tail(t):
 
 @query(
     "stream_spikes",
-    """WITH w AS (SELECT event_type AS name, ts, event_id AS seq, value, avg(value) OVER p AS baseline, stddev_pop(value) OVER p AS sd, count(*) OVER p AS n
+    """WITH w AS (SELECT event_type AS name, ts, event_id AS seq, value, avg(value) OVER p AS baseline, stddev_pop(value) OVER p AS sd, count(*) OVER p AS n, min(ts) OVER p AS oldest
   FROM events WINDOW p AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
  SELECT name, ts, seq, value, round(baseline, 6) AS baseline, round(abs(value - baseline) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 5) AS z_score FROM w
- WHERE n = 10 AND abs(value - baseline) / CASE WHEN sd = 0 THEN 1 ELSE sd END > 3""",
+ WHERE n = 10 AND oldest > ts - INTERVAL 3 HOUR AND abs(value - baseline) / CASE WHEN sd = 0 THEN 1 ELSE sd END > 3""",
 )
 def stream_spikes(t):
     series = log_stream(t).select(F.col("event_type").alias("name"), F.col("timestamp").alias("ts"), "seq", "value")
-    found = ntz(J.run_available(J.spikes(series), "spikes"), "ts")
+    found = ntz(J.run_available(J.spikes(series, max_age_seconds=3 * 3600), "spikes"), "ts")
     return found.withColumns({"baseline": F.round("baseline", 6), "z_score": F.round("z_score", 5)})
 
 
-@query("stream_multiline")
+@query(
+    "stream_multiline",
+    WITH_LOGS
+    + """, e AS (SELECT *, concat('host-', seq % 4) AS source, lead(timestamp) OVER (PARTITION BY seq % 4 ORDER BY seq) AS nxt FROM logs)
+ SELECT source, seq * 4 AS line_no, CASE level WHEN 'ERROR' THEN concat('java.lang.IllegalStateException: ', message, chr(10), '    at com.shop.', service, chr(10), '    ... 3 more') ELSE message END AS value,
+ CASE level WHEN 'ERROR' THEN 3 ELSE 1 END::BIGINT AS lines FROM e
+ WHERE NOT (level = 'ERROR' AND nxt IS NULL AND timestamp + INTERVAL 5 SECOND >= (SELECT max(timestamp) FROM logs) - INTERVAL 1 MINUTE)""",
+)
 def stream_multiline(t):
-    """State machine with a five-second flush; checked against its batch form in the tests."""
+    """An entry opened by the last line of its source stays open until the watermark passes it."""
     logs = log_stream(t)
+    trace = F.array(F.concat(F.lit("java.lang.IllegalStateException: "), "message"), F.concat(F.lit("    at com.shop."), "service"), F.lit("    ... 3 more"))
     lines = logs.select(
-        F.concat(F.lit("host-"), (F.col("seq") % 4).cast("string")).alias("source"), "timestamp",
-        F.explode(
-            F.when(
-                F.col("level") == "ERROR",
-                F.array(F.concat(F.lit("java.lang.IllegalStateException: "), "message"), F.concat(F.lit("    at com.shop."), "service"), F.lit("    ... 3 more")),
-            ).otherwise(F.array("message"))
-        ).alias("value"),
-        F.col("seq").alias("line_no"),
-    )
+        F.concat(F.lit("host-"), (F.col("seq") % 4).cast("string")).alias("source"), "timestamp", "seq",
+        F.posexplode(F.when(F.col("level") == "ERROR", trace).otherwise(F.array("message"))).alias("pos", "value"),
+    ).select("source", "timestamp", (F.col("seq") * 4 + F.col("pos")).alias("line_no"), "value")
     return J.run_available(J.multiline_entries(lines), "multiline")
 
 

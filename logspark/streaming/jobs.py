@@ -52,10 +52,10 @@ def live_tail(logs: DataFrame, condition: Column) -> DataFrame:
 def sliding_error_bursts(
     logs: DataFrame, *, ts: str = "timestamp", width: str = "5 minutes", slide: str = "1 minute", above: int = BURST_ABOVE, watermark: str = WATERMARK, by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Sliding windows with more than ``above`` errors."""
+    """Sliding windows with more than ``above`` errors; the watermark follows the error records."""
     return (
-        logs.withWatermark(ts, watermark)
-        .where(F.col("level") == "ERROR")
+        logs.where(F.col("level") == "ERROR")
+        .withWatermark(ts, watermark)
         .groupBy(F.window(ts, width, slide).alias("w"), *by)
         .agg(F.count(F.lit(1)).alias("errors"))
         .where(F.col("errors") > above)
@@ -106,6 +106,10 @@ def alert_groups(alerts: DataFrame, *, ts: str = "ts", width: str = "30 seconds"
     )
 
 
+def _micros(times: pd.Series) -> pd.Series:
+    return times.astype("datetime64[us]").astype("int64")
+
+
 ENTRY_SCHEMA = "source STRING, line_no BIGINT, value STRING, lines BIGINT"
 ENTRY_STATE = "line_no BIGINT, value STRING, lines BIGINT, opened_ms BIGINT"
 
@@ -118,10 +122,10 @@ def _entries(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         state.remove()
         yield pd.DataFrame([(key[0], held[0], held[1], held[2])], columns=["source", "line_no", "value", "lines"])
         return
-    rows = pd.concat(list(batches)).sort_values("line_no")
+    rows = pd.concat(list(batches)).sort_values("line_no", kind="stable")
     more = rows["value"].str.match(CONTINUATION)
     starts = rows["value"].str.contains(START, regex=True)
-    at = (rows["timestamp"].astype("int64") // {"ns": 1_000_000, "us": 1000, "ms": 1}[getattr(rows["timestamp"].dt, "unit", "ns")]).tolist()
+    at = (_micros(rows["timestamp"]) // 1000).tolist()
     for no, text, m, s, ms in zip(rows["line_no"].tolist(), rows["value"].tolist(), more.tolist(), starts.tolist(), at):
         if held is not None and ms - held[3] >= FLUSH_SECONDS * 1000:
             done.append((key[0], held[0], held[1], held[2]))
@@ -157,30 +161,44 @@ def multiline_entries(lines: DataFrame, *, watermark: str = "1 minute") -> DataF
 
 
 SPIKE_SCHEMA = "name STRING, ts TIMESTAMP, seq BIGINT, value DOUBLE, baseline DOUBLE, z_score DOUBLE"
-SPIKE_STATE = "recent ARRAY<DOUBLE>"
+SPIKE_STATE = "recent ARRAY<DOUBLE>, at_us ARRAY<BIGINT>"
 
 
-def _spikes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rolling z-scores of one series; the state is its last values."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-    recent = list(state.get[0]) if state.exists else []
-    values = pd.Series(recent + rows["value"].tolist())
-    before = values.shift(1).rolling(SPIKE_ROWS)
-    mean, std = before.mean(), before.apply(lambda x: x.std(), raw=True)
-    z = (values - mean).abs() / std.where(std != 0, 1.0)
-    tail = slice(len(recent), None)
-    out = rows[["ts", "seq", "value"]].assign(name=key[0], baseline=mean[tail].to_numpy(), z_score=z[tail].to_numpy())
-    state.update((values.tail(SPIKE_ROWS).tolist(),))
-    state.setTimeoutDuration(3600 * 1000)
-    yield out[out["z_score"] > SPIKE_Z][["name", "ts", "seq", "value", "baseline", "z_score"]]
-
-
-def spikes(series: DataFrame) -> DataFrame:
-    """Streaming twin of the rolling z-score ``(name, ts, seq, value)``; idle series are forgotten after an hour."""
-    return series.groupBy("name").applyInPandasWithState(_spikes, SPIKE_SCHEMA, SPIKE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def _spikes_of(max_age_seconds: int):
+    max_age = max_age_seconds * 1_000_000
+
+    def spikes_of(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Rolling z-scores of one series; the state is its last values and their times."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
+        recent, at = (list(x) for x in state.get) if state.exists else ([], [])
+        values = pd.Series(recent + rows["value"].tolist())
+        times = pd.Series(at + _micros(rows["ts"]).tolist())
+        before = values.shift(1).rolling(SPIKE_ROWS)
+        mean, std = before.mean(), before.apply(lambda x: x.std(), raw=True)
+        z = ((values - mean).abs() / std.where(std != 0, 1.0)).where(times.shift(SPIKE_ROWS) > times - max_age)
+        tail = slice(len(recent), None)
+        out = rows[["ts", "seq", "value"]].assign(name=key[0], baseline=mean[tail].to_numpy(), z_score=z[tail].to_numpy())
+        state.update((values.tail(SPIKE_ROWS).tolist(), times.tail(SPIKE_ROWS).tolist()))
+        expiry = (int(times.iloc[-1]) + max_age) // 1000
+        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
+        yield out[out["z_score"] > SPIKE_Z][["name", "ts", "seq", "value", "baseline", "z_score"]]
+
+    return spikes_of
+
+
+def spikes(series: DataFrame, *, max_age_seconds: int = 3600, watermark: str = WATERMARK) -> DataFrame:
+    """Streaming twin of the rolling z-score ``(name, ts, seq, value)``.
+
+    A series keeps its last ten values; it is forgotten when the watermark has left them behind.
+    """
+    return (
+        series.withWatermark("ts", watermark)
+        .groupBy("name")
+        .applyInPandasWithState(_spikes_of(max_age_seconds), SPIKE_SCHEMA, SPIKE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    )
 
 
 def fan_out(stream: DataFrame, outputs: dict[str, Callable[[DataFrame], DataFrame]], path: str, checkpoint: str, *, trigger: dict[str, Any] | None = None):
