@@ -46,7 +46,10 @@ def seconds_after(at: Column, seconds: float) -> Column:
 
 
 def as_of_or_latest(df: DataFrame, ts: str, as_of: Any = None) -> Column:
-    """``as_of`` as a column; by default the latest timestamp of the data, as a scalar subquery."""
+    """``as_of`` as a column; by default the latest timestamp of the data, as a scalar subquery.
+
+    The subquery reads ``df`` once more; pass ``as_of`` when ``df`` is costly to compute.
+    """
     if as_of is None:
         return df.agg(F.max(ts).alias("as_of")).scalar()
     return as_of if isinstance(as_of, Column) else F.lit(as_of)

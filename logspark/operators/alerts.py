@@ -304,7 +304,8 @@ def burn_rates(logs: DataFrame, slos: DataFrame, *, windows: Sequence[str] = ("1
     known = slo_defaults(slos)
     # Age in whole seconds, rounded so that age < window holds exactly for ts > now - window.
     age = F.floor((micros(now) - micros(F.col(ts))) / 1_000_000)
-    per_age = logs.where(F.col("service").isNotNull() & (F.col(ts) <= now)).groupBy("service", age.alias("__age")).agg(
+    longest = F.greatest(F.lit(max(span_seconds(w, m="month") for w in windows)), known.agg(F.max(window_seconds(F.col("window")))).scalar())
+    per_age = logs.where(F.col("service").isNotNull() & (F.col(ts) <= now) & (age < longest)).groupBy("service", age.alias("__age")).agg(
         F.count(F.lit(1)).alias("n"), count_if(F.col("level").isin("ERROR", "FATAL")).alias("e")
     )
     spans = F.array_distinct(F.concat(F.array(*[F.lit(w) for w in windows]), F.array("window")))

@@ -26,8 +26,10 @@ CORRELATION_SECONDS = 300
 MIN_CORRELATION = 0.3
 VERSION_TAGS = ("version", "service.version")
 ENDPOINT_TAGS = ("http.url", "http.route")
-# A term of the halving mean is exactly zero in double arithmetic beyond this many rows.
-HALVING_ROWS = 1074
+# Rows of the halving mean that can matter: a weight of 2^-1000 changes no double sum unless the
+# values themselves differ by a factor above 10^280. The rank limit is pushed below the shuffle up
+# to this size.
+HALVING_ROWS = 1000
 
 
 def service_rollup(spans: DataFrame) -> DataFrame:
@@ -138,8 +140,8 @@ def dependency_operations(spans: DataFrame) -> DataFrame:
 def halving_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, *, name: str = "halving_mean") -> DataFrame:
     """The order-dependent mean ``m = (m + x) / 2`` from 0, in closed form.
 
-    The last row weighs 1/2, the one before 1/4 and so on. Weights beyond ``HALVING_ROWS`` are
-    exactly zero in double arithmetic, so the rank limit (applied before the shuffle) changes nothing.
+    The last row weighs 1/2, the one before 1/4 and so on. Rows beyond ``HALVING_ROWS`` lie far
+    below the precision of a double, so the rank limit (applied before the shuffle) changes nothing.
     """
     latest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return (

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from logspark.operators.metrics import service_metrics
 
@@ -152,6 +153,11 @@ class Tables:
         """Hourly metrics, computed by the library instead of the view text."""
         return service_metrics(self.logs)
 
+    @cached_property
+    def metrics_as_of(self) -> Column:
+        """Latest metric bucket, read from the logs instead of the derived metrics."""
+        return self.logs.agg(F.date_trunc("hour", F.max("timestamp")).cast("timestamp_ntz")).scalar()
+
     def values(self, text: str) -> DataFrame:
         """A small literal table; the same text serves the oracle."""
         return self.spark.sql(f"SELECT * FROM ({text})")

@@ -19,7 +19,7 @@ EVALUATED = """rules AS (SELECT * FROM (VALUES ('high_error_rate', 'error_rate',
 
 def evaluated(t):
     metrics = t.metrics.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    return L.evaluate_rules(metrics, L.default_rules(t.spark), A.baseline_means(metrics, ("name", "service")))
+    return L.evaluate_rules(metrics, L.default_rules(t.spark), A.baseline_means(metrics, ("name", "service"), as_of=t.metrics_as_of))
 
 
 def fired(t):

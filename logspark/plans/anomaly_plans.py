@@ -109,7 +109,7 @@ STATS = """kept AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts,
     WITH_METRICS + ", " + STATS + " SELECT name, n, round(mean, 6) AS mean, round(std, 6) AS std, round(trend, 8) AS trend FROM stats",
 )
 def baseline_stats(t):
-    s = A.baseline_stats(t.metrics)
+    s = A.baseline_stats(t.metrics, as_of=t.metrics_as_of)
     return s.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6), "trend": F.round("trend", 8)})
 
 
@@ -134,7 +134,7 @@ BAND = (
     WITH_METRICS + ", " + BAND + " SELECT name, hour, round(expected, 6) AS expected, round(std, 6) AS std, round(upper, 6) AS upper, round(lower, 6) AS lower FROM band",
 )
 def baseline_band(t):
-    return A.expected_band(t.metrics).withColumns({c: F.round(c, 6) for c in ("expected", "std", "upper", "lower")})
+    return A.expected_band(t.metrics, as_of=t.metrics_as_of).withColumns({c: F.round(c, 6) for c in ("expected", "std", "upper", "lower")})
 
 
 @query(
@@ -144,7 +144,7 @@ def baseline_band(t):
  FROM metrics JOIN band USING (name) WHERE hour = hour(ts) AND (value < lower OR value > upper)""",
 )
 def band_breaches(t):
-    return A.band_breaches(t.metrics).withColumns({c: F.round(c, 6) for c in ("expected", "upper", "lower")})
+    return A.band_breaches(t.metrics, as_of=t.metrics_as_of).withColumns({c: F.round(c, 6) for c in ("expected", "upper", "lower")})
 
 
 @query(

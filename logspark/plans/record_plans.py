@@ -141,6 +141,20 @@ def service_meta(t):
     return E.add_service_metadata(t.logs.select("id", "service"), meta)
 
 
+@query(
+    "alias_fill",
+    """SELECT conv_id, turn, CASE role WHEN 'user' THEN 'svc-a' ELSE 'svc-b' END AS service, CASE WHEN turn % 2 = 0 THEN '1.0' ELSE '2.0' END AS version,
+ CASE WHEN turn % 3 = 0 THEN 'prod' WHEN turn % 3 = 1 THEN 'stage' END AS environment FROM conversations""",
+)
+def alias_fill(t):
+    c = t.table("conversations").selectExpr(
+        "conv_id", "turn", "CASE role WHEN 'user' THEN 'svc-a' ELSE '' END AS service", "'svc-b' AS serviceName",
+        "CASE WHEN turn % 2 = 0 THEN '1.0' END AS version", "CAST(NULL AS STRING) AS serviceVersion", "'2.0' AS app_version",
+        "CASE WHEN turn % 3 = 0 THEN 'prod' END AS environment", "'' AS env", "CASE WHEN turn % 3 = 1 THEN 'stage' END AS stage",
+    )
+    return E.add_aliases(c).select("conv_id", "turn", "service", "version", "environment")
+
+
 LEXICON = """SELECT 'the' AS word, CAST(1.0 AS DOUBLE) AS score UNION ALL SELECT 'and', 0.5 UNION ALL SELECT 'of', -1.0 UNION ALL SELECT 'le', 2.0 UNION ALL SELECT 'en', -0.25"""
 
 

@@ -127,13 +127,10 @@ def stream_multiline(t):
 )
 def stream_fan_out(t):
     """The continuous job: parsed records, metric samples and errors as three tables of one stream."""
-    lines = log_stream(t).select(F.concat_ws(" ", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "level", F.lit("[main]"), "message").alias("value"), "id", "service", "response_time")
+    text = F.concat_ws(" ", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "level", F.lit("[main]"), "message")
+    parsed = P.parse_logs(log_stream(t).select(text.alias("value"), "id", F.col("response_time").alias("ms"))).withColumn("response_time", F.col("ms"))
     base = scratch_path(t.spark, "fan-out")
-    outputs = {
-        "logs": lambda b: P.parse_logs(b.select("id", "value")),
-        "metrics": lambda b: M.log_metrics(P.parse_logs(b.select("id", "value", F.col("response_time").alias("ms"))).withColumn("response_time", F.col("ms"))),
-        "errors": lambda b: P.parse_logs(b.select("id", "value")).where("level = 'ERROR'"),
-    }
-    J.fan_out(lines, outputs, f"{base}/tables", f"{base}/checkpoint").awaitTermination()
+    outputs = {"logs": lambda b: b, "metrics": M.log_metrics, "errors": lambda b: b.where("level = 'ERROR'")}
+    J.fan_out(parsed, outputs, f"{base}/tables", f"{base}/checkpoint").awaitTermination()
     parts = [t.spark.read.parquet(f"{base}/tables/{n}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("output"), "n") for n in outputs]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
