@@ -12,6 +12,7 @@ from logspark.functions.levels import lookup
 from logspark.functions.timefx import as_of_or_latest, span_seconds
 from logspark.operators.metrics import count_if
 from logspark.operators.ordered import from_micros, micros, rolling_count, running, sessions, type_of
+from logspark.schema import literal_table
 
 RULE_SCHEMA = (
     "rule_name STRING, metric STRING, op STRING, threshold DOUBLE, baseline_factor DOUBLE, severity STRING,"
@@ -47,7 +48,7 @@ TICKET_LEVELS = ("critical", "error")
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DEFAULT_RULES, RULE_SCHEMA)
+    return literal_table(spark, DEFAULT_RULES, RULE_SCHEMA)
 
 
 def holds(value: Column, op: Column, limit: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from logspark.functions.timefx import as_of_or_latest, hour, seconds_before, weekday
 from logspark.operators.metrics import truncated
 from logspark.operators.ordered import rolling_count, row_numbers, time_chunk, with_lookback
+from logspark.schema import literal_table
 
 # Detector settings.
 SENSITIVITY = 0.95
@@ -39,7 +40,7 @@ ANOMALY_COLUMNS = ("type", "metric", "service", "value", "confidence", "ts", "al
 
 
 def default_thresholds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(THRESHOLDS.items()), "name STRING, threshold DOUBLE")
+    return literal_table(spark, THRESHOLDS.items(), "name STRING, threshold DOUBLE")
 
 
 def threshold_anomalies(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:

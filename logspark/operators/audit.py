@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logspark.functions.timefx import as_of_or_latest, seconds_after, seconds_before
 from logspark.operators.metrics import count_if
 from logspark.operators.ordered import running, time_chunk
+from logspark.schema import literal_table
 
 # Default roles and their permissions.
 DEFAULT_ROLES = {
@@ -31,7 +32,7 @@ LOCKOUT_ADVICE = "Account lockouts detected - review user training and password
 
 
 def default_roles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(DEFAULT_ROLES.items()), "role STRING, permissions ARRAY<STRING>")
+    return literal_table(spark, DEFAULT_ROLES.items(), "role STRING, permissions ARRAY<STRING>")
 
 
 def audit_log(audit: DataFrame, *, action: str | None = None, actor: str | None = None, start: Any = None, end: Any = None) -> DataFrame:
