@@ -13,6 +13,7 @@ from logspark.functions.timefx import as_of_or_latest, span_seconds
 from logspark.operators.metrics import count_if
 from logspark.operators.ordered import from_micros, micros, rolling_count, running, sessions, type_of
 from logspark.schema import literal_table
+from logspark.session import cut_lineage
 
 RULE_SCHEMA = (
     "rule_name STRING, metric STRING, op STRING, threshold DOUBLE, baseline_factor DOUBLE, severity STRING,"
@@ -108,7 +109,7 @@ def alert_states(
     kind = type_of(evaluated, "ts")
     us, quiet = F.col("__us"), ~F.col("fired")
     rows = evaluated.groupBy(*keys, micros(F.col("ts")).alias("__us")).agg(F.max("fired").alias("fired"), F.max("value").alias("value"))
-    rows = rows.withColumn("__chunk", F.floor(us / (chunk_seconds * 1_000_000)).cast("bigint"))
+    rows = cut_lineage(rows.withColumn("__chunk", F.floor(us / (chunk_seconds * 1_000_000)).cast("bigint")))
     numbered = running(rows, keys, "__chunk", ["__us"], {"__quiet": ("sum", quiet.cast("bigint"))})
     # A quiet row closes the island before it.
     island = F.when(quiet, F.col("__quiet") - 1).otherwise(F.col("__quiet"))

@@ -12,6 +12,7 @@ from logspark.functions.timefx import as_of_or_latest, hour, seconds_before, wee
 from logspark.operators.metrics import truncated
 from logspark.operators.ordered import rolling_count, row_numbers, time_chunk, with_lookback
 from logspark.schema import literal_table
+from logspark.session import cut_lineage
 
 # Detector settings.
 SENSITIVITY = 0.95
@@ -263,7 +264,8 @@ def cluster_outliers(vectors: DataFrame, columns: Sequence[str], *, k: int = 4,
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="__raw").transform(vectors)
+    # Every iteration reads the vectors again.
+    assembled = VectorAssembler(inputCols=list(columns), outputCol="__raw").transform(cut_lineage(vectors))
     scaled = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(assembled).transform(assembled)
     model = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="cluster").fit(scaled)
     centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])

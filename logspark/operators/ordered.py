@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logspark.session import cut_lineage
+
 ALL = "__all"
 
 
@@ -122,7 +124,8 @@ def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: int, *, c
     kind = type_of(df, ts)
     us, start = F.col("__us"), F.col("__start")
     ticks = df.groupBy(*keys, micros(F.col(ts)).alias("__us")).agg(F.count(F.lit(1)).alias("__rows"))
-    ticks = ticks.withColumn("__chunk", F.floor(us / (chunk_seconds * 1_000_000)).cast("bigint"))
+    # Read four times below, so the per-instant rows are written once to the shared folder.
+    ticks = cut_lineage(ticks.withColumn("__chunk", F.floor(us / (chunk_seconds * 1_000_000)).cast("bigint")))
     linked = running(ticks, keys, "__chunk", ["__us"], {"__before": ("max_before", us)})
     opens = F.col("__before").isNull() | (us - F.col("__before") > gap_seconds * 1_000_000)
     begun = running(linked, keys, "__chunk", ["__us"], {"__start": ("max", F.when(opens, us))})

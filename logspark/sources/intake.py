@@ -129,3 +129,15 @@ def span_records(messages: DataFrame) -> DataFrame:
         F.coalesce(F.try_element_at(process, F.lit("serviceName")), _alias("body", ("serviceName",)), F.lit("unknown")).alias("service"),
         F.coalesce(F.from_json(tags, STRING_MAP), F.create_map().cast(STRING_MAP)).alias("tags"),
     )
+
+
+def kafka_rows(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Rows as Kafka key and JSON value, for alert and live-record topics."""
+    value = F.to_json(F.struct(*df.columns)).alias("value")
+    return df.select(*([F.col(key).cast("string").alias("key")] if key else []), value)
+
+
+def write_kafka(stream: DataFrame, servers: str, topic: str, checkpoint: str, *, key: str | None = None):
+    """Continuous alert or live-record sink; needs the Kafka connector on the class path."""
+    writer = kafka_rows(stream, key).writeStream.format("kafka").option("kafka.bootstrap.servers", servers)
+    return writer.option("topic", topic).option("checkpointLocation", checkpoint).start()
