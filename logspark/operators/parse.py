@@ -52,6 +52,14 @@ LINE_FORMATS = {
     "kubernetes": r"%{TIMESTAMP_ISO8601:timestamp} %{WORD:stream} %{WORD:log_type} %{GREEDYDATA:message}",
     "docker": r"%{TIMESTAMP_ISO8601:timestamp} %{WORD:level} %{GREEDYDATA:message}",
 }
+# Texts without which a format cannot fit; searched before its pattern.
+FORMAT_TEXTS = {
+    "apache_common": ("[", '"'),
+    "nginx_access": ("[", '"', " - "),
+    "java_stacktrace": ("[", "]", ":"),
+    "syslog": (":",),
+    "json_log": ("{", "}"),
+}
 # RFC 3164 header, logfmt pair, and the application line.
 RFC3164 = r"^<(\d+)>(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(.+)$"
 LOGFMT_PAIR = r'(\w+)=(?:"([^"]*)"|([^\s]+))'
@@ -142,7 +150,11 @@ def detect_format(line: Column, formats: Mapping[str, str] = LINE_FORMATS, base:
     is_json = F.ltrim(line).startswith("{") & parsed.isNotNull()
     out = F.when(is_json, "json").when(line.rlike(RFC3164), "rfc3164")
     for name, text in formats.items():
-        out = out.when(line.rlike(expand(text, base)[0]), name)
+        fits = line.rlike(expand(text, base)[0])
+        if formats[name] == LINE_FORMATS.get(name):
+            for part in reversed(FORMAT_TEXTS.get(name, ())):
+                fits = line.contains(part) & fits
+        out = out.when(fits, name)
     keys = F.array_distinct(F.regexp_extract_all(line, F.lit(LOGFMT_PAIR), F.lit(1)))
     return out.when(F.size(keys) > 1, "logfmt").otherwise("raw")
 
