@@ -1,10 +1,13 @@
 """Queries and oracle texts of this package."""
 
-from logspark.llm import minhash
+from logspark.llm import decontaminate, minhash, passages
 
 QUERIES = {
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_substring_dedup": passages.op6_substring_dedup,
     "op9_minhash": minhash.op9_minhash,
 }
 ORACLES = {
+    "op5_decontaminate": decontaminate.OP5_SQL,
     "op9_minhash": minhash.OP9_SQL,
 }
