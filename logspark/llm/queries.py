@@ -1,13 +1,17 @@
 """Queries and oracle texts of this package."""
 
-from logspark.llm import decontaminate, minhash, passages
+from logspark.llm import decontaminate, minhash, mixing, passages, rules
 
 QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_substring_dedup": passages.op6_substring_dedup,
+    "op8_mixing": mixing.op8_mixing,
     "op9_minhash": minhash.op9_minhash,
+    "op10_quality_rules": rules.op10_quality_rules,
 }
 ORACLES = {
     "op5_decontaminate": decontaminate.OP5_SQL,
+    "op8_mixing": mixing.OP8_SQL,
     "op9_minhash": minhash.OP9_SQL,
+    "op10_quality_rules": rules.OP10_SQL,
 }
