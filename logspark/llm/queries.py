@@ -1,8 +1,10 @@
 """Queries and oracle texts of this package."""
 
-from logspark.llm import decontaminate, minhash, mixing, passages, rules
+from logspark.llm import chat, decontaminate, langid, minhash, mixing, passages, rules
 
 QUERIES = {
+    "op3_chat_format": chat.op3_chat_format,
+    "op4_language_id": langid.op4_language_id,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_substring_dedup": passages.op6_substring_dedup,
     "op8_mixing": mixing.op8_mixing,
