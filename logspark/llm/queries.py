@@ -1,8 +1,9 @@
 """Queries and oracle texts of this package."""
 
-from logspark.llm import chat, decontaminate, langid, minhash, mixing, passages, rules
+from logspark.llm import chat, decontaminate, langid, minhash, mixing, passages, pseudonyms, rules
 
 QUERIES = {
+    "op2_pseudonyms": pseudonyms.op2_pseudonyms,
     "op3_chat_format": chat.op3_chat_format,
     "op4_language_id": langid.op4_language_id,
     "op5_decontaminate": decontaminate.op5_decontaminate,
