@@ -1,6 +1,6 @@
 """Queries and oracle texts of this package."""
 
-from logspark.llm import chat, decontaminate, langid, minhash, mixing, passages, pseudonyms, rules
+from logspark.llm import chat, decontaminate, langid, minhash, mixing, passages, pseudonyms, rules, similar_lines
 
 QUERIES = {
     "op2_pseudonyms": pseudonyms.op2_pseudonyms,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_substring_dedup": passages.op6_substring_dedup,
+    "op7_line_dedup": similar_lines.op7_line_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_minhash": minhash.op9_minhash,
     "op10_quality_rules": rules.op10_quality_rules,
