@@ -1,26 +1,57 @@
-"""Corpus preparation in stages; each stage works on what the one before it kept."""
+"""Corpus preparation in stages; each stage works on what the one before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result to the shared
+scratch folder and reads it again. All but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logspark.llm import minhash
+from logspark.llm import decontaminate, langid, minhash, mixing, similar_lines
 from logspark.llm.graph import stored
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the network does not recognise go; see ``langid.recognised``."""
+    return langid.recognised(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that match an earlier line go, and documents that consist of such lines only."""
+    return similar_lines.dedup_lines(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays: five-word shingles, similarity 0.8."""
     return minhash.deduplicate(docs)
 
 
-STAGES = [("minhash near-dedup", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of ``benchmark`` go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with the number of repeats (``mix_repeats``) and the words taken."""
+    return mixing.mixed(docs).where(F.col("mix_repeats") > 0)
+
+
+STAGES = [
+    ("language id", language_id),
+    ("line dedup", line_dedup),
+    ("minhash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing to weights", mix_sources),
+]
 
-#: SQL cannot express the stages; tests compare them with brute force.
+#: SQL cannot express the network of the first stage; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
