@@ -1,8 +1,9 @@
 """Queries and oracle texts of this package."""
 
-from logspark.llm import chat, decontaminate, langid, minhash, mixing, passages, pseudonyms, rules, similar_lines
+from logspark.llm import chat, decontaminate, langid, minhash, mixing, ngrams, passages, pseudonyms, rules, similar_lines
 
 QUERIES = {
+    "op1_quality": ngrams.op1_quality,
     "op2_pseudonyms": pseudonyms.op2_pseudonyms,
     "op3_chat_format": chat.op3_chat_format,
     "op4_language_id": langid.op4_language_id,
