@@ -1,6 +1,6 @@
 """Substring deduplication by hashing lines, or the sentences that lines consist of.
 
-Method: every unit is normalised (A-Z lower-cased, runs of white space alike), digested to 128 bits and
+Method: every unit is normalised (A-Z lower-cased, runs of white space alike), digested to 96 bits and
 grouped globally. The earliest occurrence by (doc_id, position) stays; every later one is a repeat.
 Neighbouring repeats of a text form a run, and runs of ``min_words`` words or more are removed, so a chance
 repeat of a short unit stays while short units inside a repeated passage go. Removed ranges are returned as
@@ -17,10 +17,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logspark.llm.graph import stored
 from logspark.llm.text import U64, Texts, mix, powers, signed, slices, texts_of
 
 UNITS = ("line", "paragraph", "sentence")
@@ -55,69 +55,93 @@ def units_of(unit: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 digests = []
                 for words in (texts.words, mix(texts.words + U64(1))):
                     total = np.r_[U64(0), np.cumsum(words * up[: len(words)])]
-                    digests.append(signed(mix((total[stop] - total[at]) * down[at] ^ (stop - at).astype(U64))))
-                before = texts.characters(np.r_[texts.offsets])[owner]
-                first = texts.characters(texts.starts[at]) - before
-                last = texts.characters(texts.ends[stop - 1]) - before
+                    digests.append(mix((total[stop] - total[at]) * down[at] ^ (stop - at).astype(U64)))
                 number = np.arange(len(at)) - np.searchsorted(owner, owner)
-                columns = [number, first, last, stop - at]
+                short = (digests[1] >> U64(32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(owner)), *digests, *[pa.array(c.astype(np.int32)) for c in columns]],
-                    ["doc_id", "d1", "d2", "unit", "first", "last", "words"],
+                    [part.column("doc_id").take(pa.array(owner)), signed(digests[0]), pa.array(short), pa.array(number.astype(np.int32))],
+                    ["doc_id", "d1", "d2", "unit"],
                 )
 
     return run
 
 
-def repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, first, last, words)``: the code point ranges that repeat earlier text, in runs.
-
-    A null, empty or blank text has no unit. Rows with a null id take no part. Rows that repeat an id with
-    the same text count once; an id with different texts has no range, though its units count as earlier
-    text for others. An empty table gives no row; other columns are ignored.
-    """
-    if unit not in UNITS:
-        raise ValueError(f"unit must be one of {UNITS}")
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    schema = "doc_id bigint, d1 bigint, d2 bigint, unit int, first int, last int, words int"
-    units = docs.mapInArrow(units_of(unit), schema)
+def repeated_units(docs: DataFrame, unit: str) -> DataFrame:
+    """``(doc_id, units)``: the numbers of the units of each document that occur earlier."""
+    units = docs.mapInArrow(units_of(unit), "doc_id bigint, d1 bigint, d2 int, unit int")
     place = F.struct("doc_id", "unit")
     known = units.groupBy("d1", "d2").agg(F.min(place).alias("keep"), F.max(place).alias("other")).where("keep < other").drop("other")
-    later = units.join(known, ["d1", "d2"]).where(F.struct("doc_id", "unit") > F.col("keep")).drop("d1", "d2", "keep")
+    later = units.join(known, ["d1", "d2"]).where(place > F.col("keep"))
     content = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("one"), F.max(F.xxhash64("text")).alias("two"))
-    later = later.join(content.where("one < two").select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id", "unit"])
-    order = Window.partitionBy("doc_id").orderBy("unit")
-    opens = F.coalesce(F.col("unit") - F.lag("unit").over(order) > 1, F.lit(True))
-    runs = later.select("doc_id", "unit", "first", "last", "words", opens.cast("int").alias("opens"))
-    runs = runs.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("doc_id", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("words").alias("words"))
-    return runs.where(F.col("words") >= min_words).select("doc_id", "first", "last", "words")
+    by_doc = later.groupBy("doc_id").agg(F.collect_list("unit").alias("units"))
+    return by_doc.join(content.where("one < two").select("doc_id"), "doc_id", "left_anti")
+
+
+def cut(unit: str, min_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Take runs of repeated units out of each text and say where they were."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts = texts_of(part.column("text"))
+                at = np.flatnonzero(unit_starts(texts, unit))
+                stop = np.r_[at[1:], len(texts.starts)]
+                owner = texts.owner[at]
+                units = part.column("units")
+                doc = np.repeat(np.arange(len(texts)), pc.list_value_length(units).fill_null(0).to_numpy(zero_copy_only=False))
+                flagged = np.zeros(len(at) + 1, bool)
+                flagged[np.searchsorted(owner, doc) + units.flatten().to_numpy(zero_copy_only=False).astype(np.int64)] = True
+                flagged = flagged[:-1]
+                fresh = flagged.copy()
+                fresh[1:] &= ~(flagged[:-1] & (owner[1:] == owner[:-1]))
+                closing = flagged.copy()
+                closing[:-1] &= ~flagged[1:] | fresh[1:]
+                begin, end = np.flatnonzero(fresh), np.flatnonzero(closing)
+                words = stop[end] - at[begin]
+                begin, end, words = begin[words >= min_words], end[words >= min_words], words[words >= min_words]
+                first, last, holder = texts.starts[at[begin]], texts.ends[stop[end] - 1], owner[begin]
+                keep = np.zeros(len(texts.data) + 1, np.int8)
+                keep[first] += 1
+                keep[last] -= 1
+                keep = np.cumsum(keep[:-1], dtype=np.int8) == 0
+                offsets = np.r_[0, np.cumsum(keep)][texts.offsets]
+                valid = pc.is_valid(part.column("text"))
+                left = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(texts.data[keep].tobytes()))
+                before = texts.characters(texts.offsets[:-1])
+                spans = pa.StructArray.from_arrays(
+                    [pa.array((texts.characters(x) - before[holder]).astype(np.int32)) for x in (first, last)], ["first", "last"]
+                )
+                bounds = np.searchsorted(holder, np.arange(len(texts) + 1))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        pa.array(np.diff(bounds)),
+                        pa.array(np.bincount(holder, words, len(texts)).astype(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), spans),
+                        pc.if_else(valid, left.cast(pa.string()), pa.scalar(None, pa.string())),
+                    ],
+                    ["doc_id", "n_removed", "removed_words", "spans", "text"],
+                )
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_removed, removed_words, spans, text)`` per document: what is left, and the ranges taken out.
 
     ``spans`` is an ordered array of (first, last) code point offsets into the original text, so text and
-    spans together say where each remaining piece came from. Null texts stay null; documents with a null id
-    or with several texts under one id are returned unchanged; equal rows are cut alike.
+    spans together say where each remaining piece came from. A null, empty or blank text has no unit and
+    stays as it is. Rows with a null id take no part and are returned unchanged. Rows that repeat an id with
+    the same text count once and are cut alike; an id with different texts is returned unchanged, though its
+    units count as earlier text for others. An empty table gives no row; other columns are ignored.
     """
-    spans = repeats(docs, unit, min_words, id_col=id_col, text_col=text_col)
-    ranges = spans.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"), F.sum("words").alias("removed_words")
-    )
+    if unit not in UNITS:
+        raise ValueError(f"unit must be one of {UNITS}")
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined = docs.join(ranges, docs["doc_id"] == ranges["__id"], "left")
-    # The kept pieces lie between the end of one range and the start of the next.
-    begin = F.concat(F.array(F.lit(0)), F.col("spans.last"))
-    stop = F.concat(F.col("spans.first"), F.array(F.length("text")))
-    pieces = F.transform(F.arrays_zip(begin.alias("b"), stop.alias("e")), lambda x: F.col("text").substr(x["b"] + 1, x["e"] - x["b"]))
-    return joined.select(
-        "doc_id",
-        F.coalesce(F.size("spans"), F.lit(0)).cast("bigint").alias("n_removed"),
-        F.coalesce("removed_words", F.lit(0)).alias("removed_words"),
-        F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>")).alias("spans"),
-        F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(pieces, "")).alias("text"),
-    )
+    found = repeated_units(docs.where("doc_id IS NOT NULL"), unit).withColumnRenamed("doc_id", "__id")
+    joined = docs.join(found, docs["doc_id"] == found["__id"], "left").select("doc_id", "text", "units")
+    schema = "doc_id bigint, n_removed bigint, removed_words bigint, spans array<struct<first:int,last:int>>, text string"
+    return joined.mapInArrow(cut(unit, min_words), schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
