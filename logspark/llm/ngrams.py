@@ -128,13 +128,12 @@ def model(trusted: DataFrame) -> DataFrame:
         weight_of[level] = weights.select(F.col("context").alias("gram"), F.log("weight").alias("next"))
     for level in range(1, ORDER + 1):
         rows = probability[level]
-        value = F.col("gain")
+        value, after = F.col("gain"), F.lit(0.0)
         if level < ORDER:
-            rows = rows.join(weight_of[level + 1], "gram", "left")
-            value = value + F.coalesce("next", F.lit(0.0))
+            # A context at the start of texts need not be a gram of its own.
+            rows = rows.join(weight_of[level + 1], "gram", "full")
             after = F.coalesce("next", F.lit(0.0))
-        else:
-            after = F.lit(0.0)
+            value = F.coalesce("gain", F.lit(0.0)) + after
         fixed = [F.round(x * UNIT).cast("bigint").alias(n) for x, n in ((value, "value"), (after, "after"))]
         out.append(rows.select(F.lit(level).alias("level"), "gram", *fixed))
     whole = out[0]
@@ -309,7 +308,11 @@ def scores(docs: DataFrame, table: DataFrame) -> DataFrame:
     parts = sides.mapInArrow(add_up, "block bigint, part binary")
     meta = packed.where("shard < 0").select("block", "ids", "langs", "roles", "sizes")
     rows = parts.unionByName(meta, allowMissingColumns=True).repartition("block").sortWithinPartitions("block")
-    return rows.mapInArrow(by_document, "doc_id bigint, lang string, role tinyint, bytes bigint, log_p bigint")
+    sums = rows.mapInArrow(by_document, "doc_id bigint, lang string, role tinyint, bytes bigint, log_p bigint")
+    # Every text begins in the context of line breaks.
+    begin = int.from_bytes(bytes([START] * ORDER), "big")
+    start = table.where(F.expr(f"gram = {begin}L % shiftleft(1L, level * 8)")).agg(F.sum("after")).first()[0]
+    return sums.withColumn("log_p", F.when(F.col("bytes") > 0, F.col("log_p") + (start or 0)).otherwise(0))
 
 
 def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
