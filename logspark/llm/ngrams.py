@@ -226,17 +226,18 @@ def look_up(tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], grams_: np.
 def add_up(batches: Batches) -> Batches:
     """Model rows of a shard come first, then the blocks' counts; gives parts of log probabilities by block."""
     rows: list[list[np.ndarray]] = []
-    tables, shard = None, None
+    tables, place = None, None
     for batch in batches:
-        shards = batch.column("shard").to_numpy()
         block = batch.column("block").to_numpy()
+        home = batch.column("shard").to_numpy().astype(np.int64) << 32 | batch.column("salt").to_numpy()
         out: list[tuple[int, bytes]] = []
         at = 0
-        while at < len(shards):
-            if shards[at] != shard:
-                shard, rows, tables = shards[at], [], None
+        while at < len(block):
+            if home[at] != place:
+                place, rows, tables = home[at], [], None
             if block[at] < 0:
-                stop = at + int(np.searchsorted((block[at:] >= 0) | (shards[at:] != shard), True)) if not np.all((block[at:] < 0) & (shards[at:] == shard)) else len(shards)
+                ends_here = np.flatnonzero((block[at:] >= 0) | (home[at:] != place))
+                stop = at + int(ends_here[0]) if len(ends_here) else len(block)
                 rows.append([batch.column(c).slice(at, stop - at).to_numpy(zero_copy_only=False) for c in ("level", "gram", "value", "after")])
                 at = stop
                 continue
