@@ -16,15 +16,3 @@ def evaluated(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     row = F.struct(*[c.alias(n) for n, c in columns.items()])
     return df.select("*", F.inline(F.array(row)))
 
-
-def spread(df: DataFrame, *, small_bytes: int = 32 * 1024 * 1024) -> DataFrame:
-    """Give every core a share of a small input before a costly expression.
-
-    An input below ``small_bytes`` per core may sit in one row group, hence one task. Only such
-    inputs are shuffled (the optimizer's size estimate decides); large ones keep their scan splits.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if estimate < small_bytes * cores else df

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logspark.functions.once import spread
 
 # Record patterns, applied in this order.
 RECORD_PATTERNS = {
@@ -151,23 +150,32 @@ def redacted_text(text: Column, mode: str = "hash", patterns: Mapping[str, str]
     return chain(text, kinds)
 
 
+def redacted_value(value: Column, kind: T.DataType, mode: str) -> Column | None:
+    """A value with its strings redacted at any depth of arrays, maps and structs; None when it can hold none."""
+    if isinstance(kind, T.StringType):
+        return redacted(value, mode)
+    if isinstance(kind, T.ArrayType):
+        if redacted_value(value, kind.elementType, mode) is None:
+            return None
+        return F.transform(value, lambda x: redacted_value(x, kind.elementType, mode))
+    if isinstance(kind, T.MapType):
+        if redacted_value(value, kind.valueType, mode) is None:
+            return None
+        return F.transform_values(value, lambda _, v: redacted_value(v, kind.valueType, mode))
+    if isinstance(kind, T.StructType):
+        fields = {f.name: redacted_value(value[f.name], f.dataType, mode) for f in kind}
+        if not any(x is not None for x in fields.values()):
+            return None
+        rebuilt = F.struct(*[(value[n] if x is None else x).alias(n) for n, x in fields.items()])
+        return F.when(value.isNotNull(), rebuilt)
+    return None
+
+
 def redact(df: DataFrame, mode: str = "hash", columns: Sequence[str] | None = None) -> DataFrame:
-    """Redact string columns, the string fields of struct columns and the values of string maps."""
-    out = {}
-    for field in df.schema:
-        if columns is not None and field.name not in columns:
-            continue
-        c = F.col(field.name)
-        if isinstance(field.dataType, T.StringType):
-            out[field.name] = redacted(c, mode)
-        elif isinstance(field.dataType, T.MapType) and isinstance(field.dataType.valueType, T.StringType):
-            out[field.name] = F.transform_values(c, lambda _, v: redacted(v, mode))
-        elif isinstance(field.dataType, T.StructType):
-            for inner in field.dataType:
-                if isinstance(inner.dataType, T.StringType):
-                    base = out.get(field.name, c)
-                    out[field.name] = base.withField(inner.name, redacted(c[inner.name], mode))
-    return spread(df).withColumns(out)
+    """Redact string columns and all strings inside array, map and struct columns."""
+    named = [f for f in df.schema if columns is None or f.name in columns]
+    out = {f.name: redacted_value(F.col(f.name), f.dataType, mode) for f in named}
+    return df.withColumns({n: c for n, c in out.items() if c is not None})
 
 
 def detections(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), patterns: Mapping[str, str] = RECORD_PATTERNS) -> DataFrame:
@@ -179,7 +187,7 @@ def detections(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (),
             for kind, p in patterns.items()
         ]
     )
-    return spread(df).select(*keep, F.explode(cells).alias("d")).select(*keep, "d.*").where(F.col("n") > 0)
+    return df.select(*keep, F.explode(cells).alias("d")).select(*keep, "d.*").where(F.col("n") > 0)
 
 
 def census(df: DataFrame, columns: Sequence[str], patterns: Mapping[str, str] = RECORD_PATTERNS) -> DataFrame:
@@ -193,7 +201,7 @@ def distinct_matches(df: DataFrame, text: str, keep: Sequence[str], patterns: Ma
     """Distinct matches per record and type, one row each."""
     cells = F.array(*[F.struct(F.lit(k).alias("type"), F.array_distinct(all_matches(F.col(text), k, p)).alias("found")) for k, p in patterns.items()])
     return (
-        spread(df).select(*keep, F.explode(cells).alias("d"))
+        df.select(*keep, F.explode(cells).alias("d"))
         .select(*keep, "d.type", F.explode("d.found").alias("match"))
     )
 

@@ -28,7 +28,9 @@ def number(text: Column) -> Column:
 
 
 def number_tokens(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(f"(?i){NUMBER}"), F.lit(0)), lambda x: x.try_cast("double"))
+    """Numbers in a text; one that no double can hold is left out."""
+    read = F.transform(F.regexp_extract_all(text, F.lit(f"(?i){NUMBER}"), F.lit(0)), lambda x: x.try_cast("double"))
+    return F.filter(read, lambda x: F.abs(x) < F.lit(float("inf")))
 
 
 def with_line_figures(df: DataFrame, line: str) -> DataFrame:
@@ -58,6 +60,14 @@ def with_line_figures(df: DataFrame, line: str) -> DataFrame:
     )
 
 
+def json_map(text: Column) -> Column:
+    """The fields of a JSON object, NULL for anything else; the last value of a repeated key wins."""
+    fields = F.from_json(text, "map<string,string>")
+    keys = F.map_keys(fields)
+    last = F.filter(F.map_entries(fields), lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.map_from_entries(last)).otherwise(fields)
+
+
 def message_length(message: Column) -> Column:
     return F.length(message)
 

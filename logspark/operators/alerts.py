@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logspark.functions.levels import lookup
@@ -34,11 +34,11 @@ SLO_BURN_THRESHOLD = 2.0
 SLO_CRITICAL_BURN = 10.0
 SLO_WINDOW = "30d"
 RUNBOOKS = {
-    "high_error_rate": "https://runbooks.company.com/high-error-rate",
-    "high_latency_p95": "https://runbooks.company.com/high-latency",
-    "low_throughput": "https://runbooks.company.com/low-throughput",
+    "high_error_rate": "https://runbooks.example.com/high-error-rate",
+    "high_latency_p95": "https://runbooks.example.com/high-latency",
+    "low_throughput": "https://runbooks.example.com/low-throughput",
 }
-GENERAL_RUNBOOK = "https://runbooks.company.com/general"
+GENERAL_RUNBOOK = "https://runbooks.example.com/general"
 # Alert level to ticket and message attributes.
 URGENCY = {"critical": "1", "error": "2", "warning": "3", "info": "4"}
 IMPACT = {"critical": "1", "error": "2", "warning": "3", "info": "4"}
@@ -103,22 +103,31 @@ def alert_states(
 ) -> DataFrame:
     """Alert islands: consecutive firing evaluations, kept when they last at least ``hold_seconds``.
 
-    An island ends at the first evaluation that does not fire; without one it is still firing.
-    ``step_seconds`` is the length of one evaluation interval.
+    An island ends at the first evaluation that does not fire, or where the next evaluation is more than
+    ``step_seconds`` (one evaluation interval) away: what was not evaluated does not count as held. Without
+    such an end it is still firing.
     """
     kind = type_of(evaluated, "ts")
     us, quiet = F.col("__us"), ~F.col("fired")
     rows = evaluated.groupBy(*keys, micros(F.col("ts")).alias("__us")).agg(F.max("fired").alias("fired"), F.max("value").alias("value"))
     rows = cut_lineage(rows.withColumn("__chunk", F.floor(us / (chunk_seconds * 1_000_000)).cast("bigint")))
-    numbered = running(rows, keys, "__chunk", ["__us"], {"__quiet": ("sum", quiet.cast("bigint"))})
-    # A quiet row closes the island before it.
+    linked = running(rows, keys, "__chunk", ["__us"], {"__before": ("max_before", us)})
+    step = step_seconds * 1_000_000
+    gap = F.coalesce(us - F.col("__before") > step, F.lit(False))
+    # A quiet row closes the island before it and a gap opens a new one; a quiet row after a gap closes nothing.
+    breaks = quiet.cast("bigint") + gap.cast("bigint")
+    numbered = running(linked.withColumn("__gap", gap), keys, "__chunk", ["__us"], {"__quiet": ("sum", breaks)})
     island = F.when(quiet, F.col("__quiet") - 1).otherwise(F.col("__quiet"))
+    newest = Window.partitionBy(*keys)
     grouped = numbered.groupBy(*keys, island.alias("__island")).agg(
         count_if(F.col("fired")).alias("n"),
         F.min(F.when(F.col("fired"), us)).alias("__start"),
         F.max(F.when(F.col("fired"), us)).alias("__last"),
-        F.min(F.when(quiet, us)).alias("__end"),
-    )
+        F.min(F.when(quiet, us)).alias("__quiet_at"),
+        F.max(us).alias("__seen"),
+    ).withColumn("__newest", F.max("__seen").over(newest))
+    lapsed = F.when(F.col("__last") < F.col("__newest"), F.col("__last") + step)
+    grouped = grouped.withColumn("__end", F.coalesce("__quiet_at", lapsed))
     held = (F.col("__last") - F.col("__start")) / 1_000_000 + step_seconds
     return grouped.where((F.col("n") > 0) & (held >= hold_seconds)).select(
         *keys,
@@ -210,11 +219,11 @@ def fingerprint(rule: Column, labels: Column, service: Column) -> Column:
     return F.sha2(F.to_json(named), 256)
 
 
-def annotate(fired: DataFrame) -> DataFrame:
+def annotate(fired: DataFrame, runbooks: Mapping[str, str] = RUNBOOKS) -> DataFrame:
     return fired.withColumns(
         {
             "summary": summary(F.col("rule_name"), F.col("value")),
-            "runbook": runbook(F.col("rule_name")),
+            "runbook": runbook(F.col("rule_name"), runbooks),
             "fingerprint": fingerprint(F.col("rule_name"), F.col("labels"), F.col("service")),
         }
     )
@@ -300,7 +309,8 @@ def burn_rates(logs: DataFrame, slos: DataFrame, *, windows: Sequence[str] = ("1
     """Error rate over budget per SLO and look-back window (the SLO's own window included), with remaining budget.
 
     Logs are reduced to one row per service and second of age before they meet the windows; a window
-    is open at its old end.
+    is open at its old end. A window without requests has a NULL burn rate. A budget of zero is burnt by
+    any error: the burn rate is infinite, and NULL without errors.
     """
     now = as_of_or_latest(logs, ts, as_of)
     known = slo_defaults(slos)
@@ -314,8 +324,11 @@ def burn_rates(logs: DataFrame, slos: DataFrame, *, windows: Sequence[str] = ("1
     wide = known.withColumn("look_back", F.explode(spans)).withColumn("__secs", window_seconds(F.col("look_back")))
     hits = wide.join(per_age, "service").where(F.col("__age") < F.col("__secs"))
     figures = hits.groupBy("slo", "look_back").agg(F.sum("n").alias("requests"), F.sum("e").alias("errors"))
-    burn = F.col("errors") / F.col("requests") / F.col("error_budget")
-    return wide.drop("__secs").join(figures, ["slo", "look_back"]).select(
+    rate = F.try_divide(F.col("errors"), F.col("requests"))
+    spent = F.when(F.col("errors") > 0, F.lit(float("inf")))
+    burn = F.when(F.col("error_budget") > 0, F.try_divide(rate, F.col("error_budget"))).otherwise(spent)
+    zero = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("requests", "errors")}
+    return wide.drop("__secs").join(figures, ["slo", "look_back"], "left").withColumns(zero).select(
         "slo", "service", "look_back", "requests", "errors", burn.alias("burn_rate"), (1 - burn).alias("budget_left"),
         F.when(burn > F.greatest(F.lit(SLO_CRITICAL_BURN), F.col("burn_rate_threshold")), "critical")
         .when(burn > F.col("burn_rate_threshold"), "warning").alias("severity"),

@@ -45,14 +45,14 @@ def default_thresholds(spark: SparkSession) -> DataFrame:
 
 
 def threshold_anomalies(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Metric values above their static threshold; metric names share one spelling."""
+    """Metric values above their static threshold; metric names share one spelling. From zero down a threshold gives confidence 1."""
     return metrics.join(thresholds, "name").where(F.col("value") > F.col("threshold")).select(
         F.lit("threshold").alias("type"),
         F.col("name").alias("metric"),
         "service",
         "value",
         "threshold",
-        F.least(F.lit(1.0), F.col("value") / F.col("threshold")).alias("confidence"),
+        F.when(F.col("threshold") > 0, F.least(F.lit(1.0), F.try_divide("value", "threshold"))).otherwise(1.0).alias("confidence"),
         "ts",
         F.lit("statistical").alias("algorithm"),
     )
@@ -216,8 +216,17 @@ def band_breaches(metrics: DataFrame, keys: Sequence[str] = ("name",), *, as_of:
 def throughput_drop(
     logs: DataFrame, *, by: Sequence[str] = ("service",), unit: str = "hour", buckets: int = 24, share: float = DROP_SHARE
 ) -> DataFrame:
-    """Buckets whose record count is at least ``share`` below the mean of the ``buckets`` counts before them."""
-    counts = logs.groupBy(*by, truncated(logs, "timestamp", unit).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    """Buckets whose record count is at least ``share`` below the mean of the ``buckets`` counts before them.
+
+    Buckets without records count 0 between a group's first bucket and the last one of all groups, so an
+    outage fires and goes on to fire until its zeros fill the mean.
+    """
+    at = truncated(logs, "timestamp", unit)
+    some = logs.where(at.isNotNull()).groupBy(*by, at.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    end = logs.agg(F.max(at)).scalar()
+    every = F.explode(F.sequence(F.col("__first"), end, F.expr(f"INTERVAL 1 {unit}")))
+    steps = some.groupBy(*by).agg(F.min("bucket").alias("__first")).select(*by, every.alias("bucket"))
+    counts = steps.join(some, [*by, "bucket"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(-buckets, -1)
     return (
         counts.withColumns({"baseline": F.avg("n").over(before), "__seen": F.count(F.lit(1)).over(before)})
@@ -255,26 +264,50 @@ def metric_vectors(metrics: DataFrame, names: Sequence[str], keys: Sequence[str]
     return metrics.groupBy(*keys).pivot("name", list(names)).agg(F.max("value")).dropna(subset=list(names))
 
 
-def cluster_outliers(vectors: DataFrame, columns: Sequence[str], *, k: int = 4, deviations: float = 3.0, seed: int = 7) -> DataFrame:
-    """Rows far from their cluster centre: distance above the cluster's mean + ``deviations`` · std.
+def fit_centres(vectors: DataFrame, columns: Sequence[str], *, k: int = 4, rounds: int = 50) -> tuple[list[float], list[float], list[list[float]]]:
+    """Means, deviations and ``k`` cluster centres of standardised columns, by Lloyd's rounds.
 
-    K-means over standardised columns; only the centres reach the driver.
+    The start is fixed: centre i has the (i + 1/2) / k quantile of every column. Figures are rounded to nine
+    digits after each round, so the result doesn't depend on the layout of the data. Each round is one
+    aggregation; only the centres reach the driver.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    # Every iteration reads the vectors again.
-    assembled = VectorAssembler(inputCols=list(columns), outputCol="__raw").transform(cut_lineage(vectors))
-    scaled = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(assembled).transform(assembled)
-    model = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="cluster").fit(scaled)
-    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
-    point = vector_to_array(F.col("__x"))
-    apart = F.zip_with(point, F.element_at(centres, F.col("cluster") + 1), lambda a, b: (a - b) * (a - b))
-    placed = model.transform(scaled).withColumn("distance", F.sqrt(F.aggregate(apart, F.lit(0.0), lambda s, x: s + x)))
+    first = vectors.agg(
+        F.array(*[F.avg(c) for c in columns]).alias("mean"),
+        F.array(*[F.stddev_pop(c) for c in columns]).alias("std"),
+        F.array(*[F.percentile(c, [(i + 0.5) / k for i in range(k)]) for c in columns]).alias("start"),
+    ).first()
+    if first["mean"][0] is None:
+        return [0.0] * len(columns), [1.0] * len(columns), [[0.0] * len(columns)] * k
+    mean, std = [round(m, 9) for m in first["mean"]], [round(s, 9) or 1.0 for s in first["std"]]
+    centres = [[round((q[i] - m) / s, 9) for q, m, s in zip(first["start"], mean, std)] for i in range(k)]
+    for _ in range(rounds):
+        placed = with_cluster(vectors, columns, mean, std, centres)
+        sums = placed.groupBy("cluster").agg(*[F.avg((F.col(c) - m) / s).alias(c) for c, m, s in zip(columns, mean, std)])
+        moved = {r["cluster"]: [round(r[c], 9) for c in columns] for r in sums.collect()}
+        new = [moved.get(i, centre) for i, centre in enumerate(centres)]
+        if new == centres:
+            break
+        centres = new
+    return mean, std, centres
+
+
+def with_cluster(
+    vectors: DataFrame, columns: Sequence[str], mean: Sequence[float], std: Sequence[float], centres: Sequence[Sequence[float]]
+) -> DataFrame:
+    """Add the nearest centre (the first of equal ones) and the distance to it, of standardised columns."""
+    point = [(F.col(c) - m) / s for c, m, s in zip(columns, mean, std)]
+    distance = lambda centre: F.sqrt(sum(((p - v) * (p - v) for p, v in zip(point, centre)), F.lit(0.0)))
+    near = F.array_min(F.array(*[F.struct(F.round(distance(c), 9).alias("distance"), F.lit(i).alias("cluster")) for i, c in enumerate(centres)]))
+    return vectors.select("*", F.inline(F.array(near)))
+
+
+def cluster_outliers(vectors: DataFrame, columns: Sequence[str], *, k: int = 4, deviations: float = 3.0) -> DataFrame:
+    """Rows far from their cluster centre: distance above the cluster's mean + ``deviations`` · std."""
+    held = cut_lineage(vectors)  # every round reads the vectors again
+    placed = with_cluster(held, columns, *fit_centres(held, columns, k=k))
     spread = placed.groupBy("cluster").agg(F.avg("distance").alias("__mean"), F.stddev_pop("distance").alias("__std"))
     return (
         placed.join(spread, "cluster")
-        .where(F.col("distance") > F.col("__mean") + deviations * F.col("__std"))
+        .where(F.col("distance") > F.round(F.col("__mean") + deviations * F.col("__std"), 9))
         .select(*vectors.columns, "cluster", "distance", F.lit(CONFIDENCE["cluster_outlier"]).alias("confidence"))
     )

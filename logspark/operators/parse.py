@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logspark.functions.levels import extract_level, syslog_level
-from logspark.functions.once import evaluated, spread
-from logspark.functions.text import found, service_in
+from logspark.functions.once import evaluated
+from logspark.functions.text import found, json_map, service_in
 from logspark.functions.timefx import parse_timestamp
 
 # Base patterns named in line formats (public grok vocabulary, as Java regular expressions).
@@ -64,7 +65,7 @@ FORMAT_TEXTS = {
 RFC3164 = r"^<(\d+)>(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(.+)$"
 LOGFMT_PAIR = r'(\w+)=(?:"([^"]*)"|([^\s]+))'
 APP_LINE = r"(\d{4}-\d{2}-\d{2}T[^\s]+)\s+(INFO|WARN|ERROR)\s+\[.*?\]\s+(?:(GET|POST|PUT|DELETE)\b)?\s*(\S*)\s*(.*)"
-APP_DURATION = r"(?:\b(\d{1,4})ms\b|response_time=(\d+)ms)"
+APP_DURATION = r"(?:\b(\d+)ms\b|response_time=(\d+)ms)"
 
 SEP = "\u0001"
 
@@ -90,7 +91,10 @@ def _captures(line: Column, pattern: str, fields: list[str]) -> Column:
     if not fields:
         return F.create_map().cast("map<string,string>")
     template = SEP.join(f"${i + 1}" for i in range(len(fields)))
-    joined = F.regexp_replace(line, f"(?s)^.*?(?-s:{pattern})(?s:.*)$", template)
+    # Formats describe one line; what a joined entry has below it belongs to the last field, the message.
+    head, rest = F.substring_index(line, "\n", 1), F.regexp_extract(line, r"(?s)^[^\n]*(\n.*)$", 1)
+    first = F.regexp_replace(head, f"^.*?(?:{pattern}).*$", template)
+    joined = F.concat(first, rest) if fields[-1] == "message" else first
     pairs = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.split(joined, SEP, -1))
     return F.map_filter(pairs, lambda _, v: v != "")
 
@@ -144,11 +148,16 @@ def parse_syslog(df: DataFrame, line: str = "value") -> DataFrame:
     )
 
 
-def detect_format(line: Column, formats: Mapping[str, str] = LINE_FORMATS, base: Mapping[str, str] | None = None) -> Column:
-    """Name of the first format that fits a line."""
-    parsed = F.try_parse_json(line)
-    is_json = F.ltrim(line).startswith("{") & parsed.isNotNull()
-    out = F.when(is_json, "json").when(line.rlike(RFC3164), "rfc3164")
+def json_fields(line: Column) -> Column:
+    return json_map(F.when(F.ltrim(line).startswith("{"), line))
+
+
+def detect_format(
+    line: Column, formats: Mapping[str, str] = LINE_FORMATS, base: Mapping[str, str] | None = None, parsed: Column | None = None
+) -> Column:
+    """Name of the first format that fits a line; ``parsed`` gives its JSON fields where they are at hand."""
+    parsed = json_fields(line) if parsed is None else parsed
+    out = F.when(parsed.isNotNull(), "json").when(line.rlike(RFC3164), "rfc3164")
     for name, text in formats.items():
         fits = line.rlike(expand(text, base)[0])
         if formats[name] == LINE_FORMATS.get(name):
@@ -165,30 +174,43 @@ def read_fields(
     """Add ``format`` and the ``fields`` map of each line. ``formats`` are custom ones, tried after the built-in list."""
     all_formats = {**LINE_FORMATS, **(formats or {})}
     c = F.col(line)
-    typed = evaluated(spread(df), {"format": detect_format(c, all_formats, base)})
-    fields = F.when(F.col("format") == "json", F.from_json(c, "map<string,string>"))
+    read = evaluated(df, {"__json": json_fields(c)})
+    typed = evaluated(read, {"format": detect_format(c, all_formats, base, F.col("__json"))})
+    fields = F.when(F.col("format") == "json", F.col("__json"))
     fields = fields.when(F.col("format") == "rfc3164", syslog_fields(c))
     for name, text in all_formats.items():
         fields = fields.when(F.col("format") == name, _captures(c, *expand(text, base)))
     fields = fields.when(F.col("format") == "logfmt", logfmt(c))
-    return evaluated(typed, {"fields": fields.otherwise(F.create_map(F.lit("message"), c))})
+    return evaluated(typed, {"fields": fields.otherwise(F.create_map(F.lit("message"), c))}).drop("__json")
 
 
 def _pick(*names: str) -> Column:
     return F.coalesce(*[F.nullif(F.try_element_at("fields", F.lit(n)), F.lit("")) for n in names])
 
 
-def to_logs(parsed: DataFrame, line: str = "value", *, zone: str | None = None) -> DataFrame:
-    """Normalise parsed fields: aliases, UTC timestamp, level. A bad time stays NULL."""
+# Aliases of the other conventional columns, first one present wins.
+CONVENTIONAL = {
+    "id": ("id", "_id"), "client_ip": ("client_ip", "clientip", "clientIp", "remote_addr"), "endpoint": ("endpoint", "path", "request", "url"),
+    "user_id": ("user_id", "userId"), "trace_id": ("trace_id", "traceId", "traceID"), "span_id": ("span_id", "spanId", "spanID"),
+}
+
+
+def to_logs(parsed: DataFrame, line: str = "value", *, zone: str | None = None, as_of: Any = None) -> DataFrame:
+    """Normalise parsed fields: aliases, UTC timestamp, level. A bad time stays NULL.
+
+    Syslog times have no year; ``as_of`` (a time or column) supplies it. Columns that the input has keep
+    its values.
+    """
     message = F.coalesce(_pick("message", "msg", "body"), F.col(line))
     levels = [_pick(n) for n in ("level", "severity", "loglevel", "priority")]
     duration = F.coalesce(_pick("response_time"), found(_pick("duration"), r"^(\d+)\s*(?:ms)?$", 1))
     keep = [c for c in parsed.columns if c not in (line, "format", "fields")]
+    now = as_of if as_of is None or isinstance(as_of, Column) else F.lit(as_of)
     timed = parsed.withColumn("__time", _pick("timestamp", "time", "ts", "time_local"))
     return timed.select(
         *keep,
         "format",
-        parse_timestamp(F.col("__time"), zone=zone).alias("timestamp"),
+        parse_timestamp(F.col("__time"), zone=zone, as_of=now).alias("timestamp"),
         F.when(F.col("format") == "rfc3164", _pick("level")).otherwise(extract_level(levels, message)).alias("level"),
         message.alias("message"),
         F.coalesce(_pick("service", "serviceName", "hostname", "program"), service_in(message)).alias("service"),
@@ -196,6 +218,7 @@ def to_logs(parsed: DataFrame, line: str = "value", *, zone: str | None = None)
         _pick("environment", "env", "stage").alias("environment"),
         duration.try_cast("bigint").alias("response_time"),
         _pick("status_code", "status", "response").try_cast("int").alias("status_code"),
+        *[_pick(*names).alias(n) for n, names in CONVENTIONAL.items() if n not in keep],
         F.col("fields").alias("attributes"),
         F.col(line).alias("raw"),
     )
@@ -203,28 +226,28 @@ def to_logs(parsed: DataFrame, line: str = "value", *, zone: str | None = None)
 
 def parse_logs(df: DataFrame, line: str = "value", **options) -> DataFrame:
     """Format detection, field reading and normalising in one projection (no shuffle)."""
-    zone = options.pop("zone", None)
-    return to_logs(read_fields(df, line, **options), line, zone=zone)
+    times = {n: options.pop(n, None) for n in ("zone", "as_of")}
+    return to_logs(read_fields(df, line, **options), line, **times)
 
 
 def quarantine(logs: DataFrame) -> DataFrame:
-    """Records that named a time which could not be read, or that were meant as JSON but are not."""
+    """Records that named a time which could not be read (a syslog time without ``as_of`` too), or that were meant as JSON but are not."""
     has_time = F.coalesce(*[F.try_element_at("attributes", F.lit(n)) for n in ("timestamp", "time", "ts", "time_local")])
-    bad_time = has_time.isNotNull() & F.col("timestamp").isNull() & ~F.col("format").isin("rfc3164", "syslog")
+    bad_time = has_time.isNotNull() & F.col("timestamp").isNull()
     bad_json = F.ltrim("raw").startswith("{") & (F.col("format") != "json")
     return logs.where(bad_time | bad_json).withColumn("reason", F.when(bad_json, "bad_json").otherwise("bad_timestamp"))
 
 
 def format_counts(df: DataFrame, line: str = "value", **options) -> DataFrame:
     formats = {**LINE_FORMATS, **options.get("formats", {})}
-    return spread(df).groupBy(detect_format(F.col(line), formats, options.get("base")).alias("format")).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(detect_format(F.col(line), formats, options.get("base")).alias("format")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def app_entries(df: DataFrame, line: str = "value") -> DataFrame:
     """Entries of the application line format.
 
     The level must be exactly INFO, WARN or ERROR (any case); other lines are dropped. The duration
-    is the first ``NNNms`` or ``response_time=NNNms`` anywhere in the line; 0 when absent.
+    is the first ``NNNms`` or ``response_time=NNNms`` anywhere in the line; 0 when absent or beyond 64 bits.
     """
     c = F.col(line)
     pattern = f"(?i){APP_LINE}"
@@ -234,6 +257,6 @@ def app_entries(df: DataFrame, line: str = "value") -> DataFrame:
         F.regexp_extract(c, pattern, 1).alias("timestamp"),
         F.upper(F.regexp_extract(c, pattern, 2)).alias("level"),
         F.regexp_extract(c, pattern, 4).alias("endpoint"),
-        ms.cast("bigint").alias("response_time"),
+        F.coalesce(ms.try_cast("bigint"), F.lit(0)).alias("response_time"),
         F.trim(F.regexp_extract(c, pattern, 5)).alias("message"),
     )

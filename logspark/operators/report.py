@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logspark.functions.once import spread
 from logspark.functions.text import with_line_figures
 from logspark.operators.metrics import PERCENTILES, count_if
 from logspark.operators.ordered import ALL, nearest_rank
@@ -34,7 +33,7 @@ def performance_report(lines: DataFrame, line: str = "value", *, by: Sequence[st
     part = list(by) or [ALL]
     base = lines.where(F.length(line) > 0)
     base = base if by else base.withColumn(ALL, F.lit(0))
-    figures = with_line_figures(spread(base.select(*part, line)), line)
+    figures = with_line_figures(base.select(*part, line), line)
     seconds = F.greatest(F.lit(60), F.ceil(F.col("lines") / 50))
     # One row per distinct duration, written to the shared folder: the text is read and matched
     # once, although totals and ranks both need it.
@@ -50,7 +49,7 @@ def performance_report(lines: DataFrame, line: str = "value", *, by: Sequence[st
         F.sum("lines").alias("lines"),
         F.coalesce(F.sum(F.when(F.col("duration_ms").isNotNull(), F.col("lines"))), F.lit(0)).alias("requests"),
         F.sum("errors").alias("errors"),
-        F.coalesce(F.sum("bytes"), F.lit(0.0)).cast("bigint").alias("total_bytes"),
+        F.coalesce(F.sum("bytes").try_cast("bigint"), F.lit(0)).alias("total_bytes"),
         *[(F.sum(f"{c}_sum") / F.sum(f"{c}_n")).alias(c) for c in SYSTEM],
     )
     ranks = nearest_rank(per_duration, part, "duration_ms", PERCENTILES, count="__n", weight="lines").drop("__n")

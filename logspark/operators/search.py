@@ -150,13 +150,14 @@ def relevance(df: DataFrame, text: str, *, field: str = "message", name: str = "
     return df.withColumn(name, score.cast("bigint"))
 
 
-def newest(df: DataFrame, *, ts: str = "timestamp", tie: str = "id", offset: int = 0, limit: int = MAX_RESULTS) -> DataFrame:
-    """Newest first with a unique tie-break. Deep pages should use :func:`newest_after` instead."""
-    return df.orderBy(F.col(ts).desc(), F.col(tie)).offset(offset).limit(limit)
+def newest(df: DataFrame, *, ts: str = "timestamp", tie: str = "id", offset: int = 0, limit: int | None = MAX_RESULTS) -> DataFrame:
+    """Newest first with a unique tie-break; ``limit=None`` gives all. Deep pages should use :func:`newest_after` instead."""
+    ordered = df.orderBy(F.col(ts).desc(), F.col(tie)).offset(offset)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def newest_after(
-    df: DataFrame, last: tuple[Any, Any], *, ts: str = "timestamp", tie: str = "id", limit: int = MAX_RESULTS
+    df: DataFrame, last: tuple[Any, Any], *, ts: str = "timestamp", tie: str = "id", limit: int | None = MAX_RESULTS
 ) -> DataFrame:
     """Keyset paging: the page that follows the row ``(last_ts, last_tie)``; cost does not grow with depth."""
     last_ts, last_tie = F.lit(last[0]), F.lit(last[1])

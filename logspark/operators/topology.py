@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from logspark.functions.timefx import as_of_or_latest, seconds_before
 from logspark.operators.metrics import HEALTHY_DURATION_MS, HEALTHY_ERROR_RATE, count_if
-from logspark.operators.ordered import micros
+from logspark.operators.ordered import micros, time_chunk
 from logspark.session import cut_lineage
 
 # Edge strength, blast severities, deployment window, graph caps, correlation settings.
@@ -26,10 +26,6 @@ CORRELATION_SECONDS = 300
 MIN_CORRELATION = 0.3
 VERSION_TAGS = ("version", "service.version")
 ENDPOINT_TAGS = ("http.url", "http.route")
-# Rows of the halving mean that can matter: a weight of 2^-1000 changes no double sum unless the
-# values themselves differ by a factor above 10^280. The rank limit is pushed below the shuffle up
-# to this size.
-HALVING_ROWS = 1000
 
 
 def service_rollup(spans: DataFrame) -> DataFrame:
@@ -137,21 +133,22 @@ def dependency_operations(spans: DataFrame) -> DataFrame:
     return service_calls(spans).groupBy("from", "to", "operation").agg(F.sum("calls").alias("calls"))
 
 
-def halving_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, *, name: str = "halving_mean") -> DataFrame:
-    """The order-dependent mean ``m = (m + x) / 2`` from 0, in closed form.
+def halving_mean(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, *, name: str = "halving_mean", chunk_seconds: int = 86400
+) -> DataFrame:
+    """The order-dependent mean ``m = (m + x) / 2`` from 0, in closed form over all rows.
 
-    The last row weighs 1/2, the one before 1/4 and so on. Rows beyond ``HALVING_ROWS`` lie far
-    below the precision of a double, so the rank limit (applied before the shuffle) changes nothing.
+    The last row weighs 1/2, the one before 1/4 and so on. Rows are weighed inside chunks of time (by the
+    first order column), and each chunk's sum is halved once per row after it.
     """
-    latest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    return (
-        df.where(F.col(value).isNotNull() & (F.col(value) != 0))
-        .select(*keys, *order, value)
-        .withColumn("__back", F.row_number().over(latest))
-        .where(F.col("__back") <= HALVING_ROWS)
-        .groupBy(*keys)
-        .agg(F.sum(F.col(value) * F.pow(F.lit(0.5), F.col("__back"))).alias(name))
-    )
+    chunk = time_chunk(F.col(order[0]), chunk_seconds)
+    rows = df.where(F.col(value).isNotNull() & (F.col(value) != 0)).select(*keys, *order, value, chunk.alias("__chunk"))
+    latest = Window.partitionBy(*keys, "__chunk").orderBy(*[F.col(c).desc() for c in order])
+    half = F.pow(F.lit(0.5), F.row_number().over(latest))
+    chunks = rows.withColumn("__part", F.col(value) * half).groupBy(*keys, "__chunk").agg(F.sum("__part").alias("__part"), F.count(F.lit(1)).alias("__rows"))
+    after = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(1, Window.unboundedFollowing)
+    decayed = F.col("__part") * F.pow(F.lit(0.5), F.coalesce(F.sum("__rows").over(after), F.lit(0)))
+    return chunks.withColumn("__part", decayed).groupBy(*keys).agg(F.sum("__part").alias(name))
 
 
 def call_rows(spans: DataFrame) -> DataFrame:
@@ -165,15 +162,15 @@ def call_rows(spans: DataFrame) -> DataFrame:
     )
 
 
-def graph_nodes(known: DataFrame, *, limit: int | None = MAX_NODES) -> DataFrame:
-    """Nodes with status; beyond ``limit`` the busiest stay (the configured graph size)."""
+def graph_nodes(known: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """Nodes with status; with a ``limit`` (``MAX_NODES`` is the configured graph size) the busiest stay."""
     nodes = service_health(known)
     if limit is None:
         return nodes
     return nodes.orderBy((F.col("span_count") + F.col("log_count")).desc(), "service").limit(limit)
 
 
-def graph_edges(edges: DataFrame, *, limit: int | None = MAX_EDGES) -> DataFrame:
+def graph_edges(edges: DataFrame, *, limit: int | None = None) -> DataFrame:
     out = edges.select(F.col("from").alias("source"), F.col("to").alias("target"), "strength", "calls", "avg_latency")
     if limit is None:
         return out
@@ -231,17 +228,20 @@ def blast_radius(incidents: DataFrame, edges: DataFrame, deployments: DataFrame)
     )
 
 
-def paths_from(edges: DataFrame, source: str, *, max_hops: int = 16) -> DataFrame:
+def paths_from(edges: DataFrame, source: str, *, max_hops: int | None = None) -> DataFrame:
     """Best path from ``source`` to every reachable service: fewest hops, then the smallest path.
 
     Each round joins the newest frontier with the edges and keeps one path per service, so the
-    state never exceeds the number of services. Rounds are checkpointed in the shared folder.
+    state never exceeds the number of services and the rounds end by themselves. Rounds are checkpointed
+    in the shared folder.
     """
     steps = edges.select(F.col("from").alias("service"), F.col("to").alias("next")).distinct()
     spark = edges.sparkSession
     start = spark.createDataFrame([(source, [source], 0)], "service STRING, path ARRAY<STRING>, hops INT")
     reached = frontier = cut_lineage(start)
-    for hop in range(1, max_hops + 1):
+    hop = 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         candidates = (
             frontier.join(steps, "service")
             .select(F.col("next").alias("service"), F.concat("path", F.array("next")).alias("path"))
@@ -255,7 +255,7 @@ def paths_from(edges: DataFrame, source: str, *, max_hops: int = 16) -> DataFram
     return reached
 
 
-def path_between(edges: DataFrame, source: str, target: str, *, max_hops: int = 16) -> DataFrame:
+def path_between(edges: DataFrame, source: str, target: str, *, max_hops: int | None = None) -> DataFrame:
     """The best path between two services; no row when there is none."""
     return paths_from(edges, source, max_hops=max_hops).where(F.col("service") == target).select("path", "hops")
 

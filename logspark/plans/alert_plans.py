@@ -43,9 +43,11 @@ def alert_sessions(t):
     return L.alert_sessions(fired(t), gap_seconds=7200)
 
 
-STATES = """, q AS (SELECT *, sum((NOT fired)::INTEGER) OVER (PARTITION BY rule_name, service ORDER BY ts) AS k, lead(ts) OVER (PARTITION BY rule_name, service ORDER BY ts) AS nxt FROM ev),
- isl AS (SELECT rule_name, service, min(ts) AS starts_at, max(ts) AS last_seen, arg_max(nxt, ts) AS ends0, max(nxt) AS m, bool_or(nxt IS NULL) AS open, count(*) AS n FROM q WHERE fired GROUP BY rule_name, service, k),
- states AS (SELECT rule_name, service, starts_at, last_seen, CASE WHEN NOT open THEN m END AS ends_at, n, CASE WHEN open THEN 'firing' ELSE 'resolved' END AS status FROM isl)"""
+STATES = """, q0 AS (SELECT *, lag(ts) OVER p AS prev, lead(ts) OVER p AS nxt FROM ev WINDOW p AS (PARTITION BY rule_name, service ORDER BY ts)),
+ q AS (SELECT *, sum((NOT fired)::INTEGER + coalesce(ts - prev > INTERVAL 1 HOUR, false)::INTEGER) OVER (PARTITION BY rule_name, service ORDER BY ts) AS k FROM q0),
+ isl AS (SELECT rule_name, service, min(ts) AS starts_at, max(ts) AS last_seen, max(nxt) AS m, bool_or(nxt IS NULL) AS open, count(*) AS n FROM q WHERE fired GROUP BY rule_name, service, k),
+ states AS (SELECT rule_name, service, starts_at, last_seen, CASE WHEN NOT open THEN CASE WHEN m - last_seen > INTERVAL 1 HOUR THEN last_seen + INTERVAL 1 HOUR ELSE m END END AS ends_at, n,
+  CASE WHEN open THEN 'firing' ELSE 'resolved' END AS status FROM isl)"""
 
 
 @query("alert_states", WITH + ", " + EVALUATED + STATES + " SELECT * FROM states")
@@ -105,7 +107,7 @@ def alert_suppressed(t):
     WITH + ", " + EVALUATED
     + """ SELECT rule_name, service, ts, CASE rule_name WHEN 'high_error_rate' THEN printf('Error rate is %.2f%% (threshold: 5%%)', value * 100)
   WHEN 'high_latency_p95' THEN printf('P95 latency is %.0fms (threshold: 1000ms)', value) ELSE printf('Throughput is %.2f RPS', value) END AS summary,
- concat('https://runbooks.company.com/', CASE rule_name WHEN 'high_latency_p95' THEN 'high-latency' ELSE replace(rule_name, '_', '-') END) AS runbook,
+ concat('https://runbooks.example.com/', CASE rule_name WHEN 'high_latency_p95' THEN 'high-latency' ELSE replace(rule_name, '_', '-') END) AS runbook,
  sha256(concat('{"ruleName":"', rule_name, '","labels":{},"service":"', service, '"}')) AS fingerprint FROM ev WHERE fired""",
 )
 def alert_annotations(t):
@@ -121,10 +123,10 @@ SLOS = """SELECT 'checkout' AS slo, 'svc-1' AS service, CAST(0.9 AS DOUBLE) AS o
     WITH
     + f""", s0 AS ({SLOS.format(q='"')}), s AS (SELECT slo, service, coalesce(error_budget, round(1 - coalesce(objective, 0.999::DOUBLE), 12)) AS budget, coalesce("window", '30d') AS w, coalesce(burn_rate_threshold, 2.0::DOUBLE) AS th FROM s0),
  w(look_back, hrs) AS (VALUES ('1h', 1), ('6h', 6), ('1d', 24), ('7d', 168), ('30d', 720), ('1w', 168)),
- f AS (SELECT slo, s.service, look_back, budget, th, count(*) AS requests, count(*) FILTER (WHERE level IN ('ERROR', 'FATAL')) AS errors FROM s JOIN w ON look_back IN ('1h', '6h', '1d', '7d') OR look_back = w
-  JOIN logs l ON l.service = s.service AND l.timestamp > (SELECT max(timestamp) FROM logs) - to_hours(hrs) GROUP BY ALL)
- SELECT slo, service, look_back, requests, errors, round(errors::DOUBLE / requests / budget, 6) AS burn_rate, round(1 - errors::DOUBLE / requests / budget, 6) AS budget_left,
- CASE WHEN errors::DOUBLE / requests / budget > greatest(10, th) THEN 'critical' WHEN errors::DOUBLE / requests / budget > th THEN 'warning' END AS severity FROM f""",
+ f AS (SELECT slo, s.service, look_back, budget, th, count(l.id) AS requests, count(*) FILTER (WHERE level IN ('ERROR', 'FATAL')) AS errors FROM s JOIN w ON look_back IN ('1h', '6h', '1d', '7d') OR look_back = w
+  LEFT JOIN logs l ON l.service = s.service AND l.timestamp > (SELECT max(timestamp) FROM logs) - to_hours(hrs) GROUP BY ALL)
+ SELECT slo, service, look_back, requests, errors, round(errors::DOUBLE / nullif(requests, 0) / budget, 6) AS burn_rate, round(1 - errors::DOUBLE / nullif(requests, 0) / budget, 6) AS budget_left,
+ CASE WHEN errors::DOUBLE / nullif(requests, 0) / budget > greatest(10, th) THEN 'critical' WHEN errors::DOUBLE / nullif(requests, 0) / budget > th THEN 'warning' END AS severity FROM f""",
 )
 def slo_burn_rate(t):
     rates = L.burn_rates(t.logs, t.values(SLOS.format(q="`")))

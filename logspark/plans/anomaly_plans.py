@@ -150,7 +150,9 @@ def band_breaches(t):
 @query(
     "throughput_drop",
     WITH_LOGS
-    + """, c AS (SELECT service, date_trunc('hour', timestamp)::TIMESTAMP AS bucket, count(*) AS n FROM logs GROUP BY 1, 2),
+    + """, seen AS (SELECT service, date_trunc('hour', timestamp)::TIMESTAMP AS bucket, count(*) AS n FROM logs GROUP BY 1, 2),
+ steps AS (SELECT service, unnest(range(min(bucket), (SELECT max(bucket) FROM seen) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS bucket FROM seen GROUP BY 1),
+ c AS (SELECT service, bucket, coalesce(n, 0) AS n FROM steps LEFT JOIN seen USING (service, bucket)),
  w AS (SELECT *, avg(n) OVER p AS baseline, count(*) OVER p AS k FROM c WINDOW p AS (PARTITION BY service ORDER BY bucket ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
  SELECT service, bucket, n, round(baseline, 6) AS baseline FROM w WHERE k = 24 AND n <= 0.7 * baseline""",
 )

@@ -28,7 +28,8 @@ def format_counts(t):
     "parsed_logs",
     WITH_LINES
     + """ SELECT line_no, l.source, CASE seq % 5 WHEN 0 THEN 'json' WHEN 1 THEN 'docker' WHEN 2 THEN 'logfmt' WHEN 3 THEN 'rfc3164' ELSE 'raw' END AS format,
- CASE WHEN seq % 5 < 3 THEN date_trunc('second', timestamp)::TIMESTAMP END AS timestamp,
+ CASE WHEN seq % 5 < 3 THEN date_trunc('second', timestamp)::TIMESTAMP WHEN seq % 5 = 3 THEN TIMESTAMP '2024-01-15 10:30:00' -
+  CASE WHEN TIMESTAMP '2024-01-14 10:30:00' > (SELECT max(timestamp) FROM logs) THEN INTERVAL 1 YEAR ELSE INTERVAL 0 YEAR END END AS timestamp,
  CASE WHEN seq % 5 < 4 THEN level WHEN endpoint = '/error' THEN 'ERROR' ELSE 'INFO' END AS level,
  CASE seq % 5 WHEN 0 THEN message WHEN 1 THEN concat('[main] GET ', endpoint, ' response_time=', response_time, 'ms ', message)
   WHEN 3 THEN message ELSE value END AS message,
@@ -38,16 +39,17 @@ def format_counts(t):
  FROM lines l JOIN logs ON seq = line_no""",
 )
 def parsed_logs(t):
-    logs = P.parse_logs(t.lines).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    now = t.logs.agg(F.max("timestamp")).scalar()
+    logs = P.parse_logs(t.lines, as_of=now).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
     return logs.select("line_no", "source", "format", "timestamp", "level", "message", "service", "response_time", "status_code")
 
 
 @query(
     "parse_quarantine",
-    WITH_LINES + " SELECT format, count(*) AS n, 0::BIGINT AS rejected FROM (SELECT " + FORMAT + " AS format FROM lines) GROUP BY 1",
+    WITH_LINES + " SELECT format, count(*) AS n, count(*) FILTER (WHERE format = 'rfc3164') AS rejected FROM (SELECT " + FORMAT + " AS format FROM lines) GROUP BY 1",
 )
 def parse_quarantine(t):
-    """Outcome counts per format: received and rejected."""
+    """Outcome counts per format: received and rejected; without ``as_of`` syslog times cannot be read."""
     parsed = P.parse_logs(t.lines)
     bad = P.quarantine(parsed).groupBy("format").agg(F.count(F.lit(1)).alias("rejected"))
     all_ = parsed.groupBy("format").agg(F.count(F.lit(1)).alias("n"))

@@ -95,6 +95,19 @@ def graph_edges(t):
     return G.graph_edges(G.dependencies(t.spans), limit=100).withColumn("avg_latency", F.round("avg_latency", 6))
 
 
+@query("graph_nodes_all", WITH_ALL + ", " + KNOWN + " SELECT * REPLACE (round(avg_duration, 6) AS avg_duration) FROM health")
+def graph_nodes_all(t):
+    return G.graph_nodes(known(t)).withColumn("avg_duration", F.round("avg_duration", 6))
+
+
+@query(
+    "graph_edges_all",
+    WITH_SPANS + ", " + CALLS + ' SELECT "from" AS source, "to" AS target, strength, calls, round(avg_latency, 6) AS avg_latency FROM edges',
+)
+def graph_edges_all(t):
+    return G.graph_edges(G.dependencies(t.spans)).withColumn("avg_latency", F.round("avg_latency", 6))
+
+
 # Logs and spans name different services, so the incident graph links the log services among themselves.
 LOG_EDGES = """log_edges AS (SELECT DISTINCT concat('svc-', CAST(user_id % 8 AS STRING)) AS "from", concat('svc-', CAST(event_id % 8 AS STRING)) AS "to"
  FROM events WHERE user_id % 8 <> event_id % 8 AND event_id % 8 <= user_id % 8 + 1)"""
@@ -139,23 +152,20 @@ def deploy_correlation(t):
     return G.deploys_near(G.impacted(incidents(t), log_edges(t)), t.deployments)
 
 
-PATHS = """busy AS (SELECT "from", "to" FROM edges WHERE calls * 100 >= (SELECT max(calls) FROM edges) * 62),
- walk AS (SELECT (SELECT min("from") FROM busy) AS service, [(SELECT min("from") FROM busy)] AS path, 0 AS hops
-  UNION ALL SELECT b."to", list_append(path, b."to"), hops + 1 FROM walk JOIN busy b ON b."from" = walk.service WHERE NOT list_contains(path, b."to") AND hops < 8),
+# One walk per service and level, so the search stays small on a dense graph.
+PATHS = """walk AS (SELECT (SELECT min("from") FROM edges) AS service, [(SELECT min("from") FROM edges)] AS path, 0 AS hops
+  UNION ALL SELECT b."to", min(list_append(path, b."to")), hops + 1 FROM walk JOIN edges b ON b."from" = walk.service WHERE hops < 24 GROUP BY b."to", hops),
  best AS (SELECT service, path, hops, row_number() OVER (PARTITION BY service ORDER BY hops, path) AS k FROM walk)"""
 
 
-def busy_paths(t):
+def all_paths(t):
     edges = G.cut_lineage(G.dependencies(t.spans).select("from", "to", "calls"))
-    most = edges.agg(F.max("calls").alias("m")).scalar()
-    busy = edges.where(F.col("calls") * 100 >= most * 62)
-    source = busy.agg(F.min("from")).first()[0]
-    return G.paths_from(busy, source, max_hops=8), busy
+    return G.paths_from(edges, edges.agg(F.min("from")).first()[0])
 
 
 @query("service_paths", WITH_SPANS + ", " + CALLS + ", " + PATHS + " SELECT service, array_to_string(path, ' > ') AS path, hops FROM best WHERE k = 1")
 def service_paths(t):
-    return busy_paths(t)[0].select("service", F.array_join("path", " > ").alias("path"), "hops")
+    return all_paths(t).select("service", F.array_join("path", " > ").alias("path"), "hops")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,20 @@ def write_cold(df: DataFrame, path: str, *, mode: str = "append") -> None:
     table.write.mode(mode).partitionBy(*parts).json(path)
 
 
+def drop_days_before(spark: SparkSession, path: str, first_day: datetime.date) -> list[str]:
+    """Delete the ``event_date`` partitions before ``first_day`` and return their names; works on any Hadoop file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for status in store.listStatus(folder):
+        name = status.getPath().getName()
+        day = name.removeprefix("event_date=")
+        if status.isDirectory() and name.startswith("event_date=") and day < first_day.isoformat() and day[:1].isdigit():
+            store.delete(status.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
+
+
 def overwrite_days(df: DataFrame, path: str) -> None:
     """Replace only the partitions present in ``df`` (late-data repair, retention)."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.functions.levels import severity_number
+from logspark.functions.text import json_map
 
 # Intake topics.
 TOPICS = ("logs", "metrics", "traces")
@@ -38,11 +39,16 @@ def signal(topic: Column) -> Column:
 
 
 def envelopes(records: DataFrame, *, transport: str = "kafka") -> DataFrame:
-    """Typed envelopes of raw records ``(topic, value, timestamp)``; ``body`` is NULL for bad JSON."""
+    """Typed envelopes of raw records ``(topic, value, timestamp)``; ``body`` is NULL for bad JSON.
+
+    An item that says it is a ``log``, ``metric`` or ``trace`` goes there, else its topic decides. The last
+    value of a repeated key wins.
+    """
     text = F.col("value").cast("string")
+    said = F.lower(F.get_json_object(text, "$.type"))
     return records.select(
-        signal(F.col("topic")).alias("type"), F.lit(transport).alias("transport"), F.col("topic").alias("source"), "timestamp",
-        F.from_json(F.when(F.try_parse_json(text).isNotNull(), text), STRING_MAP).alias("body"), text.alias("raw"),
+        F.when(said.isin("log", "metric", "trace"), said).otherwise(signal(F.col("topic"))).alias("type"), F.lit(transport).alias("transport"), F.col("topic").alias("source"), "timestamp",
+        json_map(F.when(F.ltrim(text).startswith("{"), text)).alias("body"), text.alias("raw"),
     )
 
 
@@ -116,6 +122,14 @@ def metric_records(messages: DataFrame) -> DataFrame:
     return messages.select(*[c.alias(n) for n, c in cols.items()], named.alias("attributes"))
 
 
+def tag_map(text: Column) -> Column:
+    """Tags as a map, from a JSON object or from an array of ``{"key": .., "value": ..}``; the last value of a key wins."""
+    items = F.filter(F.from_json(text, "array<struct<key:string,value:string>>"), lambda e: e["key"].isNotNull())
+    flat = F.flatten(F.transform(items, lambda e: F.array(e["key"], e["value"])))
+    listed = F.when(F.ltrim(text).startswith("["), field_list(flat))
+    return F.coalesce(listed, F.from_json(text, STRING_MAP), F.create_map().cast(STRING_MAP))
+
+
 def span_records(messages: DataFrame) -> DataFrame:
     """Normalised spans with numeric times; a missing duration is ``end - start``."""
     cols = {n: _alias("body", a) for n, a in SPAN_ALIASES.items()}
@@ -123,11 +137,13 @@ def span_records(messages: DataFrame) -> DataFrame:
         cols[n] = cols[n].try_cast("double")
     cols["duration"] = F.coalesce(F.nullif(cols["duration"], F.lit(0.0)), cols["end_time"] - cols["start_time"])
     process = F.from_json(F.try_element_at("body", F.lit("process")), STRING_MAP)
-    tags = F.coalesce(F.try_element_at("body", F.lit("tags")), F.try_element_at("body", F.lit("attributes")))
+    tags = tag_map(F.coalesce(F.try_element_at("body", F.lit("tags")), F.try_element_at("body", F.lit("attributes"))))
+    failed = F.lower(F.coalesce(F.try_element_at(tags, F.lit("error")), _alias("body", ("error",)), F.lit("false"))) == "true"
     return messages.select(
         *[c.alias(n) for n, c in cols.items()],
+        failed.alias("error"),
         F.coalesce(F.try_element_at(process, F.lit("serviceName")), _alias("body", ("serviceName",)), F.lit("unknown")).alias("service"),
-        F.coalesce(F.from_json(tags, STRING_MAP), F.create_map().cast(STRING_MAP)).alias("tags"),
+        tags.alias("tags"),
     )
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logspark.functions import levels, pii, text, timefx
-from logspark.operators import alerts, audit, enrich, metrics, multiline, parse, report, search, tiers, topology
+from logspark.operators import alerts, anomaly, audit, enrich, metrics, multiline, parse, report, search, tiers, topology
 from logspark.operators.ordered import nearest_rank
 from logspark.sources import intake
 
@@ -284,3 +284,127 @@ def test_histogram_quantile_in_the_last_bucket(spark):
     df = spark.createDataFrame([(float(x),) for x in (9000, 9000, 1)], "x DOUBLE")
     hist = metrics.latency_histogram(df, "x")
     assert metrics.histogram_quantile(hist, 0.95).first()["quantile"] == 5000.0
+
+
+def test_odd_numbers_end_no_job(spark):
+    lines = spark.createDataFrame(
+        [("2024-01-15T10:30:00Z ERROR [m] GET /a response_time=99999999999999999999ms x",), ('10.0.0.1 - - "GET /" 200 12e400 45',), ("took 5 ms",)], "value STRING"
+    )
+    assert [r["response_time"] for r in parse.app_entries(lines).collect()] == [0]
+    assert report.performance_report(lines).collect()[0]["total_bytes"] is not None
+    assert parse.app_entries(spark.createDataFrame([("2024-01-15T10:30:00Z INFO [m] GET /a 12345ms x",)], "value STRING")).first()["response_time"] == 12345
+
+
+def test_zero_threshold_and_zero_budget(spark):
+    from datetime import datetime
+
+    rows = spark.createDataFrame([(datetime(2024, 1, 1), "svc", "error_rate", 0.5)], "ts TIMESTAMP, service STRING, name STRING, value DOUBLE")
+    limits = spark.createDataFrame([("error_rate", 0.0)], "name STRING, threshold DOUBLE")
+    assert anomaly.threshold_anomalies(rows, limits).first()["confidence"] == 1.0
+    logs = spark.createDataFrame([(datetime(2024, 1, 1), "a", "ERROR"), (datetime(2024, 1, 1), "b", "INFO")], "timestamp TIMESTAMP, service STRING, level STRING")
+    slos = spark.createDataFrame(
+        [("x", "a", 1.0, None, "30d", None), ("y", "b", 1.0, None, "30d", None), ("z", "c", 0.9, None, "30d", None)],
+        "slo STRING, service STRING, objective DOUBLE, error_budget DOUBLE, window STRING, burn_rate_threshold DOUBLE",
+    )
+    got = {(r["slo"], r["look_back"]): r for r in alerts.burn_rates(logs, slos, windows=("1h",)).collect()}
+    assert got["x", "1h"]["severity"] == "critical" and got["y", "1h"]["burn_rate"] is None
+    assert (got["z", "30d"]["requests"], got["z", "30d"]["burn_rate"]) == (0, None)
+
+
+def test_full_outage_is_a_drop(spark):
+    from datetime import datetime, timedelta
+
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(hours=h), "a") for h in range(40) if h not in (30, 31, 32) for _ in range(5)]
+    rows += [(start + timedelta(hours=h), "b") for h in range(36) for _ in range(5)] + [(start + timedelta(hours=39), "c")]
+    logs = spark.createDataFrame(rows, "timestamp TIMESTAMP, service STRING")
+    got = {(r["service"], r["bucket"].hour, r["n"]) for r in anomaly.throughput_drop(logs).collect()}
+    assert got == {("a", h % 24, 0) for h in (30, 31, 32)} | {("b", h % 24, 0) for h in (36, 37, 38, 39)}
+
+
+def test_unevaluated_time_is_not_held(spark):
+    from datetime import datetime
+
+    at = lambda h: datetime(2024, 1, 1, h)
+    rows = [("r", "s", at(1), True, 1.0), ("r", "s", at(9), True, 1.0), ("r", "s", at(10), True, 1.0), ("r", "s", at(11), False, 0.0)]
+    seen = spark.createDataFrame(rows, "rule_name STRING, service STRING, ts TIMESTAMP, fired BOOLEAN, value DOUBLE")
+    got = sorted((r["starts_at"].hour, r["ends_at"].hour, r["n"], r["status"]) for r in alerts.alert_states(seen).collect())
+    assert got == [(1, 2, 1, "resolved"), (9, 11, 2, "resolved")]
+    assert alerts.alert_states(seen, hold_seconds=3 * 3600).count() == 0
+
+
+def test_times_without_year_and_more_iso_shapes(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from logspark.functions.timefx import parse_timestamp
+
+    texts = {
+        "Dec 31 23:00:00": datetime(2023, 12, 31, 23), "Jan  2 00:00:00": datetime(2024, 1, 2), "Feb 29 00:00:00": None,
+        "2024-01-15T10:30:00+0200": datetime(2024, 1, 15, 8, 30), "2024-01-15T10:30": datetime(2024, 1, 15, 10, 30),
+        "2024-01-15 10:30:00Z": datetime(2024, 1, 15, 10, 30), "2024-01-15 10:30:00+02:00": datetime(2024, 1, 15, 8, 30),
+    }
+    read = parse_timestamp(F.col("t"), as_of=F.lit(datetime(2024, 1, 1, 12))).cast("timestamp_ntz")
+    got = {r["t"]: r["x"] for r in spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", read.alias("x")).collect()}
+    assert got == texts
+
+
+def test_joined_entry_keeps_its_trace_and_repeated_keys_are_read(spark):
+    entry = "2024-01-15T10:30:00Z ERROR [main] com.a.B: boom\n    at x.y"
+    got = {r["format"]: r for r in parse.parse_logs(spark.createDataFrame([(entry,), ('{"message":"a","level":"WARN","message":"b"}',)], "value STRING")).collect()}
+    assert got["java_stacktrace"]["message"] == "boom\n    at x.y"
+    assert (got["json"]["message"], got["json"]["level"]) == ("b", "WARN")
+
+
+def test_items_go_where_they_say_and_tag_arrays_are_read(spark):
+    from logspark.sources import intake
+
+    span = '{"type":"trace","traceId":"t","spanId":"s","start":1,"end":3,"tags":[{"key":"http.url","value":"/a"},{"key":"error","value":"true"}]}'
+    rows = [("otel", '{"type":"metric","name":"m","value":1}'), ("otel", span), ("traces", '{"a":1}')]
+    made = intake.envelopes(spark.createDataFrame(rows, "topic STRING, value STRING").selectExpr("*", "current_timestamp() AS timestamp"))
+    parts = intake.split_signals(made)
+    assert [parts[k].count() for k in ("metric", "trace", "log")] == [1, 2, 0]
+    spans = {r["trace_id"]: r for r in intake.span_records(parts["trace"]).collect()}
+    assert spans["t"]["tags"] == {"http.url": "/a", "error": "true"} and spans["t"]["error"] is True and spans[None]["error"] is False
+
+
+def test_personal_data_in_nested_values(spark):
+    from logspark.functions import pii
+
+    row = spark.createDataFrame([(["a@b.co"], [{"x": ["mail c@d.co"]}], 5)], "a ARRAY<STRING>, b ARRAY<STRUCT<x:ARRAY<STRING>>>, n INT")
+    got = pii.redact(row, "remove").first()
+    assert (got["a"], got["b"][0]["x"], got["n"]) == (["[EMAIL_REDACTED]"], ["mail [EMAIL_REDACTED]"], 5)
+
+
+def test_halving_mean_over_many_rows(spark):
+    from datetime import datetime, timedelta
+
+    values = [float(i % 7 + 1) for i in range(3000)]
+    rows = [("k", datetime(2024, 1, 1) + timedelta(minutes=7 * i), v) for i, v in enumerate(values)]
+    mean = 0.0
+    for v in values:
+        mean = (mean + v) / 2
+    got = topology.halving_mean(spark.createDataFrame(rows, "k STRING, ts TIMESTAMP, v DOUBLE"), ["k"], ["ts"], "v").first()["halving_mean"]
+    assert abs(got - mean) < 1e-12
+
+
+def test_outliers_do_not_depend_on_the_layout(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.gauss(5 * (i % 3), 1), rng.gauss(0, 1)) for i in range(600)] + [(1000, 40.0, 9.0)]
+    frame = spark.createDataFrame(rows, "id INT, x DOUBLE, y DOUBLE")
+    made = [sorted(map(tuple, anomaly.cluster_outliers(frame.repartition(n), ["x", "y"]).collect())) for n in (2, 4, 16)]
+    assert made[0] == made[1] == made[2] and any(r[0] == 1000 for r in made[0])
+
+
+def test_expired_days_are_deleted(spark, tmp_path):
+    from datetime import date, datetime
+
+    from logspark.sources import files
+
+    rows = spark.createDataFrame([(datetime(2024, 1, 1), 1), (datetime(2024, 2, 28), 2)], "timestamp TIMESTAMP, n INT")
+    files.write_hot(rows, str(tmp_path / "hot"))
+    assert files.drop_days_before(spark, str(tmp_path / "hot"), date(2024, 1, 31)) == ["event_date=2024-01-01"]
+    assert [r["n"] for r in spark.read.parquet(str(tmp_path / "hot")).collect()] == [2]
