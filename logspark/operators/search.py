@@ -17,6 +17,8 @@ from logspark.functions.timefx import as_of_or_latest, seconds_before, span_seco
 MAX_RESULTS = 10_000
 DEFAULT_RANGE = "24h"
 MAX_PAGE_SIZE = 500
+# The partition column of daily tables.
+DAY = "event_date"
 # The quick ranges of the free search; anything else means 24 hours.
 QUICK_RANGES = {"15m": 15 * 60, "1h": 3600, "24h": 86400}
 
@@ -60,10 +62,15 @@ def time_between(start: Any, end: Any, *, ts: str = "timestamp", day: str | None
     return _all(conditions)
 
 
-def within(df: DataFrame, span: str, *, as_of: Any = None, ts: str = "timestamp") -> DataFrame:
+def partition_of(df: DataFrame, day: str | None) -> str | None:
+    """The partition column of a daily table, where the table has it; time ranges then prune whole days."""
+    return day if day in df.columns else None
+
+
+def within(df: DataFrame, span: str = DEFAULT_RANGE, *, as_of: Any = None, ts: str = "timestamp", day: str | None = DAY) -> DataFrame:
     """Rows of the last ``span`` (``24h 7d 1w 1m 1y``; here ``m`` is minutes) up to ``as_of``."""
     now = as_of_or_latest(df, ts, as_of)
-    return df.where((F.col(ts) >= seconds_before(now, span_seconds(span, m="minute"))) & (F.col(ts) <= now))
+    return df.where(time_between(seconds_before(now, span_seconds(span, m="minute")), now, ts=ts, day=partition_of(df, day)))
 
 
 def has_all_words(text: str, *, field: str = "message") -> Column:
@@ -89,9 +96,10 @@ def entries(
     start: datetime | str | None = None,
     end: datetime | str | None = None,
     text: str | None = None,
+    day: str | None = DAY,
 ) -> DataFrame:
     """The entries filter: level equal (upper-cased), endpoint contains, closed time range, message contains."""
-    conditions = [time_between(start, end)]
+    conditions = [time_between(start, end, day=partition_of(df, day))]
     if level:
         conditions.append(F.col("level") == level.upper())
     if endpoint:
@@ -102,7 +110,8 @@ def entries(
 
 
 def quick_search(
-    df: DataFrame, *, text: str | None = None, level: str | None = None, service: str | None = None, time_range: str | None = None, as_of: Any = None
+    df: DataFrame, *, text: str | None = None, level: str | None = None, service: str | None = None, time_range: str | None = None, as_of: Any = None,
+    day: str | None = DAY,
 ) -> DataFrame:
     """The free search: level equal, service contains, message contains, quick range."""
     conditions = []
@@ -114,7 +123,8 @@ def quick_search(
         conditions.append(contains_text(text))
     if time_range:
         now = as_of_or_latest(df, "timestamp", as_of)
-        conditions.append(F.col("timestamp") >= seconds_before(now, QUICK_RANGES.get(time_range, QUICK_RANGES["24h"])))
+        start = seconds_before(now, QUICK_RANGES.get(time_range, QUICK_RANGES["24h"]))
+        conditions.append(time_between(start, None, day=partition_of(df, day)))
     return df.where(_all(conditions))
 
 
@@ -126,9 +136,10 @@ def fielded(
     text: str | None = None,
     start: Any = None,
     end: Any = None,
+    day: str | None = DAY,
 ) -> DataFrame:
     """Fielded search from arguments: equality or IN per field, comparisons, all words of ``text``, time range."""
-    conditions = [equals(fields or {}), time_between(start, end)]
+    conditions = [equals(fields or {}), time_between(start, end, day=partition_of(df, day))]
     conditions += [compare(*c) for c in comparisons]
     if text:
         conditions.append(has_all_words(text))

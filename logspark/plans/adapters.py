@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.operators.metrics import service_metrics
+from logspark.session import cut_lineage
 
 LOGS = """
 SELECT CAST(event_id AS STRING) AS id, event_id AS seq, ts AS timestamp,
@@ -150,8 +151,8 @@ class Tables:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        """Hourly metrics, computed by the library instead of the view text."""
-        return service_metrics(self.logs)
+        """Hourly metrics, computed by the library instead of the view text; written once, as most users read them several times."""
+        return cut_lineage(service_metrics(self.logs))
 
     @cached_property
     def metrics_as_of(self) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from logspark.operators import anomaly as A
 from logspark.plans.adapters import ctes
 from logspark.plans.registry import query
+from logspark.session import cut_lineage
 
 WITH_LOGS = f"WITH {ctes('logs')}"
 WITH_METRICS = f"WITH {ctes('metrics')}"
@@ -192,7 +193,8 @@ def anomaly_merge(t):
  WHERE ts > (SELECT max(ts) FROM anomalies) - INTERVAL 24 HOUR ORDER BY ts DESC, type, metric, service LIMIT 10""",
 )
 def recent_anomalies(t):
-    return A.recent_anomalies(all_anomalies(t)).withColumn("confidence", F.round("confidence", 5))
+    # Read twice, for the rows and for the latest time.
+    return A.recent_anomalies(cut_lineage(all_anomalies(t))).withColumn("confidence", F.round("confidence", 5))
 
 
 @query("cluster_outliers")

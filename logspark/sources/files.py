@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logspark.functions.timefx import span_seconds
+from logspark.operators.tiers import HOT, WARM, union_tiers
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of all text files of a folder with their file name; files are split across tasks."""
@@ -78,6 +82,32 @@ def write_cold(df: DataFrame, path: str, *, mode: str = "append") -> None:
     table.write.mode(mode).partitionBy(*parts).json(path)
 
 
+def read_range(spark: SparkSession, paths: Mapping[str, str], start: datetime.datetime, end: datetime.datetime, now: datetime.datetime) -> DataFrame:
+    """Rows of ``[start, end]`` from the tiers that can hold them, with filters on their partition columns.
+
+    ``paths`` names the folders of the tiers (``hot``, ``warm``, ``cold``); a tier that the range does not
+    touch is not listed. Columns that a tier lacks are NULL.
+    """
+    hot, warm = (datetime.timedelta(seconds=span_seconds(x, m="month")) for x in (HOT, WARM))
+    needed = {"hot": end >= now - hot, "warm": start < now - hot and end >= now - warm, "cold": start < now - warm}
+    first, last = start.date(), end.date()
+    parts = []
+    for tier in (t for t, wanted in needed.items() if wanted and t in paths):
+        table = spark.read.json(paths[tier]) if tier == "cold" else spark.read.parquet(paths[tier])
+        if tier == "hot":
+            table = table.where(F.col("event_date").between(first, last)).drop("event_date")
+        elif tier == "warm":
+            table = table.where(F.col("event_month").between(f"{first:%Y-%m}", f"{last:%Y-%m}")).drop("event_month")
+        else:
+            days = F.col("year") * 10_000 + F.col("month").cast("int") * 100 + F.col("day").cast("int")
+            table = table.where(days.between(int(f"{first:%Y%m%d}"), int(f"{last:%Y%m%d}"))).drop("year", "month", "day")
+            table = table.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+        parts.append(table.where(F.col("timestamp").between(start, end)))
+    if not parts:
+        raise ValueError("no tier of the given paths holds this range")
+    return union_tiers(*parts)
+
+
 def drop_days_before(spark: SparkSession, path: str, first_day: datetime.date) -> list[str]:
     """Delete the ``event_date`` partitions before ``first_day`` and return their names; works on any Hadoop file system."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -111,3 +111,36 @@ def test_payload_is_json(spark):
     df = spark.createDataFrame([("t", "critical", 'a "b"', 3, "5m", "q", "m")], "title STRING, level STRING, service STRING, count INT, time_range STRING, query STRING, message STRING")
     payloads = [json.loads(r["payload"]) for r in alerts.ticket_outbox(df).collect()]
     assert payloads[0]["urgency"] == "1" and payloads[1]["fields"]["priority"]["name"] == "Highest"
+
+
+def test_range_reads_only_its_tiers_and_days(spark, tmp_path):
+    from datetime import datetime
+
+    from logspark.operators import search
+    from logspark.sources import files
+
+    now = datetime(2024, 3, 1)
+    rows = [(datetime(2024, 2, 28, 5), "svc", "INFO", "a"), (datetime(2024, 2, 10), "svc", "INFO", "b"), (datetime(2024, 1, 5), "svc", "INFO", "c"), (datetime(2024, 2, 27), "svc", "INFO", "d")]
+    logs = spark.createDataFrame(rows, "timestamp TIMESTAMP, service STRING, level STRING, message STRING")
+    paths = {t: str(tmp_path / t) for t in ("hot", "warm", "cold")}
+    files.write_hot(logs.where("message IN ('a', 'd')"), paths["hot"])
+    files.write_warm(logs.where("message = 'b'"), paths["warm"])
+    files.write_cold(logs.where("message = 'c'"), paths["cold"])
+
+    def found(start, end, which=paths):
+        return sorted(r["message"] for r in files.read_range(spark, which, start, end, now).collect())
+
+    assert found(datetime(2024, 1, 1), now) == ["a", "b", "c", "d"]
+    assert found(datetime(2024, 2, 1), datetime(2024, 2, 27, 12)) == ["b", "d"]
+    # A tier outside of the range is not touched: its folder need not exist.
+    assert found(datetime(2024, 2, 28), now, {**paths, "cold": "/no/such/folder", "warm": "/no/such/folder"}) == ["a"]
+    hot = spark.read.parquet(paths["hot"])
+    for frame in (
+        files.read_range(spark, paths, datetime(2024, 2, 28), now, now),
+        search.within(hot, "24h", as_of=now),
+        search.entries(hot, start=datetime(2024, 2, 28)),
+        search.fielded(hot, end=datetime(2024, 2, 27)),
+        search.quick_search(hot, time_range="1h", as_of=now),
+    ):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(event_date" in plan, plan
