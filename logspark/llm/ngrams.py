@@ -224,15 +224,26 @@ def look_up(tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], grams_: np.
 
 
 def add_up(batches: Batches) -> Batches:
-    """Model rows of a shard come first, then the blocks' counts; gives parts of log probabilities by block."""
+    """Model rows of a shard come first, then the blocks' counts; gives parts of log probabilities by block.
+
+    Rows that say which documents a block has (shard -1) are passed on.
+    """
+    meta = ["ids", "langs", "roles", "sizes"]
     rows: list[list[np.ndarray]] = []
     tables, place = None, None
     for batch in batches:
         block = batch.column("block").to_numpy()
         home = batch.column("shard").to_numpy().astype(np.int64) << 32 | batch.column("salt").to_numpy()
         out: list[tuple[int, bytes]] = []
+        about = pa.array(np.flatnonzero(home < 0))
+        if len(about):
+            columns = [batch.column("block").take(about), pa.nulls(len(about), pa.binary()), *[batch.column(c).take(about) for c in meta]]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "part", *meta])
         at = 0
         while at < len(block):
+            if home[at] < 0:
+                at += 1
+                continue
             if home[at] != place:
                 place, rows, tables = home[at], [], None
             if block[at] < 0:
@@ -261,7 +272,8 @@ def add_up(batches: Batches) -> Batches:
             out.append((int(block[at]), total.tobytes()))
             at += 1
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["block", "part"])
+            none = [pa.nulls(len(out), batch.schema.field(c).type) for c in meta]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary()), *none], ["block", "part", *meta])
 
 
 def by_document(batches: Batches) -> Batches:
@@ -297,18 +309,16 @@ def scores(docs: DataFrame, table: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     shards = max(LEAST_SHARDS, -(-table.count() // SHARD_GRAMS))
     salts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
-    packed = stored(docs.mapInArrow(pack(shards), PACKED), "packed")
+    packed = docs.mapInArrow(pack(shards), PACKED)
     every = F.array(*[F.lit(s) for s in range(salts)])
     home = F.pmod(F.shiftright(F.col("gram").bitwiseAND(0xFFFF) * 40503, 4), F.lit(shards)).cast("int")
     homes = F.when(F.col("level") == 1, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(home))
     model_rows = table.select("level", "gram", "value", "after", F.explode(homes).alias("shard"))
     model_rows = model_rows.select(F.lit(-1).cast("bigint").alias("block"), "shard", F.explode(every).alias("salt"), "level", "gram", "value", "after")
-    loads = packed.where("shard >= 0").select("block", "shard", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"), "load")
-    both = model_rows.unionByName(loads, allowMissingColumns=True)
+    both = model_rows.unionByName(packed.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")), allowMissingColumns=True)
     sides = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "block")
-    parts = sides.mapInArrow(add_up, "block bigint, part binary")
-    meta = packed.where("shard < 0").select("block", "ids", "langs", "roles", "sizes")
-    rows = parts.unionByName(meta, allowMissingColumns=True).repartition("block").sortWithinPartitions("block")
+    parts = sides.mapInArrow(add_up, "block bigint, part binary, ids array<bigint>, langs array<string>, roles array<tinyint>, sizes array<bigint>")
+    rows = parts.repartition("block").sortWithinPartitions("block")
     sums = rows.mapInArrow(by_document, "doc_id bigint, lang string, role tinyint, bytes bigint, log_p bigint")
     # Every text begins in the context of line breaks.
     begin = int.from_bytes(bytes([START] * ORDER), "big")
