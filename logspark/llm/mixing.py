@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from logspark.llm.graph import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Added to the documents; names that begin with __mix_ are used inside.
 ADDED = ["mix_size", "mix_source_size", "mix_target", "mix_repeats", "mix_taken"]
 
 
@@ -89,24 +90,24 @@ def mixed(
         sized = docs.select(*names, "mix_size")
     wanted = targets(sizes if sizes is not None else sized.select("source", "mix_size"), weights, percent, max_epochs)
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = sized.withColumn("__key", key).withColumn("__part", F.substring("__key", 1, 3))
-    buckets = sized.groupBy("source", "__part").agg(F.sum("mix_size").alias("words"))
+    sized = sized.withColumn("__mix_key", key).withColumn("__mix_bucket", F.substring("__mix_key", 1, 3))
+    buckets = sized.groupBy("source", F.col("__mix_bucket").alias("__part")).agg(F.sum("mix_size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("source", "__part", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("words"))
     wanted = wanted.withColumn("whole", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0))
     wanted = wanted.withColumn("rest", F.col("target") - F.col("whole") * F.col("size"))
     plan = buckets.alias("b").join(wanted.alias("w"), F.expr("b.source <=> w.source"))
-    plan = plan.selectExpr("b.source AS p_source", "b.__part AS p_part", "words", "size", "target", "whole", "rest")
-    inside = Window.partitionBy("source", "__part").orderBy("__key", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sized.withColumn("__before", F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
-    rows = rows.join(plan, F.expr("source <=> p_source AND __part = p_part"))
-    middle = F.col("words") + F.col("__before") + F.col("mix_size") / 2
-    repeats = (F.col("whole") + F.when(middle <= F.col("rest"), 1).otherwise(0)).cast("int")
+    plan = plan.selectExpr("b.source AS __mix_source", "b.__part AS __mix_part", *[f"{c} AS __mix_{c}" for c in ("words", "size", "target", "whole", "rest")])
+    inside = Window.partitionBy("source", "__mix_bucket").orderBy("__mix_key", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = sized.withColumn("__mix_before", F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
+    rows = rows.join(plan, F.expr("source <=> __mix_source AND __mix_bucket = __mix_part"))
+    middle = F.col("__mix_words") + F.col("__mix_before") + F.col("mix_size") / 2
+    repeats = (F.col("__mix_whole") + F.when(middle <= F.col("__mix_rest"), 1).otherwise(0)).cast("int")
     return rows.select(
         *names,
         "mix_size",
-        F.col("size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
+        F.col("__mix_size").alias("mix_source_size"),
+        F.col("__mix_target").alias("mix_target"),
         repeats.alias("mix_repeats"),
         (repeats * F.col("mix_size")).cast("bigint").alias("mix_taken"),
     )
