@@ -5,17 +5,19 @@ that matches an earlier one, by (doc_id, line number), is removed; the earlier o
 
 1. Rarity: words are counted in 2**18 hashed buckets, a table of fixed size that every task can hold. The
    order (bucket count, hash) is a total order of words, which is all that the prefix filter needs.
-2. Equal sets collapse to their earliest line, so copies cost one row from here on.
+2. Equal sets are matched by their digests. A task sends the words of one of equal lines per ``PACK_BYTES``
+   of text, so copies, however many, cost a task a few lines from here on, and equal lines ask for no candidate.
 3. Prefix filter: matching lines of n words share one of their n - ceil(0.8 n) + 1 rarest words. Each such
    word is a posting; postings are shuffled by word and meet in order.
 4. Length filter, positional filter, and a parity filter: words toggle bits of a 64-bit mask, so masks of
    matching lines differ in no more bits than the sets have words apart. No filter loses a match.
 5. Of the candidates before a line the earliest is verified on the full sets; lines that it does not settle
-   come back for their next candidates, eight times as many each round, until nothing is open.
+   come back for their next candidates, 64 times as many each round, until nothing is open.
 
 Scale: words that occur more than ``HEAVY`` times are dealt to pairs of blocks, so no word gathers all its
 postings in one task; candidates per round are at most one per posting times the round's quota, never all
-pairs. Sets are read again for candidate lines only, found by a bitmap of fixed size and an exact join.
+pairs. Sets are read again for candidate lines only, found by a bitmap of fixed size and an exact join;
+they travel as 40 bits of each word's hash.
 """
 
 from __future__ import annotations
@@ -36,7 +38,11 @@ BUCKET_BITS = 18
 CHUNK = 1 << 12
 HEAVY = 1 << 20
 MAP_BITS = 23
-PAIRS = 1 << 20
+WIDTH = 5
+PAIRS = 1 << 17
+SMALL_GROUP = 1 << 11
+#: Bytes of text whose postings are packed together.
+PACK_BYTES = 8 << 20
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -94,11 +100,25 @@ def ranges(bounds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(bounds - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
 
 
-LINES = "doc_id bigint, line int, n int, d1 bigint, d2 int, parity bigint, postings array<bigint>"
+LINES = "doc_id bigint, line int, n int, d1 bigint, d2 int, shard int, load binary"
+#: Columns of a posting and their types in a load.
+POSTING = {"key": np.uint32, "place": np.int32, "n": np.int32, "doc_id": np.int64, "line": np.int32, "parity": np.uint64, "same": np.uint32}
 
 
-def line_rows(counts: np.ndarray, min_tokens: int) -> Callable[[Batches], Batches]:
+def line_rows(counts: np.ndarray, min_tokens: int, shards: int) -> Callable[[Batches], Batches]:
+    """Lines with the digests of their sets (shard is null), and the postings of each batch by shard, packed."""
+
     def run(batches: Batches) -> Batches:
+        names = [c.split()[0] for c in LINES.split(", ")]
+
+        def flushed() -> Batches:
+            rows = {c: np.concatenate([m[c] for m in made]) for c in made[0]}
+            size = len(rows["n"])
+            columns = [rows["doc_id"], rows["line"].astype(np.int32), rows["n"].astype(np.int32), rows["d1"].view(np.int64), (rows["d2"] >> U64(32)).astype(np.uint32).view(np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names)
+            yield packed(rows, *map(np.concatenate, zip(*postings)), shards, names)
+
+        made, postings, held = [], [], 0
         for batch in batches:
             for part in slices(batch):
                 texts = texts_of(part.column("text"), lower=True)
@@ -113,44 +133,85 @@ def line_rows(counts: np.ndarray, min_tokens: int) -> Callable[[Batches], Batche
                 np.cumsum(mix(words + U64(3)), out=total[1, 1:])
                 digest = total[:, first + n] - total[:, first]
                 bits = U64(1) << (mix(words) & U64(63))
-                parity = np.bitwise_xor.reduceat(bits, all_first)[large]
                 # Sets of fewer than four words match equal sets only.
                 length = np.where(n >= 4, n - (PERCENT * n + 99) // 100 + 1, 0)
                 at = ranges(first, length)
                 holder = np.repeat(np.arange(len(lines)), length)
-                place = at - first[holder]
                 blocks = -(-counts[bucket(words[at])].astype(np.int64) // HEAVY)
                 own = (mix(digest[0])[holder] % blocks.astype(U64)).astype(np.int64)
                 again = np.repeat(np.arange(len(at)), blocks)
                 other = ranges(np.zeros(len(at), np.int64), blocks)
                 low, high = np.minimum(own[again], other), np.maximum(own[again], other)
+                before = sum(len(m["n"]) for m in made)
+                made.append(
+                    {
+                        "doc_id": part.column("doc_id").to_numpy()[owner[lines]],
+                        "line": lines - np.searchsorted(owner, owner[lines]),
+                        "n": n,
+                        "d1": digest[0],
+                        "d2": digest[1],
+                        "parity": np.bitwise_xor.reduceat(bits, all_first)[large],
+                    }
+                )
                 key = mix(words[at][again] ^ ((low << 20) + high).astype(U64)) >> U64(32)
-                held = np.r_[0, np.cumsum(np.bincount(holder[again], minlength=len(lines)))]
-                number = lines - np.searchsorted(owner, owner[lines])
-                columns = [
-                    part.column("doc_id").take(pa.array(owner[lines])),
-                    pa.array(number.astype(np.int32)),
-                    pa.array(n.astype(np.int32)),
-                    signed(digest[0]),
-                    pa.array((digest[1] >> U64(32)).astype(np.uint32).view(np.int32)),
-                    signed(parity),
-                    pa.ListArray.from_arrays(pa.array(held.astype(np.int32)), signed(key | (place[again].astype(U64) << U64(32)))),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line", "n", "d1", "d2", "parity", "postings"])
+                postings.append((key.astype(np.uint32), (at - first[holder])[again], before + holder[again]))
+                held += len(texts.data)
+                if held >= PACK_BYTES:
+                    yield from flushed()
+                    made, postings, held = [], [], 0
+        if made:
+            yield from flushed()
 
     return run
 
 
+def packed(rows: dict[str, np.ndarray], key: np.ndarray, place: np.ndarray, holder: np.ndarray, shards: int, names: list[str]) -> pa.RecordBatch:
+    """The postings of a batch, one compressed load for each shard; of equal lines those of the earliest."""
+    order = np.lexsort((rows["line"], rows["doc_id"], rows["d2"], rows["d1"]))
+    later = np.zeros(len(order), bool)
+    later[order[1:]] = (rows["d1"][order[1:]] == rows["d1"][order[:-1]]) & (rows["d2"][order[1:]] == rows["d2"][order[:-1]])
+    key, place, holder = (x[~later[holder]] for x in (key, place, holder))
+    shard = key % np.uint32(shards)
+    order = np.argsort(shard, kind="stable")
+    found, first = np.unique(shard[order], return_index=True)
+    columns = {"key": key, "place": place, **{c: rows[c][holder] for c in ("n", "doc_id", "line", "parity")}, "same": rows["d1"][holder] >> U64(32)}
+    columns = {c: columns[c][order].astype(kind) for c, kind in POSTING.items()}
+    loads = []
+    for a, b in zip(first, np.r_[first[1:], len(order)]):
+        # Lines are in order, so differences are small; bytes of equal weight stand together.
+        parts = [np.diff(columns[c][a:b], prepend=columns[c].dtype.type(0)) if c == "doc_id" else columns[c][a:b] for c in POSTING]
+        planes = b"".join(x.view(np.uint8).reshape(b - a, -1).T.tobytes() for x in parts)
+        loads.append(int(b - a).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True))
+    empty = [pa.nulls(len(loads), k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())]
+    return pa.RecordBatch.from_arrays([*empty, pa.array(found.astype(np.int32)), pa.array(loads, pa.binary())], names)
+
+
+def unpacked(load: bytes) -> dict[str, np.ndarray]:
+    n = int.from_bytes(load[:8], "little")
+    width = sum(np.dtype(k).itemsize for k in POSTING.values())
+    planes = np.frombuffer(pa.decompress(load[8:], n * width, "zstd", asbytes=True), np.uint8)
+    out, at = {}, 0
+    for name, kind in POSTING.items():
+        size = np.dtype(kind).itemsize
+        out[name] = np.ascontiguousarray(planes[at : at + n * size].reshape(size, n).T).view(kind).ravel()
+        at += n * size
+    out["doc_id"] = np.cumsum(out["doc_id"])
+    return out
+
+
 CANDIDATES = "doc_id bigint, line int, to_doc bigint, to_line int, more boolean"
 
 
+FILTERED = ("n", "place", "parity")
+
+
 def fitting(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
     """Pairs of postings that pass the length, positional and parity filters."""
     small, large = np.minimum(a["n"], b["n"]), np.maximum(a["n"], b["n"])
     both = a["n"] + b["n"]
     need = least_overlap(both)
     rest = np.minimum(a["n"] - a["place"], b["n"] - b["place"])
-    apart = np.bitwise_count((a["parity"] ^ b["parity"]).view(U64))
+    apart = np.bitwise_count(a["parity"] ^ b["parity"])
     return (100 * small >= PERCENT * large) & (rest >= need) & (apart <= both - 2 * need)
 
 
@@ -163,60 +224,110 @@ def ranked(later: np.ndarray, earlier: np.ndarray, low: int, high: int) -> tuple
     return chosen, total > high
 
 
-def candidates(low: int, high: int) -> Callable[[Batches], Batches]:
-    """Of each posting's earlier candidates under its word those of rank low .. high - 1; postings come by key."""
+def candidates(low: int, high: int, marks=None) -> Callable[[Batches], Batches]:
+    """Of each posting's earlier candidates under its word those of rank low .. high - 1; loads come by shard.
+
+    ``marks`` are broadcast bitmaps of the keys to look at and of the lines that ask; all without them. A bit
+    that is set by chance gives candidates that are verified like others.
+    """
 
     def of_groups(p: dict[str, np.ndarray]) -> Batches:
-        order = np.lexsort((p["line"], p["doc_id"], p["key"]))
+        order = np.argsort(p["key"], kind="stable")
+        key = p["key"][order]
+        twin = key[1:] == key[:-1]
+        live = np.zeros(len(key), bool)
+        live[1:] |= twin
+        live[:-1] |= twin
+        order = order[live]
+        if not len(order):
+            return
+        order = order[np.lexsort((p["line"][order], p["doc_id"][order], p["key"][order]))]
         p = {k: v[order] for k, v in p.items()}
         begin = np.searchsorted(p["key"], p["key"])
         size = np.searchsorted(p["key"], p["key"], side="right") - begin
-        live = size > 1
-        p, begin = {k: v[live] for k, v in p.items()}, begin[live]
-        begin = np.searchsorted(p["key"], p["key"])
-        earlier = np.arange(len(begin)) - begin  # how many stand before, in the group
-        asks = np.flatnonzero((earlier > 0) & p["asks"])
-        done = np.r_[0, np.cumsum(earlier[asks])]
-        at = 0
-        while at < len(asks):
-            to = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS, side="right")) - 1)
-            if earlier[asks[at]] > PAIRS:  # a long group: look through it in pieces, the earliest first
-                x, found = asks[at], [np.zeros(0, np.int64)]
-                for start in range(begin[x], x, PAIRS):
-                    y = np.arange(start, min(start + PAIRS, x))
-                    found.append(y[fitting({k: v[x] for k, v in p.items()}, {k: v[y] for k, v in p.items()})])
-                    if sum(map(len, found)) > high:
-                        break
-                y = np.concatenate(found)
-                x = np.full(len(y), x)
-                to = at + 1
-            else:
-                x = np.repeat(asks[at:to], earlier[asks[at:to]])
-                y = ranges(begin[asks[at:to]], earlier[asks[at:to]])
-                fit = fitting({k: v[x] for k, v in p.items()}, {k: v[y] for k, v in p.items()})
-                x, y = x[fit], y[fit]
-            chosen, more = ranked(x, y, low, high)
-            x, y, more = x[chosen], y[chosen], more[chosen]
+        alike = np.lexsort((p["same"], p["parity"], p["key"]))  # stable: equal sets stay in order
+        copy = np.zeros(len(alike), bool)  # an equal set stands before it
+        copy[alike[1:]] = np.all([p[c][alike[1:]] == p[c][alike[:-1]] for c in ("key", "same", "parity", "n")], axis=0)
+        asks = p["asks"] & ~copy
+        # Few postings of a word: all its pairs of fitting lengths at once. Many: the earliest first, until enough are found.
+        yield from chosen(p, *of_small(p, np.flatnonzero(size <= SMALL_GROUP), asks))
+        yield from of_large(p, begin, np.flatnonzero((size > SMALL_GROUP) & asks & (np.arange(len(begin)) > begin)))
+
+    def of_small(p: dict[str, np.ndarray], at: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Fitting pairs (later, earlier) of the given postings, in order."""
+        by_length = at[np.lexsort((p["n"][at], p["key"][at]))]
+        place = (p["key"][by_length].astype(np.int64) << 31) | p["n"][by_length]
+        shortest = (p["key"][by_length].astype(np.int64) << 31) | (PERCENT * p["n"][by_length].astype(np.int64) + 99) // 100
+        low = np.searchsorted(place, shortest)
+        count = np.arange(len(by_length)) - low
+        done = np.r_[0, np.cumsum(count)]
+        laters, earliers, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        while start < len(by_length):
+            stop = max(start + 1, int(np.searchsorted(done, done[start] + PAIRS, side="right")) - 1)
+            x = by_length[np.repeat(np.arange(start, stop), count[start:stop])]
+            y = by_length[ranges(low[start:stop], count[start:stop])]
+            later, earlier = np.maximum(x, y), np.minimum(x, y)
+            open_ = asks[later]
+            later, earlier = later[open_], earlier[open_]
+            fit = fitting({k: p[k][later] for k in FILTERED}, {k: p[k][earlier] for k in FILTERED})
+            laters.append(later[fit])
+            earliers.append(earlier[fit])
+            start = stop
+        later, earlier = np.concatenate(laters), np.concatenate(earliers)
+        order = np.lexsort((earlier, later))
+        return later[order], earlier[order]
+
+    def of_large(p: dict[str, np.ndarray], begin: np.ndarray, asks: np.ndarray) -> Batches:
+        laters, earliers, held = [], [], 0
+        for x in asks:
+            found, count = [], 0
+            for start in range(begin[x], x, SMALL_GROUP):
+                y = np.arange(start, min(start + SMALL_GROUP, x))
+                found.append(y[fitting({k: p[k][x] for k in FILTERED}, {k: p[k][y] for k in FILTERED})])
+                count += len(found[-1])
+                if count > high:
+                    break
+            y = np.concatenate(found)[: high + 1]
+            laters.append(np.full(len(y), x))
+            earliers.append(y)
+            held += len(y)
+            if held > PAIRS:
+                yield from chosen(p, np.concatenate(laters), np.concatenate(earliers))
+                laters, earliers, held = [], [], 0
+        if held:
+            yield from chosen(p, np.concatenate(laters), np.concatenate(earliers))
+
+    def chosen(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> Batches:
+        keep, more = ranked(x, y, low, high)
+        x, y, more = x[keep], y[keep], more[keep]
+        if len(x):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(p["doc_id"][x]), pa.array(p["line"][x]), pa.array(p["doc_id"][y]), pa.array(p["line"][y]), pa.array(more)],
                 ["doc_id", "line", "to_doc", "to_line", "more"],
             )
-            at = to
+
+    def opened(load: bytes) -> dict[str, np.ndarray]:
+        p = unpacked(load)
+        p["asks"] = np.ones(len(p["key"]), bool)
+        if marks is not None:
+            keys, lines = marks.value
+            near = is_marked(keys, slot(p["key"], np.zeros(len(p["key"]), np.int64)))
+            p = {c: v[near] for c, v in p.items()}
+            p["asks"] = is_marked(lines, slot(p["doc_id"], p["line"]))
+        return p
 
     def run(batches: Batches) -> Batches:
         held: list[dict[str, np.ndarray]] = []
+        shard = None
         for batch in batches:
-            p = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "place", "n", "doc_id", "line", "parity", "asks")}
-            last = np.searchsorted(p["key"], p["key"][-1]) if len(p["key"]) else 0
-            if not len(p["key"]):
-                continue
-            if last or (held and held[-1]["key"][-1] != p["key"][0]):
-                whole = [*held, {k: v[:last] for k, v in p.items()}]
-                yield from of_groups({k: np.concatenate([h[k] for h in whole]) for k in p})
-                held = []
-            held.append({k: v[last:] for k, v in p.items()})
+            for number, load in zip(batch.column("shard").to_pylist(), batch.column("load")):
+                if number != shard and held:
+                    yield from of_groups({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+                    held = []
+                shard = number
+                held.append(opened(load.as_py()))
         if held:
-            yield from of_groups({k: np.concatenate([h[k] for h in held]) for k in held[0]})
+            yield from of_groups({c: np.concatenate([h[c] for h in held]) for c in held[0]})
 
     return run
 
@@ -243,8 +354,12 @@ def bitmap(lines: DataFrame) -> np.ndarray:
     return out.view(U64)
 
 
+def is_marked(marks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (marks[at >> 6] >> (at & 63).astype(U64)) & U64(1) == 1
+
+
 def sets_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``(doc_id, line, words)`` with the word hashes, in order, of the given lines."""
+    """``(doc_id, line, words)`` with the word hashes, in order, of the given lines and by chance of others."""
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(lines))
 
     def run(batches: Batches) -> Batches:
@@ -255,7 +370,7 @@ def sets_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
                 starts, _, owner = texts.lines
                 number = np.arange(len(starts)) - np.searchsorted(owner, owner)
                 at = slot(part.column("doc_id").to_numpy()[owner], number)
-                wanted = (marks[at >> 6] >> (at & 63).astype(U64)) & U64(1) == 1
+                wanted = is_marked(marks, at)
                 if not wanted.any():
                     continue
                 line, words, _ = line_sets(texts)
@@ -263,50 +378,65 @@ def sets_of(docs: DataFrame, lines: DataFrame) -> DataFrame:
                 chosen = np.flatnonzero(wanted)
                 bounds = np.searchsorted(line[own], np.r_[chosen, len(starts)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(owner[chosen])), pa.array(number[chosen].astype(np.int32)), binary_ranges(words[own], bounds)],
+                    [part.column("doc_id").take(pa.array(owner[chosen])), pa.array(number[chosen].astype(np.int32)), binary_ranges(short(words[own]), WIDTH * bounds)],
                     ["doc_id", "line", "words"],
                 )
 
-    found = docs.mapInArrow(run, "doc_id bigint, line int, words binary")
-    return found.join(lines, ["doc_id", "line"], "left_semi")
+    return docs.mapInArrow(run, "doc_id bigint, line int, words binary")
+
+
+def short(words: np.ndarray) -> np.ndarray:
+    """The upper WIDTH bytes of each hash; the order of the hashes stays."""
+    return np.ascontiguousarray(words.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).ravel()
+
+
+def long(held: bytes | pa.Buffer) -> np.ndarray:
+    out = np.zeros((len(memoryview(held)) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(held, np.uint8).reshape(-1, WIDTH)
+    return out.view(">u8").ravel().astype(U64)
 
 
 def verify(batches: Batches) -> Batches:
-    """Lines whose set matches the one before it, with the place of that line."""
+    """Pairs whose two sets match; equal sets come as one."""
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
-        for i, (a, b) in enumerate(zip(batch.column("words"), batch.column("to_words"))):
-            a, b = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
+        bounds, held = batch.column("sets").offsets.to_numpy(), batch.column("sets").values
+        for i in range(batch.num_rows):  # one pair at a time, without copies of the others
+            a, b = (long(held[int(at)].as_buffer()) for at in (bounds[i], bounds[i + 1] - 1))
             if len(a) and len(b):
                 common = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
                 keep[i] = 100 * common >= PERCENT * (len(a) + len(b) - common)
         yield batch.select(["doc_id", "line", "to_doc", "to_line"]).filter(pa.array(keep))
 
 
-def matches(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``(doc_id, line, to_doc, to_line)``: representatives that match an earlier one, and one that they match."""
+def keys_of(lines: DataFrame, loads: DataFrame) -> DataFrame:
+    """The keys of the given lines, as rows for a bitmap."""
+    marks = lines.sparkSession.sparkContext.broadcast(bitmap(lines))
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for load in batch.column("load"):
+                p = unpacked(load.as_py())
+                key = np.unique(p["key"][is_marked(marks.value, slot(p["doc_id"], p["line"]))]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(key), np.int32))], ["doc_id", "line"])
+
+    return loads.mapInArrow(run, "doc_id bigint, line int")
+
+
+def matches(docs: DataFrame, loads: DataFrame) -> DataFrame:
+    """``(doc_id, line, to_doc, to_line)``: lines that match an earlier one of another set, and one that they match."""
     spark = docs.sparkSession
     found = spark.createDataFrame([], "doc_id bigint, line int, to_doc bigint, to_line int")
-    postings = reps.select("doc_id", "line", "n", "parity", F.explode("postings").alias("p"))
-    columns = [F.col("p").bitwiseAND(0xFFFFFFFF).alias("key"), F.shiftright("p", 32).cast("int").alias("place"), "n", "doc_id", "line", "parity"]
-    asks, low, high = None, 0, 1
+    names = ["doc_id", "line", "to_doc", "to_line"]
+    marks, low, high = None, 0, 1
     while True:
-        if asks is None:
-            rows = postings.select(*columns, F.lit(True).alias("asks"))
-        else:
-            # Later rounds: only words of the lines that are still open.
-            open_rows = postings.join(asks, ["doc_id", "line"], "left_semi").select(F.col("p").bitwiseAND(0xFFFFFFFF).alias("key")).distinct()
-            flag = asks.select("doc_id", "line", F.lit(True).alias("asks"))
-            rows = postings.select(*columns).join(open_rows, "key", "left_semi").join(flag, ["doc_id", "line"], "left")
-            rows = rows.select("key", "place", "n", "doc_id", "line", "parity", F.coalesce("asks", F.lit(False)).alias("asks"))
-        near = rows.repartition("key").sortWithinPartitions("key").mapInArrow(candidates(low, high), CANDIDATES)
-        names = ["doc_id", "line", "to_doc", "to_line"]
+        near = loads.repartition("shard").sortWithinPartitions("shard").mapInArrow(candidates(low, high, marks), CANDIDATES)
         pairs = stored(near.groupBy(*names).agg(F.max("more").alias("more")), "candidates")
-        lines = pairs.select("doc_id", "line").union(pairs.select("to_doc", "to_line")).distinct()
-        sets = stored(sets_of(docs, lines), "sets")
-        to_sets = sets.select(F.col("doc_id").alias("to_doc"), F.col("line").alias("to_line"), F.col("words").alias("to_words"))
-        checked = pairs.join(sets, ["doc_id", "line"]).join(to_sets, ["to_doc", "to_line"])
-        checked = checked.select(*names, "words", "to_words").mapInArrow(verify, "doc_id bigint, line int, to_doc bigint, to_line int")
+        sides = F.explode(F.array(F.struct("doc_id", "line"), F.struct(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line"))))
+        wanted = pairs.select(F.struct(*names).alias("pair"), sides.alias("side")).select("pair", "side.*")
+        sets = sets_of(docs, wanted.select("doc_id", "line"))
+        both = sets.join(wanted, ["doc_id", "line"]).groupBy("pair").agg(F.collect_set("words").alias("sets"))
+        checked = both.select("pair.*", "sets").mapInArrow(verify, "doc_id bigint, line int, to_doc bigint, to_line int")
         least = F.min(F.struct("to_doc", "to_line"))
         checked = stored(checked.groupBy("doc_id", "line").agg(least.alias("to")).select("doc_id", "line", "to.*"), "matches")
         found = found.unionByName(checked)
@@ -314,7 +444,9 @@ def matches(docs: DataFrame, reps: DataFrame) -> DataFrame:
         asks = stored(asks, "open")
         if asks.isEmpty():
             return found
-        low, high = high, 8 * high
+        low, high = high, 64 * high
+        # Later rounds look at the words of the lines that are still open.
+        marks = spark.sparkContext.broadcast((bitmap(keys_of(asks, loads)), bitmap(asks)))
 
 
 def judged_lines(docs: DataFrame, min_tokens: int = 1, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,14 +458,16 @@ def judged_lines(docs: DataFrame, min_tokens: int = 1, *, id_col: str = "doc_id"
     then compared as if they were lines of one document). Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    rows = stored(docs.mapInArrow(line_rows(word_counts(docs), min_tokens), LINES), "lines")
+    counts = word_counts(docs)
+    # A shard of postings is held by one task: it stands for 2**24 words of text at most.
+    shards = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(counts.sum(dtype=np.int64) >> 24))
+    made = stored(docs.mapInArrow(line_rows(counts, min_tokens, shards), LINES), "lines")
+    rows, loads = made.where("shard IS NULL"), made.where("shard IS NOT NULL").select("shard", "load")
     sets = ["d1", "d2", "n"]
     place = F.struct("doc_id", "line")
-    reps = rows.groupBy(*sets).agg(F.min(place).alias("keep"), F.first("parity").alias("parity"), F.first("postings").alias("postings"))
-    reps = stored(reps.select(*sets, "keep.*", "parity", "postings"), "line-representatives")
-    later = matches(docs, reps)
-    classes = reps.join(later, ["doc_id", "line"], "left")
-    classes = classes.select(*sets, F.struct("doc_id", "line").alias("keep"), "to_doc", "to_line")
+    classes = rows.groupBy(*sets).agg(F.min(place).alias("keep"))
+    later = matches(docs, loads).withColumn("keep", place).drop("doc_id", "line")
+    classes = classes.join(later, "keep", "left")
     all_rows = rows.select("doc_id", "line", *sets).join(classes, sets)
     copy = F.struct("doc_id", "line") != F.col("keep")
     return all_rows.select(

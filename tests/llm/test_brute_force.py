@@ -47,6 +47,7 @@ def test_removed_lines(docs, generated_docs):
 
 def test_frequent_words_are_dealt_to_blocks(docs, generated_docs, monkeypatch):
     monkeypatch.setattr(similar_lines, "HEAVY", 3)
+    monkeypatch.setattr(similar_lines, "SMALL_GROUP", 2)
     expected, _ = brute.removed_lines(generated_docs)
     got = similar_lines.removed_lines(similar_lines.judged_lines(docs)).collect()
     assert {r.doc_id: list(r.removed) for r in got if r.removed} == expected
