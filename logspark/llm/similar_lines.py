@@ -11,12 +11,14 @@ that matches an earlier one, by (doc_id, line number), is removed; the earlier o
    word is a posting; postings are shuffled by word and meet in order.
 4. Length filter, positional filter, and a parity filter: words toggle bits of a 64-bit mask, so masks of
    matching lines differ in no more bits than the sets have words apart. No filter loses a match.
-5. Of the candidates before a line the earliest is verified on the full sets; lines that it does not settle
-   come back for their next candidates, 64 times as many each round, until nothing is open.
+5. Whether a line goes: of the candidates before it the earliest is verified on the full sets; lines that it
+   does not settle come back for their next candidates, 64 times as many each round, until nothing is open.
+6. The join itself: all candidate pairs of representatives (the earliest line of each class of equal sets) are
+   verified in one pass; a line has the links of its class. The query returns these beside the removed lines.
 
 Scale: words that occur more than ``HEAVY`` times are dealt to pairs of blocks, so no word gathers all its
-postings in one task; candidates per round are at most one per posting times the round's quota, never all
-pairs. Sets are read again for candidate lines only, found by a bitmap of fixed size and an exact join;
+postings in one task; candidates per round of step 5 are at most one per posting times the round's quota, never
+all pairs. Step 6 grows with the number of candidate pairs, which no quota bounds. Sets are read again for candidate lines only, found by a bitmap of fixed size and an exact join;
 they travel as 40 bits of each word's hash.
 """
 
@@ -224,9 +226,11 @@ def ranked(later: np.ndarray, earlier: np.ndarray, low: int, high: int) -> tuple
     return chosen, total > high
 
 
-def candidates(low: int, high: int, marks=None) -> Callable[[Batches], Batches]:
+def candidates(low: int, high: int | None, marks=None) -> Callable[[Batches], Batches]:
     """Of each posting's earlier candidates under its word those of rank low .. high - 1; loads come by shard.
 
+    Without ``high`` all of them, between the earliest postings of equal sets.
+
     ``marks`` are broadcast bitmaps of the keys to look at and of the lines that ask; all without them. A bit
     that is set by chance gives candidates that are verified like others.
     """
@@ -248,20 +252,28 @@ def candidates(low: int, high: int, marks=None) -> Callable[[Batches], Batches]:
         alike = np.lexsort((p["same"], p["parity"], p["key"]))  # stable: equal sets stay in order
         copy = np.zeros(len(alike), bool)  # an equal set stands before it
         copy[alike[1:]] = np.all([p[c][alike[1:]] == p[c][alike[:-1]] for c in ("key", "same", "parity", "n")], axis=0)
+        if high is None:
+            p = {k: v[~copy] for k, v in p.items()}
+            for later, earlier in of_small(p, np.arange(len(p["key"])), p["asks"]):
+                yield from sent(p, later, earlier, np.zeros(len(later), bool))
+            return
         asks = p["asks"] & ~copy
         # Few postings of a word: all its pairs of fitting lengths at once. Many: the earliest first, until enough are found.
-        yield from chosen(p, *of_small(p, np.flatnonzero(size <= SMALL_GROUP), asks))
+        pairs = list(of_small(p, np.flatnonzero(size <= SMALL_GROUP), asks))
+        if pairs:
+            later, earlier = map(np.concatenate, zip(*pairs))
+            order = np.lexsort((earlier, later))
+            yield from chosen(p, later[order], earlier[order])
         yield from of_large(p, begin, np.flatnonzero((size > SMALL_GROUP) & asks & (np.arange(len(begin)) > begin)))
 
-    def of_small(p: dict[str, np.ndarray], at: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Fitting pairs (later, earlier) of the given postings, in order."""
+    def of_small(p: dict[str, np.ndarray], at: np.ndarray, asks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Fitting pairs (later, earlier) of the given postings, some at a time."""
         by_length = at[np.lexsort((p["n"][at], p["key"][at]))]
         place = (p["key"][by_length].astype(np.int64) << 31) | p["n"][by_length]
         shortest = (p["key"][by_length].astype(np.int64) << 31) | (PERCENT * p["n"][by_length].astype(np.int64) + 99) // 100
         low = np.searchsorted(place, shortest)
         count = np.arange(len(by_length)) - low
-        done = np.r_[0, np.cumsum(count)]
-        laters, earliers, start = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        done, start = np.r_[0, np.cumsum(count)], 0
         while start < len(by_length):
             stop = max(start + 1, int(np.searchsorted(done, done[start] + PAIRS, side="right")) - 1)
             x = by_length[np.repeat(np.arange(start, stop), count[start:stop])]
@@ -270,12 +282,8 @@ def candidates(low: int, high: int, marks=None) -> Callable[[Batches], Batches]:
             open_ = asks[later]
             later, earlier = later[open_], earlier[open_]
             fit = fitting({k: p[k][later] for k in FILTERED}, {k: p[k][earlier] for k in FILTERED})
-            laters.append(later[fit])
-            earliers.append(earlier[fit])
+            yield later[fit], earlier[fit]
             start = stop
-        later, earlier = np.concatenate(laters), np.concatenate(earliers)
-        order = np.lexsort((earlier, later))
-        return later[order], earlier[order]
 
     def of_large(p: dict[str, np.ndarray], begin: np.ndarray, asks: np.ndarray) -> Batches:
         laters, earliers, held = [], [], 0
@@ -299,7 +307,9 @@ def candidates(low: int, high: int, marks=None) -> Callable[[Batches], Batches]:
 
     def chosen(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> Batches:
         keep, more = ranked(x, y, low, high)
-        x, y, more = x[keep], y[keep], more[keep]
+        yield from sent(p, x[keep], y[keep], more[keep])
+
+    def sent(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, more: np.ndarray) -> Batches:
         if len(x):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(p["doc_id"][x]), pa.array(p["line"][x]), pa.array(p["doc_id"][y]), pa.array(p["line"][y]), pa.array(more)],
@@ -423,6 +433,23 @@ def keys_of(lines: DataFrame, loads: DataFrame) -> DataFrame:
     return loads.mapInArrow(run, "doc_id bigint, line int")
 
 
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs ``(doc_id, line, to_doc, to_line)`` whose sets match."""
+    names = ["doc_id", "line", "to_doc", "to_line"]
+    sides = F.explode(F.array(F.struct("doc_id", "line"), F.struct(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line"))))
+    wanted = pairs.select(F.struct(*names).alias("pair"), sides.alias("side")).select("pair", "side.*")
+    sets = sets_of(docs, wanted.select("doc_id", "line"))
+    both = sets.join(wanted, ["doc_id", "line"]).groupBy("pair").agg(F.collect_set("words").alias("sets"))
+    return both.select("pair.*", "sets").mapInArrow(verify, "doc_id bigint, line int, to_doc bigint, to_line int")
+
+
+def links(docs: DataFrame, loads: DataFrame) -> DataFrame:
+    """``(doc_id, line, to_doc, to_line)``: all matching pairs of representatives, the later one first."""
+    near = loads.repartition("shard").sortWithinPartitions("shard").mapInArrow(candidates(0, None), CANDIDATES)
+    pairs = stored(near.select("doc_id", "line", "to_doc", "to_line").distinct(), "candidates")
+    return stored(verified(docs, pairs), "links")
+
+
 def matches(docs: DataFrame, loads: DataFrame) -> DataFrame:
     """``(doc_id, line, to_doc, to_line)``: lines that match an earlier one of another set, and one that they match."""
     spark = docs.sparkSession
@@ -432,11 +459,7 @@ def matches(docs: DataFrame, loads: DataFrame) -> DataFrame:
     while True:
         near = loads.repartition("shard").sortWithinPartitions("shard").mapInArrow(candidates(low, high, marks), CANDIDATES)
         pairs = stored(near.groupBy(*names).agg(F.max("more").alias("more")), "candidates")
-        sides = F.explode(F.array(F.struct("doc_id", "line"), F.struct(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line"))))
-        wanted = pairs.select(F.struct(*names).alias("pair"), sides.alias("side")).select("pair", "side.*")
-        sets = sets_of(docs, wanted.select("doc_id", "line"))
-        both = sets.join(wanted, ["doc_id", "line"]).groupBy("pair").agg(F.collect_set("words").alias("sets"))
-        checked = both.select("pair.*", "sets").mapInArrow(verify, "doc_id bigint, line int, to_doc bigint, to_line int")
+        checked = verified(docs, pairs)
         least = F.min(F.struct("to_doc", "to_line"))
         checked = stored(checked.groupBy("doc_id", "line").agg(least.alias("to")).select("doc_id", "line", "to.*"), "matches")
         found = found.unionByName(checked)
@@ -449,13 +472,16 @@ def matches(docs: DataFrame, loads: DataFrame) -> DataFrame:
         marks = spark.sparkContext.broadcast((bitmap(keys_of(asks, loads)), bitmap(asks)))
 
 
-def judged_lines(docs: DataFrame, min_tokens: int = 1, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judged_lines(docs: DataFrame, min_tokens: int = 1, *, id_col: str = "doc_id", text_col: str = "text", all_links: bool = False) -> DataFrame:
     """``(doc_id, line, n_tokens, removed, to_doc, to_line)`` for every line with ``min_tokens`` distinct words.
 
     Lines are numbered from 0. ``to_doc`` and ``to_line`` name an earlier line that a removed one matches.
     Null and empty texts and blank lines have no row. Rows with a null id take no part. Rows that repeat an
     id with the same text count once; ids are expected not to stand for different texts (their lines are
     then compared as if they were lines of one document). Other columns are ignored.
+
+    With ``all_links`` every pair is looked for, and each line also has its class, named by the earliest line of
+    the same set (``class_doc``, ``class_line``), and ``n_links``: how many other classes match it.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     counts = word_counts(docs)
@@ -466,8 +492,16 @@ def judged_lines(docs: DataFrame, min_tokens: int = 1, *, id_col: str = "doc_id"
     sets = ["d1", "d2", "n"]
     place = F.struct("doc_id", "line")
     classes = rows.groupBy(*sets).agg(F.min(place).alias("keep"))
-    later = matches(docs, loads).withColumn("keep", place).drop("doc_id", "line")
-    classes = classes.join(later, "keep", "left")
+    if all_links:
+        found = links(docs, loads)
+        later = found.groupBy("doc_id", "line").agg(F.min(F.struct("to_doc", "to_line")).alias("to")).select("doc_id", "line", "to.*")
+        ends = found.select("doc_id", "line").unionAll(found.select(F.col("to_doc").alias("doc_id"), F.col("to_line").alias("line")))
+        counted = ends.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n_links"))
+        later = counted.join(later, ["doc_id", "line"], "left")
+        extra = [F.col("keep.doc_id").alias("class_doc"), F.col("keep.line").alias("class_line"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")]
+    else:
+        later, extra = matches(docs, loads), []
+    classes = classes.join(later.withColumn("keep", place).drop("doc_id", "line"), "keep", "left")
     all_rows = rows.select("doc_id", "line", *sets).join(classes, sets)
     copy = F.struct("doc_id", "line") != F.col("keep")
     return all_rows.select(
@@ -477,6 +511,7 @@ def judged_lines(docs: DataFrame, min_tokens: int = 1, *, id_col: str = "doc_id"
         (copy | F.col("to_doc").isNotNull()).alias("removed"),
         F.when(copy, F.col("keep.doc_id")).otherwise(F.col("to_doc")).alias("to_doc"),
         F.when(copy, F.col("keep.line")).otherwise(F.col("to_line")).alias("to_line"),
+        *extra,
     )
 
 
@@ -522,5 +557,16 @@ def dedup_lines(docs: DataFrame, min_tokens: int = 5) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole `documents`, every line with a word."""
-    return removed_lines(judged_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """Whole `documents`, every line with a word: ``(doc_id, n_lines, n_removed, removed, lines)`` per id.
+
+    ``lines`` has the class and the number of links of every line with a word, as (line, n_tokens, class_doc,
+    class_line, n_links) in order. A document without such lines has empty arrays.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    judged = stored(judged_lines(docs, all_links=True), "judged")
+    about = F.array_sort(F.collect_set(F.struct("line", "n_tokens", "class_doc", "class_line", "n_links"))).alias("lines")
+    found = removed_lines(judged).join(judged.groupBy("doc_id").agg(about), "doc_id")
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_lines", "n_removed")]
+    none = [F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c) for c in ("removed", "lines")]
+    return ids.join(found, "doc_id", "left").select("doc_id", *counts, *none)

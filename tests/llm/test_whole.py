@@ -2,7 +2,7 @@
 
 import brute
 
-from logspark.llm import passages
+from logspark.llm import passages, similar_lines
 
 
 def test_every_repeated_sentence_goes(spark, tmp_path, generated_docs):
@@ -13,3 +13,26 @@ def test_every_repeated_sentence_goes(spark, tmp_path, generated_docs):
     assert [tuple(s) for s in got[101].spans] == [(5, 17)]
     expected = brute.repeated_spans(generated_docs, min_words=1)
     assert {i: [tuple(s) for s in got[i].spans] for i, _ in generated_docs} == expected
+
+
+def test_classes_and_links_of_lines(spark, tmp_path, generated_docs, monkeypatch):
+    monkeypatch.setattr(similar_lines, "HEAVY", 40)
+    monkeypatch.setattr(similar_lines, "PAIRS", 64)
+    base = [f"w{i}" for i in range(12)]
+    star = [(200 + k, " ".join([*base[:11], f"x{k}"])) for k in range(9)]  # all match each other
+    docs = [*generated_docs, *star, (300, star[4][1]), (301, ""), (302, " \n\t"), (303, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in similar_lines.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert set(got) == {i for i, _ in docs}
+    first, lines = {}, {}
+    for i, text in docs:
+        for k, line in enumerate((text or "").split("\n")):
+            if tokens := frozenset(brute.words(brute.lower(line))):
+                lines.setdefault(i, []).append((k, tokens, first.setdefault(tokens, (i, k))))
+    links = {a: sum(brute.similar(a, b, 80) for b in first) - 1 for a in first}
+    assert max(links.values()) == 8
+    for i, _ in docs:
+        assert [tuple(x) for x in got[i].lines] == [(k, len(t), *c, links[t]) for k, t, c in lines.get(i, [])]
+    removed, _ = brute.removed_lines(docs)
+    assert {i: list(r.removed) for i, r in got.items() if r.removed} == removed
+    assert got[301].n_lines == got[303].n_lines == 0 and got[302].removed == got[302].lines == []
