@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line go, and documents that consist of such lines only."""
-    return similar_lines.dedup_lines(docs)
+    """Lines, of one word or more, that match an earlier line go, and documents that consist of such lines only."""
+    return similar_lines.dedup_lines(docs, min_tokens=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

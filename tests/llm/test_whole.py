@@ -1,10 +1,22 @@
 """Cases where an operator once did less than its whole job."""
 
 import brute
+import corpus_pipeline
 
 from logspark.llm import passages, similar_lines
 
 
+def test_short_lines_of_the_pipeline(spark, docs, generated_docs):
+    rows = [(0, "same words\nfirst"), (1, "Same  words\nsecond one"), (2, "first"), (3, "word word word word word word"), (4, "other\nword")]
+    got = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert {r.doc_id: r.text for r in got} == {0: "same words\nfirst", 1: "second one", 3: "word word word word word word", 4: "other\n"}
+    removed, _ = brute.removed_lines(generated_docs)
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    for i, text in generated_docs:
+        stay = [x for k, x in enumerate(text.split("\n")) if k not in removed.get(i, ())]
+        assert brute.words(left.get(i)) == brute.words("\n".join(stay))
+
+
 def test_every_repeated_sentence_goes(spark, tmp_path, generated_docs):
     wide = [(100, "今日は晴れ。明日は雨！？"), (101, "昨日は雪。今日は晴れ。明日は雨！？ おわり。"), (102, "おわり。\n今日は晴れ。"), (103, "ไม่มีช่องว่าง\nnew"), (104, "old\nไม่มีช่องว่าง\nOld")]
     spark.createDataFrame([*generated_docs, *wide], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
