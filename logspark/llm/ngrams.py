@@ -1,7 +1,12 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of byte n-grams.
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of word n-grams.
 
-The model (Chen and Goodman 1999) is trained on trusted text and has order ``ORDER`` over UTF-8 bytes, so
-it knows every alphabet and has no unknown words. Its tables are built with joins and aggregations: counts
+The model (Chen and Goodman 1999) has the orders 1 to 3 over words as written and is trained on trusted text, so
+its tables grow with the text. Below single words stands the probability of a word's spelling, which gives
+unknown words theirs (``word_model``). Log p of a text is a sum of values of its grams and contexts, which are
+rows: one for each distinct gram of a text, joined with the model by the gram's hash and summed by text.
+
+The spelling model has order ``ORDER`` over UTF-8 bytes, so it knows every alphabet; it is trained on the
+distinct words of trusted text and scores the distinct words of all. Its tables are built with joins and aggregations: counts
 of the highest order, continuation counts below, three discounts per order, and for every gram
 ``gain = log p - log(weight(context)) - log p(shorter)``. As the interpolation weight belongs to the context,
 log p of a text is a sum over its grams of gains of the gram and its suffixes and of the weights that
@@ -13,7 +18,8 @@ all suffixes it needs. Each shard adds up its part of every document's log proba
 parts are summed by block. Shards are salted by block, so a frequent gram doesn't gather in one task.
 
 A document is kept when its perplexity is at most its language's quantile ``QUANTILE`` among trusted
-documents that were held out of training.
+documents that were held out of training, under the word model and under byte n-grams of whole texts. The
+latter vary less from text to text, so single odd words show more; word order shows in the former.
 """
 
 from __future__ import annotations
@@ -27,9 +33,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logspark.llm.graph import stored
-from logspark.llm.text import Texts, slices, texts_of
+from logspark.llm.text import U64, Texts, constants, mix, signed, slices, texts_of
 
 ORDER = 4
+#: Hash of the word before the first one, and factors of the words of a gram.
+BEGIN = 0
+FACTORS = constants(3, 31)
 QUANTILE = 0.99
 #: Bytes at the language's usual rate that a text is averaged with, so that a few words are not judged alone.
 PRIOR_BYTES = 100
@@ -326,8 +335,125 @@ def scores(docs: DataFrame, table: DataFrame) -> DataFrame:
     return sums.withColumn("log_p", F.when(F.col("bytes") > 0, F.col("log_p") + (start or 0)).otherwise(0))
 
 
+def word_keys(texts: Texts) -> dict[str, np.ndarray]:
+    """Of each word its hash ``w``, that of the word before ``v``, and the hashes of the grams vw, uvw and of the context uv."""
+    w, place = texts.words, np.arange(len(texts.words)) - texts.bounds[texts.owner]
+    v = np.where(place >= 1, np.roll(w, 1), U64(BEGIN))
+    u = np.where(place >= 2, np.roll(w, 2), U64(BEGIN))
+    a, b, c = FACTORS
+    return {"w": w, "v": v, "vw": mix(v * b + w * c + U64(2)), "uv": mix(u * b + v * c + U64(2)), "uvw": mix(u * a + v * b + w * c + U64(3))}
+
+
+def training_grams(batches: Batches) -> Batches:
+    """Counts of the three-word grams of each slice, with the hashes of their parts."""
+    names = ["uvw", "uv", "vw", "v", "w"]
+    for batch in batches:
+        for part in slices(batch):
+            keys = word_keys(texts_of(part.column("text")))
+            _, at, n = np.unique(keys["uvw"], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*[signed(keys[c][at]) for c in names], pa.array(n)], [*names, "n"])
+
+
+def spelled(batches: Batches) -> Batches:
+    """The distinct words of each slice; ``trained`` is 1 in training text."""
+    for batch in batches:
+        for part in slices(batch):
+            texts = texts_of(part.column("text"))
+            trained = part.column("role").to_numpy(zero_copy_only=False)[texts.owner] == 1
+            order = np.lexsort((~trained, texts.words))
+            hashes, first = np.unique(texts.words[order], return_index=True)
+            at = order[first]
+            held = texts.data.tobytes()
+            words = pa.array([held[a:b] for a, b in zip(texts.starts[at], texts.ends[at])], pa.binary())
+            yield pa.RecordBatch.from_arrays([signed(hashes), words.cast(pa.string()), pa.array(trained[at].astype(np.int8))], ["w", "word", "trained"])
+
+
+def text_grams(batches: Batches) -> Batches:
+    """Per text and key: how often it is a gram (``n``) and how often the context of a word (``m``)."""
+    for batch in batches:
+        for part in slices(batch):
+            texts = texts_of(part.column("text"))
+            keys = word_keys(texts)
+            key = np.concatenate([keys[c] for c in ("w", "vw", "uvw", "v", "uv")])
+            owner = np.tile(texts.owner, 5)
+            context = np.repeat(np.arange(5) > 2, len(texts.words))
+            order = np.lexsort((key, owner))
+            key, owner, context = key[order], owner[order], context[order]
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+            at = np.flatnonzero(fresh)
+            if len(at):
+                m = np.add.reduceat(context.astype(np.int64), at)
+                n = np.diff(np.r_[at, len(key)]) - m
+                yield pa.RecordBatch.from_arrays([part.column("t").take(pa.array(owner[at])), signed(key[at]), pa.array(n.astype(np.int32)), pa.array(m.astype(np.int32))], ["t", "key", "n", "m"])
+
+
+def word_model(docs: DataFrame) -> DataFrame:
+    """``(key, gain, after)`` in units of 1 / UNIT for ``docs(role, text)``, trained on role 1.
+
+    ``gain`` of a gram is log p - log(weight of its context) - log p of the gram without its first word, of a
+    single word log p itself; ``after`` is the log weight that the gram has as a context. Every word of
+    ``docs`` has a row.
+    """
+    train = docs.where("role = 1").select("text")
+    made = docs.select("text", "role").mapInArrow(spelled, "w bigint, word string, trained tinyint")
+    vocabulary = stored(made.groupBy("w").agg(F.min("word").alias("word"), F.max("trained").alias("trained")), "vocabulary")
+    text = F.concat("word", F.lit("\n")).alias("text")  # the end of the word is part of its spelling
+    spelling = model(vocabulary.where("trained = 1").select(text))
+    words = vocabulary.select(F.col("w").alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.lit(0).cast("tinyint").alias("role"), text)
+    base = scores(words, spelling).select(F.col("doc_id").alias("gram"), F.exp(F.col("log_p") / F.lit(float(UNIT))).alias("base"))
+    made = train.mapInArrow(training_grams, "uvw bigint, uv bigint, vw bigint, v bigint, w bigint, n bigint")
+    one = [F.any_value(c).alias(c) for c in ("uv", "vw", "v", "w")]
+    three = stored(made.groupBy("uvw").agg(F.sum("n").alias("n"), *one), "words-3")
+    two = stored(three.groupBy("vw").agg(F.count(F.lit(1)).alias("n"), F.any_value("v").alias("v"), F.any_value("w").alias("w")), "words-2")
+    single = stored(two.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "words-1")
+
+    def discounted(table: DataFrame) -> DataFrame:
+        d = discounts(table)
+        return table.withColumn("d", F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))
+
+    total, weight = discounted(single).agg(F.sum("n"), F.sum("d") / F.sum("n")).first()
+    known = discounted(single).select(F.col("w").alias("gram"), ((F.col("n") - F.col("d")) / F.lit(float(total or 1))).alias("own"))
+    # Of very long words the base is 0 in floating point.
+    p = F.greatest(F.coalesce("own", F.lit(0.0)) + F.lit(1.0 if weight is None else weight) * F.col("base"), F.lit(1e-300))
+    levels = [stored(base.join(known, "gram", "left").select("gram", p.alias("p"), F.log(p).alias("gain")), "word-level")]
+    after = []
+    for table, gram, context, short in ((two, "vw", "v", "w"), (three, "uvw", "uv", "vw")):
+        table = discounted(table).select(F.col(gram).alias("gram"), F.col(context).alias("context"), F.col(short).alias("short"), "n", "d")
+        weights = stored(table.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("weight")), "word-contexts")
+        rows = table.join(weights, "context").join(levels[-1].select(F.col("gram").alias("short"), F.col("p").alias("below")), "short")
+        p = (F.col("n") - F.col("d")) / F.col("total") + F.col("weight") * F.col("below")
+        levels.append(stored(rows.select("gram", p.alias("p"), (F.log(p) - F.log("weight") - F.log("below")).alias("gain")), "word-level"))
+        after.append(weights.select(F.col("context").alias("gram"), F.log("weight").alias("after")))
+    whole = levels[2].select("gram", "gain", F.lit(0.0).alias("after"))
+    for level, weights in zip(levels[:2], after):
+        whole = whole.unionByName(level.select("gram", "gain").join(weights, "gram", "full"))
+    fixed = [F.round(F.coalesce(c, F.lit(0.0)) * UNIT).cast("bigint").alias(c) for c in ("gain", "after")]
+    return stored(whole.select(F.col("gram").alias("key"), *fixed), "word-model")
+
+
+def word_scores(docs: DataFrame) -> DataFrame:
+    """``(doc_id, lang, role, bytes, log_p, byte_log_p)`` per row of ``docs(doc_id, lang, role, text)``, in units of 1 / UNIT.
+
+    ``byte_log_p`` is that of the byte n-grams of whole texts. The model is trained on the rows of role 1. A text of blanks only counts as unknown bytes, 1 / 256 each.
+    """
+    docs = docs.withColumn("t", F.xxhash64("doc_id", "text"))
+    made = docs.select("t", "text").mapInArrow(text_grams, "t bigint, key bigint, n int, m int")
+    parts = made.join(word_model(docs), "key")
+    sums = parts.groupBy("t").agg(F.sum(F.col("n") * F.col("gain") + F.col("m") * F.col("after")).alias("sum"))
+    # Repeated rows share t, so its sum holds their log p as many times.
+    copies = docs.groupBy("t").agg(F.count(F.lit(1)).alias("copies"))
+    sums = sums.join(copies, "t").select("t", F.expr("sum div copies").alias("log_p"))
+    about = docs.select("doc_id", "lang", "role", "t", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes"))
+    blank = F.col("bytes") * F.lit(round(np.log(1 / 256) * UNIT))
+    of_bytes = scores(docs.select(F.col("t").alias("doc_id"), "lang", "role", "text"), model(docs.where("role = 1")))
+    of_bytes = of_bytes.groupBy(F.col("doc_id").alias("t")).agg(F.max("log_p").alias("byte_log_p"))
+    both = about.join(sums, "t", "left").join(of_bytes, "t", "left")
+    return both.select("doc_id", "lang", "role", "bytes", F.coalesce("log_p", blank).alias("log_p"), "byte_log_p")
+
+
 def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """``(doc_id, lang, n_bytes, perplexity, threshold, kept)`` per row of ``docs``.
+    """``(doc_id, lang, n_bytes, perplexity, threshold, byte_perplexity, byte_threshold, kept)`` per row of ``docs``.
 
     ``trusted`` has the ids (``doc_id``) of trusted documents; a fifth of them, by crc32 of the id, set the
     quantiles and the others train. Perplexity is per byte, and averaged with ``PRIOR_BYTES`` bytes at the
@@ -345,7 +471,22 @@ def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> D
     marked = docs.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "lang", role.alias("role"), "text")
     if not small:  # blocks must not change when a task is run again
         marked = stored(marked, "marked")
-    found = stored(scores(marked, model(marked.where("role = 1"))), "scores")
+    found = stored(word_scores(marked), "scores")
+    named = [F.col(c).alias(f"word_{c}") for c in ("rate", "smooth", "limit")]
+    found = _limited(found, quantile).select("doc_id", "lang", "role", "bytes", F.col("byte_log_p").alias("log_p"), *named)
+    found = _limited(found, quantile)
+    within = [F.coalesce(F.col(f"{c}smooth") * 1000 <= F.col(f"{c}limit"), F.lit(True)) for c in ("word_", "")]
+    kept = F.col("rate").isNotNull() & within[0] & within[1]
+    figures = [f(F.col(c)).alias(n) for c, n, f in (
+        ("word_rate", "perplexity", F.exp), ("word_limit", "threshold", lambda x: F.exp(x / 1000)),
+        ("rate", "byte_perplexity", F.exp), ("limit", "byte_threshold", lambda x: F.exp(x / 1000)),
+    )]
+    return found.select("doc_id", "lang", F.col("bytes").alias("n_bytes"), *figures, kept.alias("kept"))
+
+
+def _limited(found: DataFrame, quantile: float) -> DataFrame:
+    """``found`` with the rate of log_p per byte, the averaged rate, and the language's limit in thousandths."""
+    columns = found.columns
     rate = -F.col("log_p") / F.lit(float(UNIT)) / F.col("bytes")
     found = found.withColumn("rate", F.when(F.col("bytes") > 0, rate))
     means = found.where("role = 2").groupBy("lang").agg(F.count("rate").alias("held"), F.sum("rate").alias("sum"))
@@ -363,11 +504,7 @@ def judged(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> D
     own = own.where(F.col("lang").isNotNull() & (F.col("docs") >= LEAST_HELD_OUT)).select(F.col("lang").alias("q_lang"), F.col("limit").alias("own"))
     rows = found.join(own, F.col("lang") == F.col("q_lang"), "left")
     limit = F.coalesce(F.col("own"), merged.agg(F.max("limit")).scalar())
-    rows = rows.select("doc_id", "lang", "bytes", "rate", "smooth", limit.alias("limit"))
-    kept = F.col("rate").isNotNull() & F.coalesce(F.col("smooth") * 1000 <= F.col("limit"), F.lit(True))
-    return rows.select(
-        "doc_id", "lang", F.col("bytes").alias("n_bytes"), F.exp("rate").alias("perplexity"), F.exp(F.col("limit") / 1000).alias("threshold"), kept.alias("kept")
-    )
+    return rows.select(*columns, "rate", "smooth", limit.alias("limit"))
 
 
 def _quantile(counts: DataFrame, keys: list[str], q: float) -> DataFrame:

@@ -1,9 +1,12 @@
 """Cases where an operator once did less than its whole job."""
 
+import math
+
 import brute
 import corpus_pipeline
+import pytest
 
-from logspark.llm import passages, similar_lines
+from logspark.llm import ngrams, passages, similar_lines
 
 
 def test_short_lines_of_the_pipeline(spark, docs, generated_docs):
@@ -48,3 +51,31 @@ def test_classes_and_links_of_lines(spark, tmp_path, generated_docs, monkeypatch
     removed, _ = brute.removed_lines(docs)
     assert {i: list(r.removed) for i, r in got.items() if r.removed} == removed
     assert got[301].n_lines == got[303].n_lines == 0 and got[302].removed == got[302].lines == []
+
+
+def test_word_grams_of_quality(spark, generated_docs):
+    """Against direct recursion over words; the order of known words counts, which short byte contexts hardly see."""
+    marked = [(i, "en", 0 if i % 3 else 1, t) for i, t in [*generated_docs, (61, generated_docs[1][1]), (62, "zz unknownword\n é")]]
+    docs = spark.createDataFrame([*marked, marked[1]], "doc_id bigint, lang string, role tinyint, text string").repartition(3)
+    got = {r.doc_id: r for r in ngrams.word_scores(docs).collect()}
+    train = [brute.words(t) for _, _, r, t in marked if r == 1]
+    spelling = brute.KneserNey([w + "\n" for w in {w for t in train for w in t}], ngrams.ORDER, 1 / 4096)
+
+    class Words(brute.KneserNey):
+        def grams(self, text):
+            padded = ("", "", *text)
+            return [padded[i : i + 3] for i in range(len(text))]
+
+        def p(self, gram):
+            if len(gram) > 1:
+                return super().p(gram)
+            total, spare = self.contexts[1][()]
+            c = self.counts[1].get(gram, 0)
+            base = spelling.perplexity(gram[0] + "\n") ** -len((gram[0] + "\n").encode())
+            return (c - self.discount(1, c) if c else 0) / total + spare / total * base
+
+    plain = Words(train, 3, None)
+    for i, _, _, text in marked:
+        words = brute.words(text)
+        expected = -len(words) * math.log(plain.perplexity(words))
+        assert got[i].bytes == len(text.encode()) and got[i].log_p / ngrams.UNIT == pytest.approx(expected, rel=1e-3)
