@@ -1,6 +1,6 @@
 """Queries and oracle texts of this package."""
 
-from logspark.llm import chat, decontaminate, langid, minhash, mixing, ngrams, passages, pseudonyms, rules, similar_lines
+from logspark.llm import chat, decontaminate, langid, minhash, mixing, ngrams, passages, pseudonyms, rules, similar_lines, token_files
 
 QUERIES = {
     "op1_quality": ngrams.op1_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_minhash": minhash.op9_minhash,
     "op10_quality_rules": rules.op10_quality_rules,
+    "op11_token_files": token_files.op11_token_files,
 }
 ORACLES = {
     "op5_decontaminate": decontaminate.OP5_SQL,

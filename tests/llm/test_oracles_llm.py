@@ -22,4 +22,4 @@ def test_query(spark, con, name):
 
 
 def test_names():
-    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 10
+    assert set(ORACLES) <= set(QUERIES) and len(QUERIES) == 13
