@@ -1,6 +1,6 @@
 """Queries and oracle texts of this package."""
 
-from logspark.llm import chat, decontaminate, langid, minhash, mixing, ngrams, passages, pseudonyms, rules, similar_lines, token_files
+from logspark.llm import chat, decontaminate, langid, minhash, mixing, ngrams, passages, pseudonyms, rules, similar_lines, token_files, vector_codes
 
 QUERIES = {
     "op1_quality": ngrams.op1_quality,
@@ -14,10 +14,12 @@ QUERIES = {
     "op9_minhash": minhash.op9_minhash,
     "op10_quality_rules": rules.op10_quality_rules,
     "op11_token_files": token_files.op11_token_files,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 ORACLES = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_minhash": minhash.OP9_SQL,
     "op10_quality_rules": rules.OP10_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
 }
