@@ -1,6 +1,6 @@
 """Queries and oracle texts of this package."""
 
-from logspark.llm import chat, decontaminate, langid, minhash, mixing, ngrams, passages, pseudonyms, rules, similar_lines, token_files, vector_codes
+from logspark.llm import chat, decontaminate, hard_negatives, langid, minhash, mixing, ngrams, passages, pseudonyms, rules, similar_lines, token_files, vector_codes
 
 QUERIES = {
     "op1_quality": ngrams.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_quality_rules": rules.op10_quality_rules,
     "op11_token_files": token_files.op11_token_files,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLES = {
     "op5_decontaminate": decontaminate.OP5_SQL,
@@ -22,4 +23,5 @@ ORACLES = {
     "op9_minhash": minhash.OP9_SQL,
     "op10_quality_rules": rules.OP10_SQL,
     "op12_vector_codes": vector_codes.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
