@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from logspark.operators import alerts as L
 from logspark.operators import metrics as M
 from logspark.operators import parse as P
+from logspark.operators.ordered import micros
 from logspark.plans.adapters import ctes
+from logspark.plans.anomaly_plans import STATS, WITH_METRICS, pattern_sql
 from logspark.plans.registry import query
 from logspark.session import scratch_path
 from logspark.streaming import jobs as J
+from logspark.streaming import late, state
+from logspark.streaming.tables import in_runs
 
 WITH_LOGS = f"WITH {ctes('logs')}"
 CLOSED = "(SELECT max(timestamp) FROM logs) - INTERVAL 10 MINUTE"
@@ -134,3 +138,84 @@ def stream_fan_out(t):
     J.fan_out(parsed, outputs, f"{base}/tables", f"{base}/checkpoint").awaitTermination()
     parts = [t.spark.read.parquet(f"{base}/tables/{n}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("output"), "n") for n in outputs]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# Quarters of the time range of the events; every 25th event comes one quarter late.
+ARRIVALS = """a AS (SELECT *, CASE WHEN event_id % 25 = 0 THEN least(q + 1, 4) ELSE q END AS arrival FROM (
+ SELECT *, 1 + (4 * (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events))) // (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) + 1 FROM events) AS q FROM events) x)"""
+
+
+def by_time(df, ts, pieces):
+    """Number of the piece, from 1, of equal stretches of the time range."""
+    low, high = df.agg(F.min(micros(F.col(ts))), F.max(micros(F.col(ts)))).first()
+    return (F.floor((micros(F.col(ts)) - low) * pieces / ((high or 0) - (low or 0) + 1)) + 1).cast("int") if low is not None else F.lit(1)
+
+
+def log_pieces(t, *, delayed):
+    """Log records in four pieces by time; if ``delayed``, every 25th comes one piece late."""
+    logs = t.logs.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    piece = by_time(logs, "timestamp", 4)
+    if delayed:
+        piece = F.when(F.col("seq") % 25 == 0, F.least(piece + 1, F.lit(4))).otherwise(piece)
+    held = logs.withColumn("__piece", piece)
+    return [held.where(F.col("__piece") == k).drop("__piece") for k in range(1, 5)]
+
+
+TICK = "date_trunc('minute', timestamp)::TIMESTAMP"
+
+
+@query(
+    "stream_late_repair",
+    f"""WITH {ctes("logs")}, {ARRIVALS}, m AS (SELECT arrival, max(ts) AS top FROM a GROUP BY 1),
+ b AS (SELECT a.*, ts < (SELECT max(top) FROM m WHERE m.arrival < a.arrival) - INTERVAL 10 MINUTE AS late FROM a),
+ r AS (SELECT logs.*, coalesce(late, false) AS late FROM logs JOIN b ON seq = event_id)
+ SELECT {TICK} AS bucket, service, count(*) AS n, count(*) FILTER (WHERE level = 'ERROR') AS errors, count(*) FILTER (WHERE late) AS late FROM r GROUP BY 1, 2""",
+)
+def stream_late_repair(t):
+    """Minute counts per service written by day from the rows in time, then repaired for the days of late rows."""
+    base = scratch_path(t.spark, "late")
+    pieces = log_pieces(t, delayed=True)
+    schema = pieces[0].schema
+    in_runs(t.spark, pieces, lambda stream: late.land(stream, f"{base}/landed", f"{base}/checkpoint"))
+    minute = lambda rows: rows.groupBy(F.date_trunc("minute", "timestamp").alias("bucket"), "service").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("level") == "ERROR").alias("errors"))
+    in_time = late.read_daily(t.spark, f"{base}/landed/rows", schema)
+    late.overwrite_days(minute(in_time).withColumn("event_date", F.to_date("bucket")), f"{base}/ticks")
+    late.repair(t.spark, f"{base}/landed", schema, f"{base}/ticks", minute)
+    behind = late.late_rows(t.spark, f"{base}/landed", schema).groupBy(F.date_trunc("minute", "timestamp").alias("bucket"), "service").agg(F.count(F.lit(1)).alias("late"))
+    ticks = t.spark.read.parquet(f"{base}/ticks").drop("event_date")
+    return ntz(ticks.join(behind, ["bucket", "service"], "left").withColumn("late", F.coalesce("late", F.lit(0))), "bucket")
+
+
+MESSAGE = "concat(event_type, ' ', CAST(user_id // 4 % 2 AS VARCHAR), ' ', props, ' u', chr(CAST(97 + user_id % 26 AS INTEGER)))"
+
+
+@query(
+    "stream_rare_patterns",
+    f"""WITH {ARRIVALS}, p AS (SELECT CAST(event_id AS VARCHAR) AS id, ts AS timestamp, event_id, {pattern_sql(MESSAGE)} AS pattern, q FROM a)
+ SELECT id, timestamp, pattern, occurrence, 0.7::DOUBLE AS confidence FROM (
+ SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY q, timestamp, id) AS occurrence FROM p) WHERE occurrence <= 5""",
+)
+def stream_rare_patterns(t):
+    """The rare pattern rule over four runs of one stream; counts live in the state store."""
+    shape = F.expr("concat(event_type, ' ', CAST(user_id div 4 % 2 AS STRING), ' ', props, ' u', char(97 + user_id % 26))").alias("message")
+    events = t.table("events").select(F.col("event_id").alias("seq"), shape)
+    pieces = [p.select("seq", "id", "timestamp").join(events, "seq").drop("seq") for p in log_pieces(t, delayed=False)]
+    base = scratch_path(t.spark, "rare")
+
+    def start(stream):
+        rows = state.rare_patterns(stream).writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/checkpoint")
+        return state.with_state_store(t.spark, lambda: rows.trigger(availableNow=True).start())
+
+    in_runs(t.spark, pieces, start)
+    return ntz(t.spark.read.parquet(f"{base}/rows"), "timestamp")
+
+
+@query("stream_baseline", WITH_METRICS + ", " + STATS + " SELECT name, n, round(mean, 6) AS mean, round(std, 6) AS std, round(trend, 8) AS trend FROM stats")
+def stream_baseline(t):
+    """Baselines from merged moments of metric values that arrive in three runs."""
+    metrics = t.metrics.withColumn("ts", F.col("ts").cast("timestamp"))
+    held = metrics.withColumn("__piece", by_time(metrics, "ts", 3))
+    base = scratch_path(t.spark, "baseline")
+    in_runs(t.spark, [held.where(F.col("__piece") == k).drop("__piece") for k in (1, 2, 3)], lambda s: state.track_baselines(s, f"{base}/state", f"{base}/checkpoint"))
+    found = state.baseline(t.spark, f"{base}/state")
+    return found.select("name", "n", *[F.round(c, d).alias(c) for c, d in (("mean", 6), ("std", 6), ("trend", 8))])
