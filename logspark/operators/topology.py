@@ -91,43 +91,57 @@ def service_health(known: DataFrame) -> DataFrame:
     )
 
 
-def service_calls(spans: DataFrame) -> DataFrame:
-    """Parent-child calls between two services of one trace, pre-counted per parent span and operation.
+def calls_between(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """Calls of child spans from parent spans of the same trace and another service, counted per parent span and operation.
 
     Children are counted before the join, so a parent span with many children sends few rows.
     """
-    children = spans.where(F.col("parent_span_id").isNotNull()).groupBy("trace_id", "parent_span_id", "service", "operation").agg(
+    counted = children.where(F.col("parent_span_id").isNotNull()).groupBy("trace_id", "parent_span_id", "service", "operation").agg(
         F.count(F.lit(1)).alias("calls"),
         count_if(F.col("error")).alias("errors"),
         F.sum("duration").alias("duration"),
         F.min("start_time").alias("first_seen"),
         F.max("start_time").alias("last_seen"),
     )
-    parents = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("service").alias("from"))
+    callers = parents.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("service").alias("from"))
     return (
-        children.withColumnRenamed("service", "to")
-        .join(parents, ["trace_id", "parent_span_id"])
+        counted.withColumnRenamed("service", "to")
+        .join(callers, ["trace_id", "parent_span_id"])
         .where(F.col("from") != F.col("to"))
         .drop("parent_span_id")
     )
 
 
-def dependencies(spans: DataFrame) -> DataFrame:
-    """Edges of the service graph: calls, traces, strength, errors, mean latency, time range."""
-    per_trace = service_calls(spans).groupBy("from", "to", "trace_id").agg(
-        F.sum("calls").alias("c"), F.sum("errors").alias("e"), F.sum("duration").alias("d"),
-        F.min("first_seen").alias("f"), F.max("last_seen").alias("l"),
+def service_calls(spans: DataFrame) -> DataFrame:
+    """Parent-child calls between two services of one trace."""
+    return calls_between(spans, spans)
+
+
+def calls_by_trace(calls: DataFrame) -> DataFrame:
+    """Calls added up per edge and trace; rows of several batches may be added up again."""
+    return calls.groupBy("from", "to", "trace_id").agg(
+        F.sum("calls").alias("calls"), F.sum("errors").alias("errors"), F.sum("duration").alias("duration"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
     )
-    return per_trace.groupBy("from", "to").agg(
-        F.sum("c").alias("calls"),
+
+
+def edges_of(calls: DataFrame) -> DataFrame:
+    """Edges of the service graph from calls: calls, traces, strength, errors, mean latency, time range."""
+    return calls_by_trace(calls).groupBy("from", "to").agg(
+        F.sum("calls").alias("calls"),
         F.count(F.lit(1)).alias("traces"),
-        F.sum("e").alias("error_count"),
-        (F.sum("d") / F.sum("c")).alias("avg_latency"),
-        F.min("f").alias("first_seen"),
-        F.max("l").alias("last_seen"),
+        F.sum("errors").alias("error_count"),
+        (F.sum("duration") / F.sum("calls")).alias("avg_latency"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
     ).withColumn("strength", F.least(F.lit(STRENGTH_MAX), 1 + STRENGTH_STEP * F.col("calls")))
 
 
+def dependencies(spans: DataFrame) -> DataFrame:
+    """Edges of the service graph of these spans."""
+    return edges_of(service_calls(spans))
+
+
 def dependency_operations(spans: DataFrame) -> DataFrame:
     """Operations of each edge, one row per distinct operation."""
     return service_calls(spans).groupBy("from", "to", "operation").agg(F.sum("calls").alias("calls"))

@@ -157,8 +157,9 @@ def message_features(t):
 
 @query(
     "number_tokens",
-    """WITH x AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '(?i)[-+]?(?:\\d*\\.\\d+|\\d+)(?:e[-+]?\\d+)?'), lambda s: TRY_CAST(s AS DOUBLE)) AS v FROM documents)
- SELECT doc_id, len(v)::BIGINT AS numbers, round(list_max(v), 6) AS largest FROM x WHERE len(v) > 0""",
+    """WITH x AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '(?i)[-+]?(?:\\d*\\.\\d+|\\d+)(?:e[-+]?\\d+)?'), lambda s: TRY_CAST(s AS DOUBLE)) AS v0 FROM documents),
+ y AS (SELECT doc_id, list_filter(v0, lambda n: isfinite(n)) AS v FROM x)
+ SELECT doc_id, len(v)::BIGINT AS numbers, round(list_max(v), 6) AS largest FROM y WHERE len(v) > 0""",
 )
 def number_tokens(t):
     v = text.number_tokens(F.lower("text"))

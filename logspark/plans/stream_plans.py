@@ -7,15 +7,17 @@ watermark (latest event time minus the delay).
 from pyspark.sql import functions as F
 
 from logspark.operators import alerts as L
+from logspark.operators import anomaly as A
 from logspark.operators import metrics as M
 from logspark.operators import parse as P
 from logspark.operators.ordered import micros
 from logspark.plans.adapters import ctes
-from logspark.plans.anomaly_plans import STATS, WITH_METRICS, pattern_sql
+from logspark.plans.anomaly_plans import STATS, WITH_METRICS, burst_sql, pattern_sql
 from logspark.plans.registry import query
+from logspark.plans.topology_plans import CALLS, WITH_SPANS
 from logspark.session import scratch_path
 from logspark.streaming import jobs as J
-from logspark.streaming import late, state
+from logspark.streaming import continuous, late, state
 from logspark.streaming.tables import in_runs
 
 WITH_LOGS = f"WITH {ctes('logs')}"
@@ -151,14 +153,14 @@ def by_time(df, ts, pieces):
     return (F.floor((micros(F.col(ts)) - low) * pieces / ((high or 0) - (low or 0) + 1)) + 1).cast("int") if low is not None else F.lit(1)
 
 
-def log_pieces(t, *, delayed):
-    """Log records in four pieces by time; if ``delayed``, every 25th comes one piece late."""
+def log_pieces(t, *, delayed, pieces=4):
+    """Log records in pieces by time; if ``delayed``, every 25th comes one piece late."""
     logs = t.logs.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    piece = by_time(logs, "timestamp", 4)
+    piece = by_time(logs, "timestamp", pieces)
     if delayed:
-        piece = F.when(F.col("seq") % 25 == 0, F.least(piece + 1, F.lit(4))).otherwise(piece)
+        piece = F.when(F.col("seq") % 25 == 0, F.least(piece + 1, F.lit(pieces))).otherwise(piece)
     held = logs.withColumn("__piece", piece)
-    return [held.where(F.col("__piece") == k).drop("__piece") for k in range(1, 5)]
+    return [held.where(F.col("__piece") == k).drop("__piece") for k in range(1, pieces + 1)]
 
 
 TICK = "date_trunc('minute', timestamp)::TIMESTAMP"
@@ -219,3 +221,90 @@ def stream_baseline(t):
     in_runs(t.spark, [held.where(F.col("__piece") == k).drop("__piece") for k in (1, 2, 3)], lambda s: state.track_baselines(s, f"{base}/state", f"{base}/checkpoint"))
     found = state.baseline(t.spark, f"{base}/state")
     return found.select("name", "n", *[F.round(c, d).alias(c) for c, d in (("mean", 6), ("std", 6), ("trend", 8))])
+
+
+GAP = 3600
+
+
+_ran = {}
+
+
+def continuous_logs(t):
+    """The whole job over three runs; the folder of its tables. A session runs it once for a data folder."""
+    key = t.spark.sparkContext.applicationId, t.sf_dir
+    if key not in _ran:
+        base = scratch_path(t.spark, "continuous")
+        thresholds, rules = A.default_thresholds(t.spark), L.default_rules(t.spark)
+        start = lambda s: continuous.run(s, continuous.process_logs, f"{base}/tables", f"{base}/checkpoint", thresholds=thresholds, rules=rules, gap_seconds=GAP, burst_seconds=3600, burst_above=2)
+        in_runs(t.spark, log_pieces(t, delayed=False, pieces=3), start)
+        _ran[key] = f"{base}/tables"
+    return _ran[key]
+
+
+SAMPLES = """s AS (SELECT service, timestamp AS ts, 'error_rate' AS name, CASE level WHEN 'ERROR' THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM logs WHERE service IS NOT NULL
+ UNION ALL SELECT service, timestamp, 'latency_p95', response_time::DOUBLE FROM logs WHERE response_time <> 0)"""
+
+
+@query("continuous_rows", WITH_LOGS + " SELECT timestamp::DATE AS event_date, level, count(*) AS n, sum(response_time)::BIGINT AS response_time FROM logs GROUP BY 1, 2")
+def continuous_rows(t):
+    """Rows of the daily store."""
+    rows = late.read_daily(t.spark, f"{continuous_logs(t)}/hot", t.logs.withColumn("timestamp", F.col("timestamp").cast("timestamp")).schema)
+    return rows.groupBy("event_date", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("response_time").alias("response_time"))
+
+
+@query(
+    "continuous_anomalies",
+    WITH_LOGS + f""", {SAMPLES} SELECT name AS metric, service, value, round(CASE WHEN value > 0 THEN least(1, value / t) ELSE 1 END, 6) AS confidence, count(*) AS n
+ FROM s JOIN (VALUES ('error_rate', 0.05::DOUBLE), ('latency_p95', 1000::DOUBLE)) x(name, t) USING (name) WHERE value > t GROUP BY ALL""",
+)
+def continuous_anomalies(t):
+    """Threshold anomalies of the metric samples of all batches."""
+    found = continuous.of_batches(t.spark, continuous_logs(t), "thresholds")
+    return found.groupBy("metric", "service", "value", F.round("confidence", 6).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("continuous_bursts", burst_sql("PARTITION BY service", "service,", "INTERVAL 1 HOUR", 2))
+def continuous_bursts(t):
+    """Error bursts whose window reaches back into earlier batches."""
+    return ntz(continuous.bursts(t.spark, continuous_logs(t)), "timestamp")
+
+
+@query(
+    "continuous_services",
+    WITH_LOGS + " SELECT service, count(*) AS log_count, count(*) FILTER (WHERE level = 'ERROR') AS log_errors, min(timestamp) AS log_first_seen, max(timestamp) AS log_last_seen FROM logs WHERE service IS NOT NULL GROUP BY 1",
+)
+def continuous_services(t):
+    """Service figures, with the increments of the first runs added up by a compaction."""
+    base = continuous_logs(t)
+    continuous.compact(t.spark, base, "services", upto=1)
+    return ntz(continuous.services(t.spark, base), "log_first_seen", "log_last_seen")
+
+
+RUNS = WITH_LOGS + f""", {SAMPLES}, f AS (SELECT CASE name WHEN 'error_rate' THEN 'high_error_rate' ELSE 'high_latency_p95' END AS rule_name, service, ts FROM s WHERE value > CASE name WHEN 'error_rate' THEN 0.05 ELSE 1000 END),
+ g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL {GAP} SECOND THEN 0 ELSE 1 END AS o FROM f WINDOW w AS (PARTITION BY rule_name, service ORDER BY ts)),
+ r AS (SELECT *, sum(o) OVER (PARTITION BY rule_name, service ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+ SELECT rule_name, service, min(ts) AS starts_at{{}} FROM r GROUP BY rule_name, service, k"""
+
+
+@query("continuous_alerts", RUNS.format(", max(ts) AS last_seen, count(*) AS n"))
+def continuous_alerts(t):
+    """Deduplicated alerts over all batches."""
+    return ntz(continuous.alerts(t.spark, continuous_logs(t), gap_seconds=GAP), "starts_at", "last_seen")
+
+
+@query("alert_sink", RUNS.format(""))
+def alert_sink(t):
+    """What the alert sink received: each alert once, when it began."""
+    sent = continuous.of_batches(t.spark, continuous_logs(t), "sink")
+    body = F.from_json("value", "rule_name STRING, service STRING, starts_at TIMESTAMP")
+    return ntz(sent.select(body.alias("v")).select("v.*"), "starts_at")
+
+
+@query("continuous_edges", WITH_SPANS + ", " + CALLS + " SELECT * REPLACE (round(avg_latency, 6) AS avg_latency) FROM edges")
+def continuous_edges(t):
+    """Service edges from spans of which parents and children come in different runs."""
+    base = scratch_path(t.spark, "continuous")
+    spans = t.spans.withColumn("__piece", F.pmod(F.xxhash64("trace_id", "span_id"), F.lit(3)))
+    pieces = [spans.where(F.col("__piece") == k).drop("__piece") for k in range(3)]
+    in_runs(t.spark, pieces, lambda s: continuous.run(s, continuous.process_spans, f"{base}/tables", f"{base}/checkpoint", trace_seconds=None))
+    return continuous.edges(t.spark, f"{base}/tables").withColumn("avg_latency", F.round("avg_latency", 6))

@@ -148,8 +148,9 @@ def span_records(messages: DataFrame) -> DataFrame:
 
 
 def kafka_rows(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Rows as Kafka key and JSON value, for alert and live-record topics."""
-    value = F.to_json(F.struct(*df.columns)).alias("value")
+    """Rows as Kafka key and JSON value, for alert and live-record topics; times keep their microseconds."""
+    formats = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    value = F.to_json(F.struct(*df.columns), formats).alias("value")
     return df.select(*([F.col(key).cast("string").alias("key")] if key else []), value)
 
 
