@@ -22,7 +22,8 @@ blocks is put together from sums of its pieces, a few bytes for each 65,536 ids.
 
 Words: with ``by_words`` the tokenizer sees every distinct word of a task once. That is right for tokenizers that
 drop white space and cut at every change between letters and signs, which a probe checks; texts that contain
-the marker ``<|`` of special tokens are encoded whole.
+the marker ``<|`` of special tokens are encoded whole. Words are known by a 64-bit hash and their size in bytes; a
+batch in which two words share the hash but not the size is encoded whole.
 """
 
 from __future__ import annotations
@@ -39,16 +40,17 @@ from pyspark.sql import functions as F
 
 from logspark.llm import rans
 from logspark.llm.graph import stored
-from logspark.llm.text import slices
+from logspark.llm.text import slices, texts_of
 from logspark.operators.ordered import running
 from logspark.session import scratch_path
 
 END = 2
 PART_TOKENS = 1 << 22
 AT_ONCE = 32
-#: Distinct words a task remembers; a full memory is emptied, which changes no result.
-MEMORY = 400_000
-LONG_WORD = 64
+#: Distinct words a worker remembers, about 40 bytes each; a full memory is emptied, which changes no result.
+MEMORY = 2_000_000
+#: Bytes of text encoded together: the more, the fewer words are met again.
+TEXT_BYTES = 2 << 20
 MARKER = "<|"
 PROBE = "It's a TEST, of 12 words; e.g. ÉTÉ's 中文 <b> [x]\n\n  don't - stop!! (now)\tend."
 _TAIL = r"([a-z0-9])([!-/:-@\[-`{-~]+)(\s|$)"
@@ -76,41 +78,49 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.pool = [np.zeros(1, np.int64)], []
-        self.filled = 0
+        self.keys, self.bytes, self.starts, self.sizes = (np.zeros(0, k) for k in (np.uint64, np.int32, np.int64, np.int32))
+        self.pool = np.zeros(0, np.uint32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words in one go, kept apart by a special token."""
+    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Encode words in one go, kept apart by a special token; ``keys`` ascend."""
         number, mark = self.special
-        ids = self.whole([f" {mark} ".join(words)])[0]
+        ids = self.whole([f" {mark} ".join(w.decode() for w in words)])[0]
         cuts = np.flatnonzero(ids == number)
         sizes = np.diff(np.r_[-1, cuts, len(ids)]) - 1
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.starts.append(self.filled + np.cumsum(sizes))
-        self.pool.append(np.delete(ids, cuts))
-        self.filled += int(sizes.sum())
-
-    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        apart = pc.replace_substring_regex(pc.ascii_lower(texts), _TAIL, r"\1 \2\3")
-        lists = pc.ascii_split_whitespace(apart)
-        coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > MEMORY:
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.bytes = np.insert(self.keys, at, keys), np.insert(self.bytes, at, [len(w) for w in words])
+        self.starts, self.sizes = np.insert(self.starts, at, len(self.pool) + np.cumsum(sizes) - sizes), np.insert(self.sizes, at, sizes)
+        self.pool = np.r_[self.pool, np.delete(ids, cuts)]
+
+    def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of all texts in a row and where each ends; None if two words can't be told apart."""
+        held = texts_of(pc.replace_substring_regex(pc.ascii_lower(texts), _TAIL, r"\1 \2\3"))
+        size = held.ends - held.starts
+        keys, first, word = np.unique(held.words, return_index=True, return_inverse=True)
+        if (size != size[first][word]).any():
+            return None
+
+        def known() -> np.ndarray:
+            at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+            return self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+        new = ~known()
+        if new.any() and len(self.keys) + new.sum() > MEMORY:
             self.forget()
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            self.learn(new)
-        starts, pool = np.concatenate(self.starts), np.concatenate(self.pool) if self.pool else np.zeros(0, np.uint32)
-        self.starts, self.pool = [starts], [pool]
-        at = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        sizes = starts[at + 1] - starts[at]
+            new[:] = True
+        if new.any():
+            self.learn(keys[new], [held.data[a : a + n].tobytes() for a, n in zip(held.starts[first[new]].tolist(), size[first[new]].tolist())])
+        at = np.searchsorted(self.keys, keys)
+        if (self.bytes[at] != size[first]).any():
+            return None
+        at = at[word]
+        sizes = self.sizes[at].astype(np.int64)
         ends = np.r_[0, np.cumsum(sizes)]
-        ids = pool[np.repeat(starts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
-        return ids, ends[lists.offsets.to_numpy()]
+        ids = self.pool[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, ends[held.bounds]
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         texts = texts.cast(pa.string()).fill_null("")
@@ -119,8 +129,11 @@ class Encoder:
         plain = pc.invert(pc.match_substring(texts, MARKER)).to_numpy(zero_copy_only=False)
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         at = np.flatnonzero(plain)
-        if len(at):
-            ids, ends = self.words(texts.take(pa.array(at)))
+        found = self.words(texts.take(pa.array(at))) if len(at) else None
+        if found is None:
+            plain[:] = False
+        else:
+            ids, ends = found
             for i, a, b in zip(at.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
                 out[i] = ids[a:b]
         for i in np.flatnonzero(~plain).tolist():
@@ -162,7 +175,7 @@ def token_rows(docs: DataFrame, spec: str, *, end: int = END, text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(sent.value, by_words)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=TEXT_BYTES):
                 rows = [np.r_[ids, np.uint32(end)] for ids in encode(part.column("text"))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()), pa.array([zlib.crc32(r.astype("<u4").tobytes()) for r in rows], pa.int64()), pa.array([r.astype(kind).tobytes() for r in rows], pa.binary())],

@@ -106,7 +106,18 @@ def test_memory_of_words_is_bounded(by_words, monkeypatch):
     for k in range(30):
         text = " ".join(f"word{chr(97 + (k + j) % 26)}x." for j in range(7))
         assert list(by_words(pa.array([text]))[0]) == list(by_words.whole([text])[0])
-        assert len(by_words.known) <= 20
+        assert len(by_words.keys) <= 14
+
+
+def test_words_that_share_a_hash(by_words, monkeypatch):
+    """Two words of one key: of different sizes the texts are encoded whole."""
+    from logspark.llm.text import Texts
+
+    monkeypatch.setattr(Texts, "hashes", lambda self, starts, ends: np.ones(len(starts), np.uint64))
+    by_words.forget()
+    for text in ("alpha", "be gamma", "longerword"):
+        assert list(by_words(pa.array([text]))[0]) == list(by_words.whole([text])[0])
+    by_words.forget()
 
 
 def test_tokenizer_that_keeps_blanks_needs_whole_texts(spark, tmp_path):
