@@ -42,9 +42,11 @@ WORD_LAST = (WORD_FIRST | {"PHONE"}) - {"JWT_TOKEN"}
 # Every match of a type holds one of these texts (lower case); a plain search for them comes first.
 REQUIRED = {
     "EMAIL": ("@",), "email": ("@",), "IP_ADDRESS": (".",), "ipAddress": (".",), "JWT_TOKEN": ("eyj",), "UUID": ("-",),
-    "PASSWORD": ("password", "passwd", "pwd"), "USERNAME": ("user", "login"),
+    "PASSWORD": ("password", "passwd", "pwd"), "USERNAME": ("user", "login"), "MAC_ADDRESS": (":", "-"),
 }
-DIGITS = {"PHONE", "SSN", "CREDIT_CARD", "IP_ADDRESS", "ssn", "creditCard", "phone", "ipAddress"}
+# Every match of these types holds such a run of digits, or is at least so long.
+DIGITS = {**dict.fromkeys(("PHONE", "SSN", "CREDIT_CARD", "ssn", "creditCard", "phone"), "[0-9]{4}"), **dict.fromkeys(("IP_ADDRESS", "ipAddress"), "[0-9][.][0-9]")}
+LEAST_LENGTH = {"API_KEY": 32, "apiKey": 32}
 
 # Word boundaries over ASCII letters only, whatever the Java version takes as a word character.
 NOT_AFTER_WORD, NOT_BEFORE_WORD = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
@@ -69,7 +71,9 @@ def possible(text: Column, kind: str) -> Column:
         out = F.lit(False)
         for word in REQUIRED[kind]:
             out = out | F.lower(text).contains(word)
-    return out & text.rlike("[0-9]") if kind in DIGITS else out
+    if kind in LEAST_LENGTH:
+        out = out & (F.length(text) >= LEAST_LENGTH[kind])
+    return out & text.rlike(DIGITS[kind]) if kind in DIGITS else out
 
 
 def holds(text: Column, kind: str, pattern: str) -> Column:

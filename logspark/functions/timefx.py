@@ -35,6 +35,10 @@ EPOCH_MILLIS = r"^\d{13}$"
 HEADER_TIME = r"^[A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}$"
 
 
+#: Options that write JSON times with their microseconds.
+EXACT_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def span_seconds(span: str, *, m: str) -> int:
     """``7d`` → seconds. Query ranges use ``m="minute"``; retention and SLO windows ``m="month"`` (30 days)."""
     found = re.fullmatch(r"(\d+)([shdwmy])", span)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logspark.functions.timefx import as_of_or_latest, hour, seconds_before, weekday
 from logspark.operators.metrics import truncated
-from logspark.operators.ordered import rolling_count, row_numbers, time_chunk, with_lookback
+from logspark.operators.ordered import nearest_rank, rolling_count, row_numbers, time_chunk, with_lookback
 from logspark.schema import literal_table
 from logspark.session import cut_lineage
 
@@ -267,19 +268,18 @@ def metric_vectors(metrics: DataFrame, names: Sequence[str], keys: Sequence[str]
 def fit_centres(vectors: DataFrame, columns: Sequence[str], *, k: int = 4, rounds: int = 50) -> tuple[list[float], list[float], list[list[float]]]:
     """Means, deviations and ``k`` cluster centres of standardised columns, by Lloyd's rounds.
 
-    The start is fixed: centre i has the (i + 1/2) / k quantile of every column. Figures are rounded to nine
+    The start is fixed: centre i has the (i + 1/2) / k quantile of every column, by nearest rank. Figures are rounded to nine
     digits after each round, so the result doesn't depend on the layout of the data. Each round is one
     aggregation; only the centres reach the driver.
     """
-    first = vectors.agg(
-        F.array(*[F.avg(c) for c in columns]).alias("mean"),
-        F.array(*[F.stddev_pop(c) for c in columns]).alias("std"),
-        F.array(*[F.percentile(c, [(i + 0.5) / k for i in range(k)]) for c in columns]).alias("start"),
-    ).first()
+    first = vectors.agg(F.array(*[F.avg(c) for c in columns]).alias("mean"), F.array(*[F.stddev_pop(c) for c in columns]).alias("std")).first()
     if first["mean"][0] is None:
         return [0.0] * len(columns), [1.0] * len(columns), [[0.0] * len(columns)] * k
     mean, std = [round(m, 9) for m in first["mean"]], [round(s, 9) or 1.0 for s in first["std"]]
-    centres = [[round((q[i] - m) / s, 9) for q, m, s in zip(first["start"], mean, std)] for i in range(k)]
+    long = vectors.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "name", "value")
+    ranks = nearest_rank(long, ["name"], "value", {f"q{i}": (2 * i + 1) * 500 // k for i in range(k)})
+    start = {r["name"]: [r[f"q{i}"] for i in range(k)] for r in ranks.collect()}  # a row for each column
+    centres = [[round((start[c][i] - m) / s, 9) for c, m, s in zip(columns, mean, std)] for i in range(k)]
     for _ in range(rounds):
         placed = with_cluster(vectors, columns, mean, std, centres)
         sums = placed.groupBy("cluster").agg(*[F.avg((F.col(c) - m) / s).alias(c) for c, m, s in zip(columns, mean, std)])
@@ -311,3 +311,23 @@ def cluster_outliers(vectors: DataFrame, columns: Sequence[str], *, k: int = 4,
         .where(F.col("distance") > F.round(F.col("__mean") + deviations * F.col("__std"), 9))
         .select(*vectors.columns, "cluster", "distance", F.lit(CONFIDENCE["cluster_outlier"]).alias("confidence"))
     )
+
+
+def mahalanobis_outliers(vectors: DataFrame, columns: Sequence[str], *, deviations: float = 3.0) -> DataFrame:
+    """Rows whose Mahalanobis distance from the mean of all is above ``deviations``.
+
+    One aggregation gives the means and the population covariances; the driver inverts the small matrix (a
+    pseudo-inverse, so columns that depend on each other are fine), and the distance is a column expression. Rows with a
+    null in one of the columns are left out.
+    """
+    known = vectors.dropna(subset=list(columns))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = known.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    cov = np.zeros((len(columns), len(columns)))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = sums[f"c{i}_{j}"] or 0.0
+    inverse = np.linalg.pinv(cov, hermitian=True)
+    off = [F.col(c) - F.lit(sums[f"m{i}"]) for i, c in enumerate(columns)]
+    square = sum((float(inverse[i, j]) * (1 if i == j else 2) * off[i] * off[j] for i, j in pairs), F.lit(0.0))
+    distance = F.sqrt(F.greatest(square, F.lit(0.0)))
+    return known.withColumn("distance", distance).where(F.col("distance") > deviations).withColumn("confidence", F.lit(CONFIDENCE["cluster_outlier"]))

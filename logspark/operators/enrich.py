@@ -21,21 +21,47 @@ def ip_number(ip: Column) -> Column:
     return F.when(ok, ((a * 256 + b) * 256 + c) * 256 + d)
 
 
+def address_key(ip: Column) -> Column:
+    """An address as text that sorts by value: ``4`` and 8 hexadecimal digits, or ``6`` and 32; NULL when it is none.
+
+    An IPv4 address inside IPv6 (``::ffff:1.2.3.4``) has the key of the IPv4 address.
+    """
+    hex8 = lambda n: F.lpad(F.lower(F.hex(n)), 8, "0")
+    low, four = F.lower(F.trim(ip)), ip_number(ip)
+    dotted = F.regexp_extract(low, r":(\d{1,3}(?:\.\d{1,3}){3})$", 1)
+    pair = hex8(ip_number(dotted))
+    plain = F.when(dotted == "", low).otherwise(F.concat(F.regexp_replace(low, r"[\d.]+$", ""), F.substring(pair, 1, 4), F.lit(":"), F.substring(pair, 5, 4)))
+    sides = F.split(plain, "::", -1)
+    groups = lambda text: F.filter(F.split(text, ":", -1), lambda g: g != "")
+    head, tail = groups(F.get(sides, F.lit(0))), F.coalesce(groups(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
+    gap = F.array_repeat(F.lit("0"), F.lit(8) - F.size(head) - F.size(tail))
+    whole = F.when(F.size(sides) == 2, F.concat(head, gap, tail)).otherwise(head)
+    digits = F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")
+    # Eight groups, or "::" once in place of one or more; a single colon stands between groups only.
+    shape = r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$"
+    fits = plain.rlike(shape) & F.when(F.size(sides) == 2, F.size(head) + F.size(tail) < 8).otherwise(F.size(head) == 8)
+    mapped = F.regexp_extract(digits, "^0{20}ffff([0-9a-f]{8})$", 1)
+    six = F.when(mapped != "", F.concat(F.lit("4"), mapped)).otherwise(F.concat(F.lit("6"), digits))
+    return F.when(four.isNotNull(), F.concat(F.lit("4"), hex8(four))).when(low.contains(":") & fits, six)
+
+
 def add_geo(df: DataFrame, ranges: DataFrame, *, ip: str = "client_ip") -> DataFrame:
-    """Left join with disjoint address ranges ``(first_ip, last_ip, country, region, city)``.
+    """Left join with disjoint address ranges ``(first_ip, last_ip, country, region, city)`` of IPv4 and IPv6.
 
-    Ranges are expanded to the /16 blocks they touch, so rows meet them on the block and a range
-    check; no nested-loop join.
+    Distinct addresses and range starts are put in one order by value; the last start seen is carried along, chunk by
+    chunk of the address space (/16, or the first 48 bits of IPv6), so a range of any width is one row. The
+    places found meet the records on the address. Ranges that are no addresses are left out.
     """
-    block = lambda n: F.floor(n / 65536).cast("bigint")
-    low, high = ip_number(F.col("first_ip")), ip_number(F.col("last_ip"))
-    wide = ranges.select(
-        low.alias("__low"), high.alias("__high"), F.struct("country", "region", "city").alias("geo"),
-        F.explode(F.sequence(block(low), block(high))).alias("__block"),
-    )
-    left = df.withColumn("__ip", ip_number(F.col(ip))).withColumn("__block16", block(F.col("__ip")))
-    hit = (F.col("__block16") == F.col("__block")) & (F.col("__ip") >= F.col("__low")) & (F.col("__ip") <= F.col("__high"))
-    return left.join(wide, hit, "left").select(*df.columns, "geo")
+    kind = "struct<__end:string,geo:struct<country:string,region:string,city:string>>"
+    place = F.struct(address_key(F.col("last_ip")).alias("__end"), F.struct(*[F.col(c).cast("string") for c in ("country", "region", "city")]).alias("geo"))
+    starts = ranges.select(address_key(F.col("first_ip")).alias("__key"), F.lit(0).alias("__side"), F.lit(None).cast("string").alias("__ip"), place.cast(kind).alias("__place"))
+    asked = df.select(F.col(ip).alias("__ip")).where(F.col(ip).isNotNull()).distinct()
+    rows = starts.unionByName(asked.select(address_key(F.col("__ip")).alias("__key"), F.lit(1).alias("__side"), "__ip", F.lit(None).cast(kind).alias("__place"))).where("__key IS NOT NULL")
+    chunk = F.conv(F.substring("__key", F.lit(2), F.when(F.col("__key").startswith("4"), 4).otherwise(12)), 16, 10).cast("bigint")
+    placed = rows.withColumns({"__version": F.substring("__key", 1, 1), "__chunk": chunk})
+    seen = running(placed, ["__version"], "__chunk", ["__key", "__side"], {"__last": ("last", F.col("__place"))})
+    found = seen.where((F.col("__side") == 1) & (F.col("__key") <= F.col("__last.__end"))).select("__ip", F.col("__last.geo").alias("geo"))
+    return df.join(found, F.col(ip) == F.col("__ip"), "left").select(*df.columns, "geo")
 
 
 def add_service_metadata(df: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -57,7 +57,6 @@ def tier_counts(df: DataFrame) -> DataFrame:
 
 
 def retain(df: DataFrame, kind: str, *, ts: str = "timestamp", as_of: Any = None, span: str | None = None) -> DataFrame:
-    """Rows younger than the retention of ``kind``. In a daily table, ``files.drop_days_before`` removes whole
-    expired days, and this result, written with ``files.overwrite_days``, the rest of the day that expires."""
+    """Rows younger than the retention of ``kind``. ``files.expire`` does the same to a stored tier table."""
     now = as_of_or_latest(df, ts, as_of)
     return df.where(F.col(ts) > seconds_before(now, span_seconds(span or RETENTION[kind], m="month")))

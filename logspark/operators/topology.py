@@ -24,6 +24,7 @@ MAX_NODES = 1000
 MAX_EDGES = 5000
 CORRELATION_SECONDS = 300
 MIN_CORRELATION = 0.3
+TILE_SERVICES = 256
 VERSION_TAGS = ("version", "service.version")
 ENDPOINT_TAGS = ("http.url", "http.route")
 
@@ -305,14 +306,15 @@ def correlated_services(
     *,
     seconds: int = CORRELATION_SECONDS,
     min_strength: float = MIN_CORRELATION,
-    tiles: int = 4,
+    tiles: int | None = None,
     block_buckets: int = 288,
 ) -> DataFrame:
     """Service pairs whose error counts per time bucket correlate, with support and lift.
 
     Errors are counted per (service, bucket) first. Pair sums then come from matrix products over
     blocks of buckets and tiles of services, so neither a bucket's pairs nor a service's history
-    meet in one row-wise join. Pairs that never share a bucket cannot correlate positively and
+    meet in one row-wise join. The number of tiles follows that of the services: a frame holds about
+    ``2 * TILE_SERVICES`` services and ``block_buckets`` buckets at most. Pairs that never share a bucket cannot correlate positively and
     need no row; ``min_strength`` must be above zero.
     """
     if min_strength <= 0:
@@ -323,8 +325,10 @@ def correlated_services(
         logs.where((F.col("level") == "ERROR") & F.col("service").isNotNull())
         .groupBy("service", bucket.alias("bucket"))
         .agg(F.count(F.lit(1)).alias("errors"))
-        .withColumn("tile", F.pmod(F.xxhash64("service"), F.lit(tiles)).cast("int"))
     )
+    if tiles is None:
+        tiles = max(1, -(-counts.select("service").distinct().count() // TILE_SERVICES))
+    counts = counts.withColumn("tile", F.pmod(F.xxhash64("service"), F.lit(tiles)).cast("int"))
     others = F.sequence(F.lit(0), F.lit(tiles - 1))
     spread = counts.select("service", "bucket", "errors", "tile", F.floor(F.col("bucket") / block_buckets).alias("block"), F.explode(others).alias("other"))
     tiled = spread.withColumns({"tile_a": F.least("tile", "other"), "tile_b": F.greatest("tile", "other")})

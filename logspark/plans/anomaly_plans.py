@@ -202,3 +202,20 @@ def cluster_outliers(t):
     """Iterative clustering has no SQL form; rows only."""
     names = ["error_rate", "latency_p95", "throughput"]
     return A.cluster_outliers(A.metric_vectors(t.metrics, names), names)
+
+
+@query(
+    "mahalanobis_outliers",
+    WITH_METRICS
+    + """, v AS (SELECT ts, service, max(value) FILTER (WHERE name = 'error_rate') AS x, max(value) FILTER (WHERE name = 'latency_p95') AS y, max(value) FILTER (WHERE name = 'throughput') AS z FROM metrics GROUP BY 1, 2),
+ c AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) AS a, covar_pop(x, y) AS b, covar_pop(x, z) AS c, var_pop(y) AS d, covar_pop(y, z) AS e, var_pop(z) AS f FROM v WHERE x + y + z IS NOT NULL),
+ i AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM c),
+ m AS (SELECT ts, service, x, y, z, ((d * f - e * e) * (x - mx) ** 2 + (a * f - c * c) * (y - my) ** 2 + (a * d - b * b) * (z - mz) ** 2
+  + 2 * (c * e - b * f) * (x - mx) * (y - my) + 2 * (b * e - c * d) * (x - mx) * (z - mz) + 2 * (b * c - a * e) * (y - my) * (z - mz)) / det AS q FROM v, i WHERE x + y + z IS NOT NULL)
+ SELECT ts, service, round(x, 9) AS error_rate, y AS latency_p95, round(z, 9) AS throughput, round(sqrt(q), 5) AS distance, 0.8::DOUBLE AS confidence FROM m WHERE sqrt(q) > 3""",
+)
+def mahalanobis_outliers(t):
+    """Hours of a service whose metrics are unusual together."""
+    names = ["error_rate", "latency_p95", "throughput"]
+    found = A.mahalanobis_outliers(A.metric_vectors(t.metrics, names), names)
+    return found.withColumns({"error_rate": F.round("error_rate", 9), "throughput": F.round("throughput", 9), "distance": F.round("distance", 5)})

@@ -1,5 +1,7 @@
 """Intake, multiline, enrichment, audit and tier queries."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from logspark.operators import audit as U
@@ -8,6 +10,8 @@ from logspark.operators import multiline, tiers
 from logspark.operators import parse as P
 from logspark.plans.adapters import ctes
 from logspark.plans.registry import query
+from logspark.session import scratch_path
+from logspark.sources import files
 from logspark.sources import intake as I
 
 WITH_LOGS = f"WITH {ctes('logs')}"
@@ -26,6 +30,22 @@ def multiline_join(t):
     return multiline.join_lines(t.view("trace_lines"), chunk_lines=5000)
 
 
+@query(
+    "multiline_flushed",
+    f"""WITH {ctes('trace_lines', 'logs')},
+ f AS (SELECT t.*, logs.timestamp AS stamp, regexp_matches(value, '(?i)Exception|Error|Caused by:|at\\s+\\w+\\.') AS st, regexp_matches(value, '^\\s+') AS more FROM trace_lines t JOIN logs ON logs.seq = t.line_no // 4),
+ o AS (SELECT *, st AND (NOT more OR line_no = min(CASE WHEN st THEN line_no END) OVER (PARTITION BY source)) AS opens FROM f),
+ k AS (SELECT *, max(CASE WHEN opens THEN line_no END) OVER (PARTITION BY source ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS opener FROM o),
+ e AS (SELECT k.*, CASE WHEN k.more AND k.stamp < p.stamp + INTERVAL 5 SECOND THEN k.opener ELSE k.line_no END AS entry FROM k LEFT JOIN (SELECT source AS s, line_no AS l, stamp FROM f) p ON k.source = s AND k.opener = l)
+ SELECT source, entry AS line_no, string_agg(value, chr(10) ORDER BY e.line_no) AS value, count(*) AS lines FROM e GROUP BY source, entry""",
+)
+def multiline_flushed(t):
+    """An entry takes no line that comes five seconds after it was opened."""
+    logs = t.logs.select(F.col("seq").alias("__seq"), "timestamp")
+    lines = t.view("trace_lines").join(logs, F.floor(F.col("line_no") / 4) == F.col("__seq")).drop("__seq")
+    return multiline.join_lines(lines, ts="timestamp", chunk_lines=5000)
+
+
 @query(
     "multiline_parsed",
     ENTRIES
@@ -280,3 +300,26 @@ def tier_pruning(t):
 )
 def retention(t):
     return tiers.retain(t.deployments, "deployments")
+
+
+@query(
+    "tier_lifecycle",
+    WITH_LOGS
+    + """, n AS (SELECT *, (SELECT max(timestamp) FROM logs) AS now FROM logs), t AS (SELECT *, CASE WHEN timestamp >= now - INTERVAL 7 DAY THEN 'hot' WHEN timestamp >= now - INTERVAL 20 DAY THEN 'warm' ELSE 'cold' END AS tier FROM n)
+ SELECT tier, timestamp::DATE AS day, count(*) AS n, min(timestamp) AS oldest, sum(response_time)::BIGINT AS response_time FROM t
+ WHERE timestamp > now - CASE tier WHEN 'hot' THEN INTERVAL 5 DAY WHEN 'warm' THEN INTERVAL 15 DAY ELSE INTERVAL 25 DAY END GROUP BY 1, 2""",
+)
+def tier_lifecycle(t):
+    """Records written to their tiers, expired there by age, and read back."""
+    now = t.logs.agg(F.max("timestamp").alias("now")).first()["now"]
+    base = scratch_path(t.spark, "tiers")
+    rows = tiers.assign_tier(t.logs, as_of=now, warm="20d").drop("event_date")
+    parts = []
+    for tier, write, days in (("hot", files.write_hot, 5), ("warm", files.write_warm, 15), ("cold", files.write_cold, 25)):
+        path = f"{base}/{tier}"
+        write(rows.where(F.col("tier") == tier), path)
+        if now is not None:
+            files.expire(t.spark, path, now - timedelta(days=days))
+        parts.append((files.read_cold(t.spark, path) if tier == "cold" else t.spark.read.schema(rows.schema).parquet(path)).select("tier", "timestamp", "response_time"))
+    kept = tiers.union_tiers(*parts)
+    return kept.groupBy("tier", F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("oldest"), F.sum("response_time").alias("response_time"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime
+import json
 from collections.abc import Mapping
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logspark.functions.timefx import span_seconds
+from logspark.functions.timefx import EXACT_TIMES, span_seconds
 from logspark.operators.tiers import HOT, WARM, union_tiers
 
 
@@ -51,7 +54,7 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def export_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").options(**EXACT_TIMES).json(path)
 
 
 def export_topology(services: DataFrame, dependencies: DataFrame, deployments: DataFrame, path: str) -> None:
@@ -76,10 +79,28 @@ def write_warm(df: DataFrame, path: str, *, mode: str = "append") -> None:
 
 
 def write_cold(df: DataFrame, path: str, *, mode: str = "append") -> None:
-    """JSON below ``year/month/day``."""
+    """JSON below ``year/month/day``; the schema is kept in ``_schema``, so that reading infers nothing."""
     parts = {"year": "yyyy", "month": "MM", "day": "dd"}
     table = df.withColumns({n: F.date_format("timestamp", f) for n, f in parts.items()})
-    table.write.mode(mode).partitionBy(*parts).json(path)
+    table.write.mode(mode).options(**EXACT_TIMES).partitionBy(*parts).json(path)
+    known = cold_schema(df.sparkSession, path) if mode == "append" else None
+    fields = {f.name: f for f in [*(known.fields if known else []), *df.schema.fields]}
+    whole = T.StructType(list(fields.values()))
+    if whole != known:
+        df.sparkSession.createDataFrame([(whole.json(),)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{path}/_schema")
+
+
+def cold_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The kept schema of a cold tier; None if there is none."""
+    if not _exists(spark, f"{path}/_schema"):
+        return None
+    return T.StructType.fromJson(json.loads(spark.read.text(f"{path}/_schema").first()["value"]))
+
+
+def read_cold(spark: SparkSession, path: str) -> DataFrame:
+    """The cold tier with its partition columns; files are opened only as the query needs them."""
+    schema = cold_schema(spark, path)
+    return spark.read.json(path) if schema is None else spark.read.schema(schema).json(path)
 
 
 def read_range(spark: SparkSession, paths: Mapping[str, str], start: datetime.datetime, end: datetime.datetime, now: datetime.datetime) -> DataFrame:
@@ -93,7 +114,7 @@ def read_range(spark: SparkSession, paths: Mapping[str, str], start: datetime.da
     first, last = start.date(), end.date()
     parts = []
     for tier in (t for t, wanted in needed.items() if wanted and t in paths):
-        table = spark.read.json(paths[tier]) if tier == "cold" else spark.read.parquet(paths[tier])
+        table = read_cold(spark, paths[tier]) if tier == "cold" else spark.read.parquet(paths[tier])
         if tier == "hot":
             table = table.where(F.col("event_date").between(first, last)).drop("event_date")
         elif tier == "warm":
@@ -108,18 +129,89 @@ def read_range(spark: SparkSession, paths: Mapping[str, str], start: datetime.da
     return union_tiers(*parts)
 
 
-def drop_days_before(spark: SparkSession, path: str, first_day: datetime.date) -> list[str]:
-    """Delete the ``event_date`` partitions before ``first_day`` and return their names; works on any Hadoop file system."""
+def _store(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """Hadoop path and its file system."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    gone = []
-    for status in store.listStatus(folder):
-        name = status.getPath().getName()
-        day = name.removeprefix("event_date=")
-        if status.isDirectory() and name.startswith("event_date=") and day < first_day.isoformat() and day[:1].isdigit():
-            store.delete(status.getPath(), True)
-            gone.append(name)
-    return sorted(gone)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder, store = _store(spark, path)
+    return store.exists(folder)
+
+
+def partitions(spark: SparkSession, path: str) -> list[tuple[str, datetime.date, datetime.date]]:
+    """Partition folders of a daily, monthly or ``year/month/day`` table, each with its first day and the day after its last.
+
+    Only folder names are listed, on any Hadoop file system.
+    """
+    found = []
+
+    def visit(below: str, values: dict[str, str]) -> None:
+        folder, store = _store(spark, f"{path}/{below}" if below else path)
+        for status in store.listStatus(folder) if store.exists(folder) else []:
+            name = status.getPath().getName()
+            key, eq, value = name.partition("=")
+            if not status.isDirectory() or not eq or not value[:1].isdigit():
+                continue
+            here, got = f"{below}/{name}" if below else name, values | {key: value}
+            if key == "event_date":
+                day = datetime.date.fromisoformat(value)
+                found.append((here, day, day + datetime.timedelta(days=1)))
+            elif key == "event_month":
+                first = datetime.date.fromisoformat(f"{value}-01")
+                found.append((here, first, (first + datetime.timedelta(days=31)).replace(day=1)))
+            elif key == "day":
+                day = datetime.date(int(got["year"]), int(got["month"]), int(value))
+                found.append((here, day, day + datetime.timedelta(days=1)))
+            elif key in ("year", "month"):
+                visit(here, got)
+
+    visit("", {})
+    return sorted(found)
+
+
+def expire(spark: SparkSession, path: str, before: datetime.datetime, *, ts: str = "timestamp") -> dict[str, list[str]]:
+    """Remove the rows of a tier table up to ``before``: whole partitions are dropped, the one it cuts is rewritten.
+
+    Works on all three layouts. The rewritten partition is staged and replaces the old one when it is complete, so a
+    lost run leaves the old rows and can be repeated.
+    """
+    done: dict[str, list[str]] = {"dropped": [], "rewritten": []}
+    for name, first, end in partitions(spark, path):
+        cut = datetime.datetime.combine(first, datetime.time()) <= before
+        if not cut:
+            continue
+        whole = datetime.datetime.combine(end, datetime.time()) <= before
+        if not whole:
+            keys = dict(k.split("=") for k in name.split("/"))
+            cold = "year" in keys
+            table = read_cold(spark, path) if cold else spark.read.parquet(path)
+            if cold:
+                table = table.withColumns({"month": F.lpad(F.col("month").cast("string"), 2, "0"), "day": F.lpad(F.col("day").cast("string"), 2, "0")})
+            held = table.where(F.lit(True))
+            for key, value in keys.items():
+                held = held.where(F.col(key) == (int(value) if key == "year" else value))
+            held = held.where(F.col(ts) > F.lit(before))
+            whole = held.isEmpty()
+            if not whole:
+                writer = held.repartition(F.hour(ts)).sortWithinPartitions(ts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**EXACT_TIMES).partitionBy(*keys)
+                (writer.json if cold else writer.parquet)(path)
+                done["rewritten"].append(name)
+        if whole:
+            folder, store = _store(spark, f"{path}/{name}")
+            store.delete(folder, True)
+            done["dropped"].append(name)
+    return done
+
+
+def drop_days_before(spark: SparkSession, path: str, first_day: datetime.date) -> list[str]:
+    """Delete the daily or monthly partitions that end before ``first_day`` and return their names."""
+    gone = [name for name, _, end in partitions(spark, path) if end <= first_day]
+    for name in gone:
+        folder, store = _store(spark, f"{path}/{name}")
+        store.delete(folder, True)
+    return gone
 
 
 def overwrite_days(df: DataFrame, path: str) -> None:

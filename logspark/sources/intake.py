@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logspark.functions.levels import severity_number
 from logspark.functions.text import json_map
+from logspark.functions.timefx import EXACT_TIMES
 
 # Intake topics.
 TOPICS = ("logs", "metrics", "traces")
@@ -149,8 +150,7 @@ def span_records(messages: DataFrame) -> DataFrame:
 
 def kafka_rows(df: DataFrame, key: str | None = None) -> DataFrame:
     """Rows as Kafka key and JSON value, for alert and live-record topics; times keep their microseconds."""
-    formats = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-    value = F.to_json(F.struct(*df.columns), formats).alias("value")
+    value = F.to_json(F.struct(*df.columns), EXACT_TIMES).alias("value")
     return df.select(*([F.col(key).cast("string").alias("key")] if key else []), value)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,47 +112,72 @@ def _micros(times: pd.Series) -> pd.Series:
 
 
 ENTRY_SCHEMA = "source STRING, line_no BIGINT, value STRING, lines BIGINT"
-ENTRY_STATE = "line_no BIGINT, value STRING, lines BIGINT, opened_ms BIGINT"
+#: The open entry of a source; ``value`` is null once it was flushed. ``opened_us`` stays, as it tells that there was one.
+#: A source without lines for so long after its last entry is forgotten: its next indented start may open one.
+FORGET_SECONDS = 86400
+ENTRY_STATE = "line_no BIGINT, value STRING, lines BIGINT, opened_us BIGINT"
 
 
 def _entries(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Entries of one source: the open one is the state, closed ones are emitted."""
-    done: list[tuple] = []
+    columns = ["source", "line_no", "value", "lines"]
     held = state.get if state.exists else None
     if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame([(key[0], held[0], held[1], held[2])], columns=["source", "line_no", "value", "lines"])
+        if held[1] is None:
+            state.remove()
+            return
+        yield pd.DataFrame([(key[0], *held[:3])], columns=columns)
+        state.update((held[0], None, held[2], held[3]))
+        state.setTimeoutTimestamp(max(held[3] // 1000, state.getCurrentWatermarkMs()) + FORGET_SECONDS * 1000)
         return
     rows = pd.concat(list(batches)).sort_values("line_no", kind="stable")
-    more = rows["value"].str.match(CONTINUATION)
-    starts = rows["value"].str.contains(START, regex=True)
-    at = (_micros(rows["timestamp"]) // 1000).tolist()
-    for no, text, m, s, ms in zip(rows["line_no"].tolist(), rows["value"].tolist(), more.tolist(), starts.tolist(), at):
-        if held is not None and ms - held[3] >= FLUSH_SECONDS * 1000:
-            done.append((key[0], held[0], held[1], held[2]))
-            held = None
-        if m and held is not None:
-            held = (held[0], held[1] + "\n" + text, held[2] + 1, held[3])
-        elif s:
-            if held is not None:
-                done.append((key[0], held[0], held[1], held[2]))
-            held = (no, text, 1, ms)
-        else:
-            done.append((key[0], no, text, 1))
-    if held is None:
-        if state.exists:
-            state.remove()
+    at = _micros(rows["timestamp"]).to_numpy()
+    no, text = rows["line_no"].to_numpy(), rows["value"].to_numpy(dtype=object)
+    more = rows["value"].str.match(CONTINUATION).to_numpy(dtype=bool)
+    opens = rows["value"].str.contains(START, regex=True).to_numpy(dtype=bool) & ~more
+    indented = np.flatnonzero(rows["value"].str.contains(START, regex=True).to_numpy(dtype=bool) & more)
+    if held is None and len(indented) and not opens[: indented[0]].any():
+        opens[indented[0]] = True  # the first entry of a source may open indented
+    opener = np.maximum.accumulate(np.where(opens, np.arange(len(no)), -1))
+    opened = np.where(opener >= 0, at[np.maximum(opener, 0)], held[3] if held else np.iinfo(np.int64).min)
+    belongs = more & ~opens & ((opener >= 0) | (held is not None and held[1] is not None)) & (at < opened + FLUSH_SECONDS * 1_000_000)
+    # The entry that was open before the batch has place -1.
+    entry = np.where(belongs, opener, np.arange(len(no)))
+    made = pd.DataFrame({"entry": entry, "value": text}).groupby("entry", sort=True)["value"].agg(joined="\n".join, size="size")
+    where = made.index.to_numpy()
+    out = pd.DataFrame({"source": key[0], "line_no": no[np.maximum(where, 0)], "value": made["joined"].to_numpy(dtype=object), "lines": made["size"].to_numpy()})
+    old = held if held is not None and held[1] is not None else None
+    if len(where) and where[0] == -1:
+        first = out.iloc[0]
+        if old is not None:
+            old = (old[0], old[1] + "\n" + first["value"], old[2] + int(first["lines"]), old[3])
+        out, where = out.iloc[1:], where[1:]
+    last = int(opener[-1])
+    final = int(at[-1])
+    if last >= 0:
+        if old is not None:
+            out = pd.concat([pd.DataFrame([(key[0], *old[:3])], columns=columns), out])
+        mine = out["line_no"] == no[last]
+        now = (int(no[last]), str(out.loc[mine, "value"].iloc[0]), int(out.loc[mine, "lines"].iloc[0]), int(at[last]))
+        out = out[~mine]
     else:
-        state.update(held)
-        state.setTimeoutTimestamp(max(held[3] + FLUSH_SECONDS * 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(done, columns=["source", "line_no", "value", "lines"])
+        now = old if old is not None else held
+    if now is not None:
+        if now[1] is not None and final >= now[3] + FLUSH_SECONDS * 1_000_000:
+            out = pd.concat([out, pd.DataFrame([(key[0], *now[:3])], columns=columns)])
+            now = (now[0], None, now[2], now[3])
+        state.update(now)
+        wait = FORGET_SECONDS if now[1] is None else FLUSH_SECONDS
+        state.setTimeoutTimestamp(max((now[3] // 1000) + wait * 1000, state.getCurrentWatermarkMs() + 1))
+    yield out[columns]
 
 
 def multiline_entries(lines: DataFrame, *, watermark: str = "1 minute") -> DataFrame:
     """Streaming join of continuation lines ``(source, line_no, timestamp, value)``.
 
     The open entry of a source is its only state; it is flushed by the next start line, by a line
-    five seconds later, or by the watermark.
+    five seconds later, or by the watermark. Line numbers grow with the batches, times with the lines.
+    The same rows come out as from ``multiline.join_lines`` with ``ts``.
     """
     return (
         lines.withWatermark("timestamp", watermark)
