@@ -54,7 +54,7 @@ UNION ALL SELECT date_trunc('hour', timestamp), service, 'throughput', CAST(coun
 
 DEPLOYMENTS = """
 SELECT concat('svc-', CAST(user_id % 8 AS STRING)) AS service, concat('1.', CAST(event_id % 100 AS STRING)) AS version, ts AS timestamp
-FROM events WHERE event_type = 'signup' AND event_id % 20 = 0"""
+FROM events WHERE event_type = 'signup'"""
 
 USERS = """
 SELECT CAST(c_custkey AS STRING) AS user_name, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'super-admin' WHEN 'BUILDING' THEN 'admin' WHEN 'FURNITURE' THEN 'analyst' WHEN 'HOUSEHOLD' THEN 'operator' ELSE 'viewer' END AS role, c_acctbal > 0 AS is_active

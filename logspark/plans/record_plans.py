@@ -152,10 +152,10 @@ def session_asof(t):
 @query(
     "service_meta",
     WITH_LOGS
-    + """ SELECT id, service, n_name AS owner, n_regionkey AS tier FROM logs LEFT JOIN nation ON service = concat('svc-', CAST(n_nationkey AS VARCHAR)) AND n_nationkey < 6""",
+    + """ SELECT id, service, n_name AS owner, n_regionkey AS tier FROM logs LEFT JOIN nation ON service = concat('svc-', CAST(n_nationkey AS VARCHAR))""",
 )
 def service_meta(t):
-    meta = t.table("nation").where("n_nationkey < 6").select(
+    meta = t.table("nation").select(
         F.concat(F.lit("svc-"), F.col("n_nationkey").cast("string")).alias("service"), F.col("n_name").alias("owner"), F.col("n_regionkey").alias("tier")
     )
     return E.add_service_metadata(t.logs.select("id", "service"), meta)

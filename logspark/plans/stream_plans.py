@@ -60,18 +60,20 @@ def stream_ticks(t):
     return ntz(J.run_available(J.ticks(log_stream(t)), "ticks"), "bucket")
 
 
-SLOS = "SELECT 'checkout' AS slo, 'svc-1' AS service, CAST(0.9 AS DOUBLE) AS objective, CAST(NULL AS DOUBLE) AS error_budget, CAST(NULL AS {s}) AS {q}window{q}, CAST(1.5 AS DOUBLE) AS burn_rate_threshold"
-
-
 @query(
     "stream_burn_rate",
     WITH_LOGS
-    + f""" SELECT time_bucket(INTERVAL 6 HOUR, timestamp) AS bucket, 'checkout' AS slo, count(*) AS n, round(count(*) FILTER (WHERE level = 'ERROR')::DOUBLE / count(*) / 0.1, 6) AS burn_rate
- FROM logs WHERE service = 'svc-1' AND time_bucket(INTERVAL 6 HOUR, timestamp) + INTERVAL 6 HOUR <= {CLOSED} GROUP BY 1""",
+    + f""" SELECT time_bucket(INTERVAL 6 HOUR, timestamp) AS bucket, concat(service, '-availability') AS slo, count(*) AS n, round(count(*) FILTER (WHERE level = 'ERROR')::DOUBLE / count(*) / 0.1, 6) AS burn_rate
+ FROM logs WHERE service IS NOT NULL AND time_bucket(INTERVAL 6 HOUR, timestamp) + INTERVAL 6 HOUR <= {CLOSED} GROUP BY 1, 2""",
 )
 def stream_burn_rate(t):
-    slos = L.slo_defaults(t.values(SLOS.format(s="STRING", q="`")))
-    rates = J.run_available(J.burn_rate_ticks(log_stream(t), slos, width="6 hours"), "burn-rate")
+    """One SLO for every service."""
+    none = lambda kind: F.lit(None).cast(kind)
+    services = t.logs.where("service IS NOT NULL").select("service").distinct()
+    slos = services.select(
+        F.concat("service", F.lit("-availability")).alias("slo"), "service", F.lit(0.9).alias("objective"), none("double").alias("error_budget"), none("string").alias("window"), F.lit(1.5).alias("burn_rate_threshold"),
+    )
+    rates = J.run_available(J.burn_rate_ticks(log_stream(t), L.slo_defaults(slos), width="6 hours"), "burn-rate")
     return ntz(rates, "bucket").select("bucket", "slo", "n", F.round("burn_rate", 6).alias("burn_rate"))
 
 
