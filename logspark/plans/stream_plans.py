@@ -25,9 +25,11 @@ CLOSED = "(SELECT max(timestamp) FROM logs) - INTERVAL 10 MINUTE"
 
 
 def log_stream(t):
-    schema = t.table("events").schema
-    stream = J.file_stream(t.spark, t.sf_dir, schema, glob="events.parquet")
-    return stream.selectExpr(
+    return as_logs(J.file_stream(t.spark, t.sf_dir, t.table("events").schema, glob="events.parquet"))
+
+
+def as_logs(events):
+    return events.selectExpr(
         "CAST(event_id AS STRING) AS id", "event_id AS seq", "CAST(ts AS TIMESTAMP) AS timestamp",
         "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' WHEN 'view' THEN 'DEBUG' ELSE 'INFO' END AS level",
         "concat('svc-', user_id % 8) AS service", "event_type", "value", "CAST(floor(value * 10) AS BIGINT) AS response_time",
@@ -35,6 +37,26 @@ def log_stream(t):
     )
 
 
+def by_time(df, ts, pieces):
+    """Number of the piece, from 1, of equal stretches of the time range."""
+    low, high = df.agg(F.min(micros(F.col(ts))), F.max(micros(F.col(ts)))).first()
+    return (F.floor((micros(F.col(ts)) - low) * pieces / ((high or 0) - (low or 0) + 1)) + 1).cast("int") if low is not None else F.lit(1)
+
+
+def over_runs(t, make, name, pieces=3):
+    """The rows that ``make`` gives for log records that arrive over several runs, each starting from the checkpoint."""
+    events, base, kinds = t.table("events"), scratch_path(t.spark, name), []
+    piece = by_time(events, "ts", pieces)
+
+    def start(stream):
+        rows = make(as_logs(stream))
+        kinds.append(rows.schema)
+        return rows.writeStream.format("parquet").option("path", f"{base}/table").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+
+    in_runs(t.spark, [events.where(piece == k) for k in range(1, pieces + 1)], start)
+    return t.spark.read.schema(kinds[0]).parquet(f"{base}/table")
+
+
 def ntz(df, *columns):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
@@ -46,8 +68,8 @@ def ntz(df, *columns):
  SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, count(*) AS errors FROM k WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM logs WHERE level = 'ERROR') - INTERVAL 10 MINUTE GROUP BY 1 HAVING count(*) > 5""",
 )
 def stream_error_burst(t):
-    bursts = J.sliding_error_bursts(log_stream(t), width="1 hour", slide="20 minutes")
-    return ntz(J.run_available(bursts, "error-burst"), "window_start", "window_end")
+    bursts = over_runs(t, lambda logs: J.sliding_error_bursts(logs, width="1 hour", slide="20 minutes"), "error-burst")
+    return ntz(bursts, "window_start", "window_end")
 
 
 @query(
@@ -85,8 +107,8 @@ def stream_burn_rate(t):
  SELECT rule_name, service, min(timestamp) AS starts_at, max(timestamp) AS last_seen, count(*) AS n FROM g GROUP BY rule_name, service, k HAVING max(timestamp) + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM logs WHERE level = 'ERROR') - INTERVAL 10 MINUTE""",
 )
 def stream_alert_sessions(t):
-    errors = log_stream(t).where("level = 'ERROR'").select(F.lit("error_seen").alias("rule_name"), "service", F.col("timestamp").alias("ts"))
-    return ntz(J.run_available(J.alert_sessions(errors, gap="1 hour"), "alert-sessions"), "starts_at", "last_seen")
+    errors = lambda logs: logs.where("level = 'ERROR'").select(F.lit("error_seen").alias("rule_name"), "service", F.col("timestamp").alias("ts"))
+    return ntz(over_runs(t, lambda logs: J.alert_sessions(errors(logs), gap="1 hour"), "alert-sessions"), "starts_at", "last_seen")
 
 
 @query("stream_tail", WITH_LOGS + " SELECT id, timestamp, level, message FROM logs WHERE level = 'ERROR' AND service = 'svc-2'")
@@ -103,8 +125,8 @@ def stream_tail(t):
  WHERE n = 10 AND oldest > ts - INTERVAL 3 HOUR AND abs(value - baseline) / CASE WHEN sd = 0 THEN 1 ELSE sd END > 3""",
 )
 def stream_spikes(t):
-    series = log_stream(t).select(F.col("event_type").alias("name"), F.col("timestamp").alias("ts"), "seq", "value")
-    found = ntz(J.run_available(J.spikes(series, max_age_seconds=3 * 3600), "spikes"), "ts")
+    series = lambda logs: logs.select(F.col("event_type").alias("name"), F.col("timestamp").alias("ts"), "seq", "value")
+    found = ntz(over_runs(t, lambda logs: J.spikes(series(logs), max_age_seconds=3 * 3600), "spikes"), "ts")
     return found.withColumns({"baseline": F.round("baseline", 6), "z_score": F.round("z_score", 5)})
 
 
@@ -118,13 +140,15 @@ def stream_spikes(t):
 )
 def stream_multiline(t):
     """An entry opened by the last line of its source stays open until the watermark passes it."""
-    logs = log_stream(t)
     trace = F.array(F.concat(F.lit("java.lang.IllegalStateException: "), "message"), F.concat(F.lit("    at com.shop."), "service"), F.lit("    ... 3 more"))
-    lines = logs.select(
-        F.concat(F.lit("host-"), (F.col("seq") % 4).cast("string")).alias("source"), "timestamp", "seq",
-        F.posexplode(F.when(F.col("level") == "ERROR", trace).otherwise(F.array("message"))).alias("pos", "value"),
-    ).select("source", "timestamp", (F.col("seq") * 4 + F.col("pos")).alias("line_no"), "value")
-    return J.run_available(J.multiline_entries(lines), "multiline")
+
+    def lines(logs):
+        return logs.select(
+            F.concat(F.lit("host-"), (F.col("seq") % 4).cast("string")).alias("source"), "timestamp", "seq",
+            F.posexplode(F.when(F.col("level") == "ERROR", trace).otherwise(F.array("message"))).alias("pos", "value"),
+        ).select("source", "timestamp", (F.col("seq") * 4 + F.col("pos")).alias("line_no"), "value")
+
+    return over_runs(t, lambda logs: J.multiline_entries(lines(logs)), "multiline")
 
 
 @query(
@@ -149,12 +173,6 @@ ARRIVALS = """a AS (SELECT *, CASE WHEN event_id % 25 = 0 THEN least(q + 1, 4) E
  SELECT *, 1 + (4 * (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events))) // (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) + 1 FROM events) AS q FROM events) x)"""
 
 
-def by_time(df, ts, pieces):
-    """Number of the piece, from 1, of equal stretches of the time range."""
-    low, high = df.agg(F.min(micros(F.col(ts))), F.max(micros(F.col(ts)))).first()
-    return (F.floor((micros(F.col(ts)) - low) * pieces / ((high or 0) - (low or 0) + 1)) + 1).cast("int") if low is not None else F.lit(1)
-
-
 def log_pieces(t, *, delayed, pieces=4):
     """Log records in pieces by time; if ``delayed``, every 25th comes one piece late."""
     logs = t.logs.withColumn("timestamp", F.col("timestamp").cast("timestamp"))

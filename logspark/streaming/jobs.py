@@ -200,15 +200,17 @@ def _spikes_of(max_age_seconds: int):
             return
         rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
         recent, at = (list(x) for x in state.get) if state.exists else ([], [])
-        values = pd.Series(recent + rows["value"].tolist())
-        times = pd.Series(at + _micros(rows["ts"]).tolist())
-        before = values.shift(1).rolling(SPIKE_ROWS)
-        mean, std = before.mean(), before.apply(lambda x: x.std(), raw=True)
-        z = ((values - mean).abs() / std.where(std != 0, 1.0)).where(times.shift(SPIKE_ROWS) > times - max_age)
+        values = np.concatenate([recent, rows["value"].to_numpy(float)])
+        times = np.concatenate([np.array(at, np.int64), _micros(rows["ts"]).to_numpy()])
+        mean, std, oldest = np.full(len(values), np.nan), np.ones(len(values)), np.zeros(len(values), np.int64)
+        if len(values) > SPIKE_ROWS:
+            before = np.lib.stride_tricks.sliding_window_view(values, SPIKE_ROWS)[:-1]
+            mean[SPIKE_ROWS:], std[SPIKE_ROWS:], oldest[SPIKE_ROWS:] = before.mean(axis=1), before.std(axis=1), times[:-SPIKE_ROWS]
+        z = np.where(oldest > times - max_age, np.abs(values - mean) / np.where(std == 0, 1.0, std), np.nan)
         tail = slice(len(recent), None)
-        out = rows[["ts", "seq", "value"]].assign(name=key[0], baseline=mean[tail].to_numpy(), z_score=z[tail].to_numpy())
-        state.update((values.tail(SPIKE_ROWS).tolist(), times.tail(SPIKE_ROWS).tolist()))
-        expiry = (int(times.iloc[-1]) + max_age) // 1000
+        out = rows[["ts", "seq", "value"]].assign(name=key[0], baseline=mean[tail], z_score=z[tail])
+        state.update((values[-SPIKE_ROWS:].tolist(), times[-SPIKE_ROWS:].tolist()))
+        expiry = (int(times[-1]) + max_age) // 1000
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
         yield out[out["z_score"] > SPIKE_Z][["name", "ts", "seq", "value", "baseline", "z_score"]]
 
