@@ -5,8 +5,10 @@ classes with upper bounds 4, 8, 16 ... A class of bound U searches document wind
 overlap by U, so a passage as long as an item lies whole in one window. In a class the containment
 threshold t turns into a Jaccard threshold of at least t * s / (s + 2U - t * s) with U / 2 < s <= U, that is
 0.19 for t = 0.8, and one equal minimum among ``HASHES`` makes a candidate: a window at that threshold is
-missed with probability 1.4e-6. Candidates are verified by exact containment of the item's distinct
-shingles in the whole document.
+missed with probability 1.4e-6. That needs s different shingles in the item. An item that repeats shingles is
+searched exactly besides: of its d different ones a text must hold ceil(t * d), so any d - ceil(t * d) + 1 of
+them include one that the text has, and texts that hold one of these are candidates. Candidates are verified by
+exact containment of the item's distinct shingles in the whole document.
 
 Scale: one pass over the documents without a shuffle. Minima are taken once, over the smallest windows, and
 merged in pairs for the larger ones. The items are a stated query set and handled in blocks of at most
@@ -55,6 +57,17 @@ class Items:
             present = np.zeros(1 << FILTER_BITS, bool)
             present[values >> U64(64 - FILTER_BITS)] = True
             self.classes.append((bound, values[order], np.repeat(own, HASHES)[order], present))
+        self.repeated = self.indexed(np.flatnonzero((self.sizes > 0) & (self.sizes < lengths)))
+
+    def indexed(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles of which a text that holds one of these items has one at least: all but the share that may lack."""
+        needed = -(-PERCENT * self.sizes[own] // 100)
+        first = self.sizes[own] - needed + 1
+        at = np.repeat(self.bounds[own] - np.r_[0, np.cumsum(first)[:-1]], first) + np.arange(first.sum()) if len(own) else np.zeros(0, np.int64)
+        order = np.argsort(self.hashes[at], kind="stable")
+        present = np.zeros(1 << FILTER_BITS, bool)
+        present[self.hashes[at] >> U64(64 - FILTER_BITS)] = True
+        return self.hashes[at][order], np.repeat(own, first)[order], present
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -95,6 +108,14 @@ def candidates(hashes: np.ndarray, bounds: np.ndarray, items: Items) -> np.ndarr
         text = np.repeat(owner[row], times)
         at = np.repeat(low - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
         found.append(np.stack([text, holders[at]], axis=1))
+    values, holders, present = items.repeated
+    if len(values):
+        place = np.flatnonzero(present[hashes >> U64(64 - FILTER_BITS)])
+        low, high = np.searchsorted(values, hashes[place], "left"), np.searchsorted(values, hashes[place], "right")
+        times = high - low
+        at = np.repeat(low - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+        text = np.searchsorted(bounds, place, side="right") - 1
+        found.append(np.stack([np.repeat(text, times), holders[at]], axis=1))
     return np.unique(np.concatenate(found), axis=0)
 
 

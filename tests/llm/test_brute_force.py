@@ -1,6 +1,7 @@
 """Operators against plain versions on generated texts, at small block sizes so that every path runs."""
 
 import math
+import random
 import zlib
 
 import brute
@@ -227,3 +228,24 @@ def test_merging_sketches_gives_the_sketch_of_all(spark, docs):
     parts = rules.sketches(found).groupBy("lang", "rule", "bucket").agg(F.sum("n").alias("n"))
     whole = rules.sketches(found.withColumn("source", F.lit("x"))).select("lang", "rule", "bucket", "n")
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_items_that_repeat_words_are_found_everywhere(spark):
+    """Few different shingles in a long text: every planted item is found, and no other pair."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    kinds = [lambda: some(1) * 60, lambda: some(3) * 20, lambda: some(1) * 40 + some(1) * 40, lambda: some(2) * 5 + some(12) + some(1) * 50, lambda: some(9) * 2]
+    items = [(i, " ".join(kinds[i % len(kinds)]())) for i in range(200)]
+    texts = []
+    for i, item in items:
+        text = some(600)
+        at = rng.randrange(601)
+        texts.append((1000 + i, " ".join([*text[:at], item, *text[at:]])))
+    texts += [(5000 + k, " ".join(some(600))) for k in range(50)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = decontaminate.matches(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    sets = lambda rows: {i: {" ".join(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for i, t in rows}
+    held, wanted = sets(texts), sets(items)
+    want = sorted((d, i) for d, have in held.items() for i, own in wanted.items() if 100 * len(have & own) >= 80 * len(own))
+    assert sorted((r.doc_id, r.item_id) for r in found) == want and {(1000 + i, i) for i in range(200)} <= set(want)
