@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,28 +23,44 @@ def ip_number(ip: Column) -> Column:
     return F.when(ok, ((a * 256 + b) * 256 + c) * 256 + d)
 
 
+DOTTED = r":(\d{1,3}(?:\.\d{1,3}){3})$"
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def address_key(ip: Column) -> Column:
     """An address as text that sorts by value: ``4`` and 8 hexadecimal digits, or ``6`` and 32; NULL when it is none.
 
     An IPv4 address inside IPv6 (``::ffff:1.2.3.4``) has the key of the IPv4 address.
     """
     hex8 = lambda n: F.lpad(F.lower(F.hex(n)), 8, "0")
-    low, four = F.lower(F.trim(ip)), ip_number(ip)
-    dotted = F.regexp_extract(low, r":(\d{1,3}(?:\.\d{1,3}){3})$", 1)
-    pair = hex8(ip_number(dotted))
-    plain = F.when(dotted == "", low).otherwise(F.concat(F.regexp_replace(low, r"[\d.]+$", ""), F.substring(pair, 1, 4), F.lit(":"), F.substring(pair, 5, 4)))
-    sides = F.split(plain, "::", -1)
     groups = lambda text: F.filter(F.split(text, ":", -1), lambda g: g != "")
-    head, tail = groups(F.get(sides, F.lit(0))), F.coalesce(groups(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
-    gap = F.array_repeat(F.lit("0"), F.lit(8) - F.size(head) - F.size(tail))
-    whole = F.when(F.size(sides) == 2, F.concat(head, gap, tail)).otherwise(head)
-    digits = F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")
     # Eight groups, or "::" once in place of one or more; a single colon stands between groups only.
     shape = r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$"
-    fits = plain.rlike(shape) & F.when(F.size(sides) == 2, F.size(head) + F.size(tail) < 8).otherwise(F.size(head) == 8)
-    mapped = F.regexp_extract(digits, "^0{20}ffff([0-9a-f]{8})$", 1)
-    six = F.when(mapped != "", F.concat(F.lit("4"), mapped)).otherwise(F.concat(F.lit("6"), digits))
-    return F.when(four.isNotNull(), F.concat(F.lit("4"), hex8(four))).when(low.contains(":") & fits, six)
+
+    def digits(g: Column) -> Column:
+        zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(g["head"]) - F.size(g["tail"]))
+        return F.array_join(F.transform(F.concat(g["head"], zeros, g["tail"]), lambda x: F.lpad(x, 4, "0")), "")
+
+    def mapped(text: Column) -> Column:
+        return F.when(text.rlike("^0{20}ffff"), F.concat(F.lit("4"), F.substring(text, 25, 8))).otherwise(F.concat(F.lit("6"), text))
+
+    def six(plain: Column) -> Column:
+        sides = F.split(plain, "::", -1)
+        tail = F.coalesce(groups(F.get(sides, F.lit(1))), F.array().cast("array<string>"))
+        split = F.struct(groups(F.get(sides, F.lit(0))).alias("head"), tail.alias("tail"), (F.size(sides) == 2).alias("gap"))
+        size = lambda g: F.size(g["head"]) + F.size(g["tail"])
+        return F.when(plain.rlike(shape), bound(split, lambda g: F.when(F.when(g["gap"], size(g) < 8).otherwise(size(g) == 8), bound(digits(g), mapped))))
+
+    def unfolded(low: Column) -> Column:
+        pair = bound(hex8(ip_number(F.regexp_extract(low, DOTTED, 1))), lambda h: F.concat(F.regexp_replace(low, r"[\d.]+$", ""), F.substring(h, 1, 4), F.lit(":"), F.substring(h, 5, 4)))
+        return F.when(low.contains("."), pair).otherwise(low)
+
+    four = bound(ip_number(ip), lambda n: F.concat(F.lit("4"), hex8(n)))
+    return F.when(ip.contains(":"), bound(unfolded(F.lower(F.trim(ip))), six)).otherwise(four)
 
 
 def add_geo(df: DataFrame, ranges: DataFrame, *, ip: str = "client_ip") -> DataFrame:
