@@ -18,18 +18,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``(id, root)`` for every id of the links ``(a, b)``; root is the smallest id that can be reached.
 
-    Every round takes the smallest label among the neighbours and then the label's own label, so the
-    rounds grow with the logarithm of the longest chain. Nulls and self-links are left out.
+    Large-star and small-star rounds (Kiveris et al., "Connected components in MapReduce and beyond"): the
+    larger end of a link moves to the smallest neighbour of the smaller end, then the smaller neighbours of
+    an id move to the smallest of them. Links only get fewer; the rounds end when each component is one star
+    around its root. Nulls and self-links are left out.
     """
     links = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    near = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low"))
-    labels = stored(near.select("id", F.least("id", "low").alias("root")), "labels")
-    while True:
-        low = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("low"))
-        spread = labels.join(low, F.col("id") == F.col("a")).select("id", "root", F.least("root", "low").alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("root").alias("above"))
-        moved = stored(spread.join(jump, "low").select("id", F.col("above").alias("next"), "root"), "labels")
-        labels = moved.select("id", F.least("next", "root").alias("root"))
-        if moved.where("next < root").isEmpty():
-            return labels
+    links = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    while not _stars_only(links):
+        tops = links.groupBy(F.col("a").alias("top")).agg(F.min("b").alias("low"))
+        moved = links.join(tops, links["b"] == tops["top"], "left").select("a", F.coalesce("low", "b").alias("b"))
+        moved = stored(moved.distinct(), "links")
+        least = moved.groupBy(F.col("a").alias("top")).agg(F.min("b").alias("low"))
+        ends = F.inline(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b"))))
+        links = stored(moved.join(least, moved["a"] == least["top"]).select(ends).where("a <> b").distinct(), "links")
+    roots = links.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
+    return links.select(F.col("a").alias("id"), F.col("b").alias("root")).union(roots)
+
+
+def _stars_only(links: DataFrame) -> bool:
+    """Whether each larger end has one link and is no smaller end of another."""
+    ends = F.inline(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("up")), F.struct(F.col("b").alias("id"), F.lit(0).alias("up"))))
+    seen = links.select(ends).groupBy("id").agg(F.sum("up").alias("up"), F.min("up").alias("low"))
+    return seen.where("up > 1 OR (up = 1 AND low = 0)").isEmpty()

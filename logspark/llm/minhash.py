@@ -6,9 +6,11 @@ a band are candidates; their similarity is estimated from the number of equal b-
 accidental equality, and whatever can reach the threshold is confirmed on the full shingle sets.
 
 Scale: exact copies of a set collapse to one representative before banding, so a group of copies costs one
-row. Bands become star links to the smallest member, never all pairs. Candidate groups are dealt into
-blocks of bounded weight; a task sees two blocks, compares them with vector operations and returns only
-links that join two trees, at most one per member. No candidate is dropped.
+row. Bands become star links to the smallest member, never all pairs, and each set comes down to one row of
+such links. Sets are confirmed against the centre they share most bands with first, in chunks of bounded
+weight. Only candidate groups that are not connected by then are dealt into blocks; a task sees two blocks,
+compares what is not connected yet with vector operations and returns only links that join two trees, at
+most one per member. No candidate is dropped.
 """
 
 from __future__ import annotations
@@ -75,11 +77,11 @@ def signatures(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 bands = np.zeros((len(texts), HASHES // ROWS), U64)
                 for j in range(HASHES):
                     least = minima((hashes ^ seeds[j]) * seeds[j], bounds)
-                    low[:, j] = least & keep
+                    low[:, j] = mix(least) & keep
                     bands[:, j // ROWS] = mix(bands[:, j // ROWS] ^ least) + U64(j)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes), signed(digest[0]), signed(digest[1]), binary_rows(bands), binary_rows(packed(low))],
-                    ["doc_id", "n_shingles", "d1", "d2", "bands", "packed"],
+                    [part.column("doc_id"), part.column("mark"), pa.array(sizes), signed(digest[0]), signed(digest[1]), binary_rows(bands), binary_rows(packed(low))],
+                    ["doc_id", "mark", "n_shingles", "d1", "d2", "bands", "packed"],
                 )
 
     return run
@@ -111,7 +113,7 @@ class Forest:
 
 
 def confirm(n: int, percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Links of one pair of blocks; only such as connect two parts that are not connected yet."""
+    """Links of the sets of one task; only such as connect two trees that are not connected yet."""
     cut = percent / 100 - SLACK
 
     def run(table: pa.Table) -> pa.Table:
@@ -125,6 +127,9 @@ def confirm(n: int, percent: int) -> Callable[[pa.Table], pa.Table]:
         _, number = np.unique(hashes, return_inverse=True)
         mark = np.zeros(len(hashes) + 1, bool)
         trees, links = Forest(len(ids)), []
+        _, first, known = np.unique(table.column("tree").to_numpy(), return_index=True, return_inverse=True)
+        for i, j in enumerate(first[known]):
+            trees.join(i, int(j))
         for i in range(len(ids) - 1):
             likely = np.flatnonzero(similarity(equal_values(words[i + 1 :], words[i])) >= cut) + i + 1
             fits = 100 * np.minimum(sizes[i], sizes[likely]) >= percent * np.maximum(sizes[i], sizes[likely])
@@ -150,26 +155,26 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col: str = "doc
 
     Documents are linked when 100 * intersection >= percent * union of their distinct ``n``-word shingles
     (A-Z lower-cased). A text with fewer words is one shingle; null, empty and blank texts have no shingle
-    and are linked with nothing. Repeated rows of one id share its result. A row with a null id is linked
+    and are linked with nothing. Rows of one id are one document: they share its result, and different texts
+    of an id link whatever is like any of them (``n_shingles`` is the row's own). A row with a null id is linked
     with nothing: its component is null and it is kept. Other columns are ignored; an empty table gives no
     row. ``percent`` from 80 on: the bands find a pair at 0.8 with probability 1 - 5e-8.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands binary, packed binary"
+    docs = docs.withColumn("mark", F.xxhash64("text"))
+    schema = "doc_id bigint, mark bigint, n_shingles bigint, d1 bigint, d2 bigint, bands binary, packed binary"
     marked = stored(docs.mapInArrow(signatures(n), schema), "signatures")
     usable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     sets = ["n_shingles", "d1", "d2"]
-    reps = (
-        marked.where(usable)
-        .groupBy(*sets)
-        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("packed").alias("packed"))
-    )
-    reps = stored(reps, "representatives")
-    bands = reps.select("rep", "bands").mapInArrow(band_keys, "band bigint, rep bigint")
-    shared = bands.groupBy("band").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = bands.join(shared, "band").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
-    candidates = components(stars)
-    links = stored(_confirmed(docs, reps, candidates, n, percent), "confirmed")
+    least = F.min(F.struct("doc_id", "mark")).alias("least")
+    reps = marked.where(usable).groupBy(*sets).agg(least, F.first("bands").alias("bands"), F.first("packed").alias("packed"))
+    reps = stored(reps.select(*sets, F.col("least.doc_id").alias("rep"), "least.mark", "bands", "packed"), "representatives")
+    stars = stored(_stars(reps), "stars")
+    joined = F.explode(F.array_union("lows", F.array("rep"))).alias("a")
+    candidates = stored(components(stars.select(joined, F.col("low").alias("b"))), "candidates")
+    texts = stored(_texts(docs, reps.join(candidates, reps["rep"] == candidates["id"])), "texts")
+    near = stored(_near_centres(texts, stars, n, percent), "near")
+    links = near.union(stored(_between(texts, components(near), n, percent), "between")).union(_same_ids(marked.where(usable), reps))
     found = components(links).select(F.col("id").alias("rep"), "root")
     classes = reps.join(found, "rep", "left").select(*sets, F.coalesce("root", "rep").alias("component_id"))
     own = F.when(usable, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -178,31 +183,75 @@ def groups(docs: DataFrame, n: int = 5, percent: int = 80, *, id_col: str = "doc
     )
 
 
-def _confirmed(docs: DataFrame, reps: DataFrame, candidates: DataFrame, n: int, percent: int) -> DataFrame:
-    """Deal each candidate group into blocks and confirm the links of every two blocks."""
-    members = reps.join(candidates, reps["rep"] == candidates["id"]).select("rep", "root", "n_shingles", "packed")
-    weight = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("w") / BLOCK_SHINGLES)).cast("int")
-    members = members.join(weight.select("root", blocks.alias("blocks")), "root")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    members = members.select(F.col("rep"), "root", "packed", "blocks", block.alias("block"))
-    once = docs.where("doc_id IS NOT NULL").join(members, docs["doc_id"] == members["rep"])
-    first = Window.partitionBy("rep").orderBy("text")
+def _stars(reps: DataFrame) -> DataFrame:
+    """``(rep, centre, low, lows)``: the smallest members of a set's bands, at most one per band, and the one met most."""
+    bands = reps.select("rep", "bands").mapInArrow(band_keys, "band bigint, rep bigint")
+    shared = bands.groupBy("band").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = bands.join(shared, "band").where("rep <> low").groupBy("rep", "low").agg(F.count(F.lit(1)).alias("n"))
+    most = F.max_by("low", F.struct("n", -F.col("low"))).alias("centre")
+    return met.groupBy("rep").agg(most, F.min("low").alias("least"), F.collect_list("low").alias("lows")).withColumnRenamed("least", "low")
+
+
+def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """One text for each candidate set."""
+    members = members.select("rep", F.col("mark").alias("own"), "root", "n_shingles", "packed")
+    once = docs.join(members, (docs["doc_id"] == members["rep"]) & (docs["mark"] == members["own"]))
+    first = Window.partitionBy("rep", "own").orderBy("text")
     once = once.withColumn("turn", F.row_number().over(first)).where("turn = 1")
-    other: Column = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = once.select("rep", "root", "packed", "text", "block", other.alias("other"))
-    pair = [F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
-    dealt = dealt.select("rep", "root", "packed", "text", *pair)
+    return once.select("rep", "root", "n_shingles", "packed", "text")
+
+
+def _parts() -> Column:
+    return F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("w") / BLOCK_SHINGLES)).cast("int").alias("parts")
+
+
+def _near_centres(texts: DataFrame, stars: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links found between each centre and the sets around it, which are cut into chunks."""
+    around = stars.select("rep", "centre").join(texts.select("rep", "n_shingles"), "rep")
+    weight = around.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    weight = weight.select("centre", _parts())
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part")
+    members = around.select("rep", "centre").distinct().join(weight, "centre").select("rep", "centre", part)
+    parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    centres = weight.select(F.col("centre").alias("rep"), "centre", parts)
+    dealt = members.union(centres).join(texts, "rep").select("rep", F.col("rep").alias("tree"), "centre", "part", "packed", "text")
+    return dealt.groupBy("centre", "part").applyInArrow(confirm(n, percent), "a bigint, b bigint")
+
+
+def _between(texts: DataFrame, trees: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links between the trees of a candidate group: its blocks meet each other. Connected groups are done."""
+    trees = trees.select(F.col("id").alias("rep"), F.col("root").alias("tree"))
+    members = texts.select("rep", "root", "n_shingles").join(trees, "rep", "left").withColumn("tree", F.coalesce("tree", "rep"))
+    weight = members.groupBy("root").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), F.min("tree").alias("low"), F.max("tree").alias("high")
+    )
+    open_groups = weight.where("low < high").select("root", _parts())
+    members = members.select("rep", "root", "tree").distinct().join(open_groups, "root")
+    block = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = members.withColumn("block", block).select("rep", "root", "tree", "block", other)
+    dealt = dealt.select("rep", "root", "tree", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    dealt = dealt.join(texts.drop("root", "n_shingles"), "rep")
     return dealt.groupBy("root", "low", "high").applyInArrow(confirm(n, percent), "a bigint, b bigint")
 
 
+def _same_ids(marked: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between the representatives of different sets of one id."""
+    own = F.struct("n_shingles", "d1", "d2")
+    several = marked.groupBy("doc_id").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low < high").select("doc_id")
+    rows = marked.join(several, "doc_id").select("doc_id", "n_shingles", "d1", "d2").distinct()
+    rows = rows.join(reps.select("rep", "n_shingles", "d1", "d2"), ["n_shingles", "d1", "d2"])
+    return rows.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with one document of each group, the one with the smallest id.
 
-    Repeated rows of an id come down to one; rows with a null id stay. All columns are kept as they are.
+    Rows of an id with the same text come down to one; different texts of a kept id stay, as do rows with a
+    null id. All columns are kept as they are.
     """
     keep = groups(docs, n, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
+    order = Window.partitionBy("doc_id", "text").orderBy("text", *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")])
     ranked = docs.where("doc_id IS NOT NULL").withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
     single = ranked.join(keep, ranked["doc_id"] == keep["__id"], "left_semi")
     return single.unionByName(docs.where("doc_id IS NULL"))

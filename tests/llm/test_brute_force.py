@@ -5,6 +5,7 @@ import random
 import zlib
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -24,8 +25,6 @@ def test_minhash_groups(docs, generated_docs, monkeypatch, n, percent, block):
 
 
 def test_b_bit_estimate():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     low = rng.integers(0, 1 << minhash.BITS, (2, minhash.HASHES)).astype(np.uint64)
     words = minhash.packed(low)
@@ -33,6 +32,44 @@ def test_b_bit_estimate():
     assert minhash.similarity(np.array([minhash.HASHES]))[0] == 1
 
 
+def test_minhash_links_all_texts_of_one_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    first, second = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    table = [(0, second + " new"), (1, first), (1, second), (1, first), (4, first + " new"), (6, "some other text of few words")]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.groups(docs).collect()}
+    assert got == {(0, 0, True), (1, 0, False), (4, 0, False), (6, 6, True)}
+    apart = spark.createDataFrame(table[1:3] + table[1:2], "doc_id bigint, text string")
+    assert sorted(r.text for r in minhash.deduplicate(apart).collect()) == sorted([first, second])
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_minhash_connects_groups_around_several_centres(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", block)
+    words = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(40):
+        texts.append(" ".join(words))
+        words[(i * 37) % 120] = f"x{i}"
+    expected = brute.groups(list(enumerate(texts)), 5, 80)
+    got = minhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == expected
+    assert len(set(expected.values())) < 40
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_random_links(spark, seed):
+    rng = np.random.default_rng(seed)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 150, (100, 2))] + [(200 + i, 199 + (i * 7) % 50) for i in range(50)]
+    root = {x: x for pair in links for x in pair}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    assert sorted((r.id, r.root) for r in got) == sorted((x, root[x]) for x in linked)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = {r.id: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
@@ -143,8 +180,6 @@ def test_language_held_out(spark):
 
 def test_gradients_of_the_network():
     """Backpropagation through time against differences."""
-    import numpy as np
-
     rng = np.random.default_rng(2)
     n, steps, batch = langid.HIDDEN, 5, 3
     d = langid.Direction(*(rng.normal(0, 0.5, s) for s in ((257, 3 * n), (2 * n, n), (n, n), (2, n))))
