@@ -1,6 +1,7 @@
 """Cases where an operator once did less than its whole job."""
 
 import math
+import random
 
 import brute
 import corpus_pipeline
@@ -79,3 +80,37 @@ def test_word_grams_of_quality(spark, generated_docs):
         words = brute.words(text)
         expected = -len(words) * math.log(plain.perplexity(words))
         assert got[i].bytes == len(text.encode()) and got[i].log_p / ngrams.UNIT == pytest.approx(expected, rel=1e-3)
+
+
+def test_links_in_large_groups_of_lines(spark, tmp_path, monkeypatch):
+    """Groups of near copies are sent as members, not as one row for each of their pairs; long lines have wide masks."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    lines = []
+    for size, copies in ((20, 60), (30, 50), (130, 25), (220, 25)):
+        base = rng.sample(words, size)
+        for _ in range(copies):
+            line = list(base)
+            for k in rng.sample(range(size), size // 20):
+                line[k] = rng.choice(words)
+            lines.append(" ".join(line))
+    lines += [" ".join(rng.sample(words, rng.choice((12, 100, 200)))) for _ in range(40)]
+    docs = list(enumerate(lines))
+    spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    sets = [frozenset(x.split()) for x in lines]
+    first = {t: i for i, t in reversed(list(enumerate(sets)))}
+    expected = {i: (first[t], sum(brute.similar(t, other, 80) for other in first) - 1) for i, t in enumerate(sets)}
+    removed, _ = brute.removed_lines(docs)
+    seen = []
+    whole = similar_lines.verified
+    monkeypatch.setattr(similar_lines, "verified", lambda d, pairs, members=None: seen.append((pairs.count(), members.count())) or whole(d, pairs, members))
+    monkeypatch.setattr(similar_lines, "HEAVY", 1 << 20)
+    monkeypatch.setattr(similar_lines, "DENSE", 1)
+    monkeypatch.setattr(similar_lines, "BLOCK", 16)
+    monkeypatch.setattr(similar_lines, "TILE_PAIRS", 64)
+    monkeypatch.setattr(similar_lines, "COMPARED", 1 << 12)
+    got = {r.doc_id: r for r in similar_lines.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert {i: (r.lines[0].class_doc, r.lines[0].n_links) for i, r in got.items()} == expected
+    assert {i for i, r in got.items() if r.removed} == set(removed)
+    pairs, members = seen[0]
+    assert members and pairs < sum(n for _, n in expected.values()) / 2
