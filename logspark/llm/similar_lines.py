@@ -59,7 +59,7 @@ BLOCK = 256
 COMPARED = 1 << 20
 RUN_SETS = 1 << 12
 #: Bytes of text whose postings are packed together.
-PACK_BYTES = 8 << 20
+PACK_BYTES = 4 << 20
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -194,9 +194,10 @@ def packed(rows: dict[str, np.ndarray], key: np.ndarray, place: np.ndarray, hold
     shard = key % np.uint32(shards)
     order = np.argsort(shard, kind="stable")
     found, first = np.unique(shard[order], return_index=True)
-    columns = {"key": key, "place": place, "same": rows["d1"][holder] >> U64(32)}
-    columns |= {c: rows[c][holder] for c in POSTING if c not in columns}
-    columns = {c: columns[c][order].astype(kind) for c, kind in POSTING.items()}
+    rows = {**rows, "same": rows["d1"] >> U64(32)}
+    rows = {c: rows[c].astype(kind) for c, kind in POSTING.items() if c in rows}
+    holder = holder[order]
+    columns = {c: {"key": key, "place": place}[c][order].astype(kind) if c in ("key", "place") else rows[c][holder] for c, kind in POSTING.items()}
     loads = [load_of({c: v[a:b] for c, v in columns.items()}) for a, b in zip(first, np.r_[first[1:], len(order)])]
     empty = [pa.nulls(len(loads), k) for k in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())]
     return pa.RecordBatch.from_arrays([*empty, pa.array(found.astype(np.int32)), pa.array(loads, pa.binary())], names)
