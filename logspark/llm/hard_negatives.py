@@ -18,9 +18,10 @@ smallest by label and vector takes part. An anchor without positives, or a posit
 row. A vector of zeros scores 0 with all. An empty table gives no row; other columns are ignored. Scaled components so
 large that scores could pass 2**53 are an error, because scores must stay exact.
 
-Scale: chunks and blocks of at most some ``BLOCK`` anchors of one cluster are rows; every block meets every chunk by an equality
-join on the chunk, so tasks are alike whatever the labels or clusters; what a walk has found is cut to the best per
-anchor before it is merged. No vector reaches the driver but those of the fit.
+Scale: chunks and blocks of at most some ``BLOCK`` anchors of one cluster are rows. Chunks are dealt to at most ``SHARDS`` shards
+and blocks to groups of some ``GROUP``; a task reads the blocks of a group, then the chunks of a shard one by one, so
+a block is sent once to each shard, a chunk once to each group, and never once for each pair. What an anchor has found carries over
+from chunk to chunk of a shard, ends later walks, and leaves the task as the best ``k`` only. No vector reaches the driver but those of the fit.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ CHUNK = 4096
 BLOCK = 1024
 HEAD = 256
 STEP = 256
+SHARDS = 64
+GROUP = 128
 SLACK = 1e-6
 #: Limits of what an unbounded search looks for; scores lie far within.
 LOWEST, HIGHEST = -(1 << 60), 1 << 60
@@ -62,6 +65,17 @@ def rows_of(vectors: DataFrame, vec: str, id_col: str, label: str, scale: int) -
     return kept.groupBy("id").agg(F.min(F.struct("label", "x")).alias("row")).select("id", "row.*")
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers in 16 or 32 bits."""
+    return x.astype("<i2" if np.abs(x).max(initial=0) < 1 << 15 else "<i4").tobytes()
+
+
+def unpacked(load: pa.Buffer | bytes, rows: int, width: int) -> np.ndarray:
+    """The vectors of ``packed`` in floating point."""
+    size = len(memoryview(load)) // max(rows * width, 1)
+    return np.frombuffer(load, "<i2" if size == 2 else "<i4").reshape(rows, width).astype(float)
+
+
 def chunks(rows: DataFrame) -> DataFrame:
     """``(chunk, ids, labels, x)``: up to CHUNK rows with their vectors as one binary value."""
     label = rows.schema["label"].dataType.simpleString()
@@ -77,7 +91,7 @@ def chunks(rows: DataFrame) -> DataFrame:
             ends = pa.array([0, len(table)], pa.int32())
             lists = [pa.ListArray.from_arrays(ends, table[c].combine_chunks()) for c in ("id", "label")]
             held.clear()
-            return pa.RecordBatch.from_arrays([*lists, pa.array([x.astype("<i4").tobytes()], pa.binary())], ["ids", "labels", "x"])
+            return pa.RecordBatch.from_arrays([*lists, pa.array([packed(x)], pa.binary())], ["ids", "labels", "x"])
 
         for batch in batches:
             while batch.num_rows:
@@ -88,13 +102,14 @@ def chunks(rows: DataFrame) -> DataFrame:
         if held:
             yield made()
 
-    packed = rows.mapInArrow(run, f"ids array<bigint>, labels array<{label}>, x binary")
-    return stored(packed.withColumn("chunk", F.monotonically_increasing_id()), "candidate-chunks")
+    made_ = rows.mapInArrow(run, f"ids array<bigint>, labels array<{label}>, x binary")
+    return stored(made_.withColumn("chunk", F.monotonically_increasing_id()), "candidate-chunks")
 
 
 def centroids(anchors: DataFrame) -> np.ndarray:
     """Unit vectors fitted by spherical k-means on a bounded sample, the anchors with the smallest hash of the id."""
-    sample = anchors.orderBy(F.xxhash64("id"), "id").limit(FIT_ANCHORS).select("x").collect()
+    ids = anchors.select("id").orderBy(F.xxhash64("id"), "id").limit(FIT_ANCHORS)  # tasks send their smallest ids, not vectors
+    sample = anchors.join(F.broadcast(ids), "id").select("x").collect()
     x = np.array([r.x for r in sample], float)
     x /= np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
     centre = np.unique(x, axis=0)
@@ -155,10 +170,14 @@ class Wants:
     k: int
     computed: int = field(default=0, init=False)
 
+    def __post_init__(self) -> None:
+        """What was found on the lists so far, and the score and id of the k-th of each want."""
+        self.limit, self.tie = self.low.astype(float), np.full(len(self.low), np.iinfo(np.int64).max)
+        self.found = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
     def walk(self, rows: List, x: np.ndarray, ids: np.ndarray, labels: np.ndarray, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places among the wants, scores and ids found on the list before ``stop``."""
-        limit, tie = self.low.astype(float), np.full(len(self.low), np.iinfo(np.int64).max)
-        found = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        """Places among the wants, scores and ids found on the list before ``stop`` and on earlier lists."""
+        limit, tie, found = self.limit, self.tie, self.found
         open_, at = np.flatnonzero(self.low <= self.high), 0
         while at < min(stop, len(rows.ids)):
             open_ = open_[rows.reach(at)[self.member[open_]] >= limit[open_]]
@@ -182,53 +201,79 @@ class Wants:
                 last = order[rank == self.k - 1]
                 limit[merged[0][last]], tie[merged[0][last]] = merged[1][last], merged[2][last]
             at += STEP
+        self.found = found
         return found
 
 
-def meet(anchors: DataFrame, candidates: DataFrame, shards: int, *, same: bool, k: int, head: bool) -> DataFrame:
+def meet(anchors: DataFrame, candidates: DataFrame, shards: int, width: int, *, same: bool, k: int, head: bool) -> DataFrame:
     """``(anchor, j, score, id, rank)``: the first k rows for each want of the anchors ``(id, label, x, cluster, block, wants)``.
 
     With ``head`` only the first rows of each list are looked at.
     """
     members = anchors.groupBy("cluster", "block").agg(F.collect_list(F.struct("id", "label", "x", "wants")).alias("members"))
-    every = members.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = every.join(candidates.withColumn("shard", F.pmod(F.xxhash64("chunk"), F.lit(shards)).cast("int")), "shard")
+    label = anchors.schema["label"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                own = one.column("members").flatten()
-                name = own.type.get_field_index
-                ids, labels = (own.field(name(c)).to_numpy(zero_copy_only=False) for c in ("id", "label"))
-                x = own.field(name("x")).flatten().to_numpy().reshape(len(ids), -1).astype(float)
-                wants = own.field(name("wants"))
-                member = np.repeat(np.arange(len(ids)), wants.value_lengths().to_numpy())
-                wants = wants.flatten()
-                j, low, high = (wants.field(wants.type.get_field_index(c)).to_numpy() for c in ("j", "low", "high"))
-                near, near_labels = (one.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "labels"))
-                rows = List(np.frombuffer(one.column("x")[0].as_buffer(), "<i4").reshape(len(near), -1).astype(float), near, near_labels, x)
-                want, score, found = Wants(member, low, high, same, k).walk(rows, x, ids, labels, HEAD if head else len(near))
+                own = batch.column("members").slice(i, 1).flatten()
+                one = {c: own.field(own.type.get_field_index(c)) for c in ("id", "label", "x", "wants")}
+                wants = one["wants"].flatten()
+                columns = [one["id"], one["label"], one["wants"].value_lengths(), *(wants.field(wants.type.get_field_index(c)) for c in ("j", "low", "high"))]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([packed(one["x"].flatten().to_numpy())], pa.binary())], ["ids", "labels", "n", "j", "low", "high", "x"])
+
+    load = f"ids array<bigint>, labels array<{label}>, n array<int>, j array<int>, low array<bigint>, high array<bigint>, x binary"
+    blocks = stored(members.select("members").mapInArrow(pack, load).withColumn("at", F.monotonically_increasing_id()), "anchor-blocks")
+    groups = -(-blocks.count() // GROUP)
+    # A task sorts few rows: the blocks of its group (kind 0), then the chunks of its shard.
+    left = blocks.select(F.lit(0).alias("kind"), F.pmod(F.xxhash64("at"), F.lit(groups)).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), *[c.split()[0] for c in load.split(", ")])
+    right = candidates.select(F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.pmod(F.xxhash64("chunk"), F.lit(shards)).cast("int").alias("shard"), "ids", "labels", "x")
+    sides = left.unionByName(right, allowMissingColumns=True).repartition("group", "shard").sortWithinPartitions("group", "shard", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for ids, _, _, wants, j in held:
+                want, score, near = wants.found
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[member[want]], pa.int64()), pa.array(j[want], pa.int32()), pa.array(score.astype(np.int64)), pa.array(found, pa.int64())], ["anchor", "j", "score", "id"]
+                    [pa.array(ids[wants.member[want]], pa.int64()), pa.array(j[want], pa.int32()), pa.array(score.astype(np.int64)), pa.array(near, pa.int64())], ["anchor", "j", "score", "id"]
                 )
 
-    found = pairs.select("members", "ids", "labels", "x").mapInArrow(run, "anchor bigint, j int, score bigint, id bigint")
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                kind, *key = (one.column(c)[0].as_py() for c in ("kind", "group", "shard"))
+                if key != place:
+                    yield from found()
+                    place, held = key, []
+                ids, labels = (one.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "labels"))
+                x = unpacked(one.column("x")[0].as_buffer(), len(ids), width)
+                if kind == 0:
+                    n, j, low, high = (one.column(c).flatten().to_numpy().copy() for c in ("n", "j", "low", "high"))
+                    held.append((ids.copy(), labels.copy(), x, Wants(np.repeat(np.arange(len(ids)), n), low, high, same, k), j))
+                    continue
+                for own, own_labels, own_x, wants, _ in held:
+                    wants.walk(List(x, ids, labels, own_x), own_x, own, own_labels, HEAD if head else len(ids))
+        yield from found()
+
+    found = sides.mapInArrow(run, "anchor bigint, j int, score bigint, id bigint")
     order = Window.partitionBy("anchor", "j").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def searched(near: DataFrame, wants: DataFrame, candidates: DataFrame, shards: int, *, same: bool, k: int, name: str) -> DataFrame:
+def searched(near: DataFrame, wants: DataFrame, candidates: DataFrame, shards: int, width: int, *, same: bool, k: int, name: str) -> DataFrame:
     """Two rounds over wants ``(anchor, j, low, high)``: heads of the lists give certain lower limits for the whole walk."""
 
     def armed(rows: DataFrame) -> DataFrame:
         packed = rows.groupBy("anchor").agg(F.collect_list(F.struct("j", "low", "high")).cast(WANTS).alias("wants"))
         return near.join(packed, near["id"] == packed["anchor"]).drop("anchor")
 
-    heads = meet(armed(wants), candidates, shards, same=same, k=k, head=True)
+    heads = meet(armed(wants), candidates, shards, width, same=same, k=k, head=True)
     floors = stored(heads.where(F.col("rank") == k).select("anchor", "j", F.col("score").alias("floor")), f"{name}-floors")
     raised = wants.join(floors, ["anchor", "j"], "left").select("anchor", "j", F.greatest("low", "floor").alias("low"), "high")
-    return stored(meet(armed(raised), candidates, shards, same=same, k=k, head=False), name)
+    return stored(meet(armed(raised), candidates, shards, width, same=same, k=k, head=False), name)
 
 
 def hard_negatives(
@@ -241,15 +286,17 @@ def hard_negatives(
     empty = chosen.limit(0).select(F.col("id").alias("anchor_id"), F.col("id").alias("positive_id"), F.lit(1).alias("rank"), F.col("id").alias("negative_id"), F.col("id").alias("positive_score"), F.col("id").alias("negative_score"))
     if chosen.isEmpty():
         return empty
-    near = stored(clustered(chosen, centroids(chosen)), "anchors")
+    centre = centroids(chosen)
+    width = centre.shape[1]
+    near = stored(clustered(chosen, centre), "anchors")
     candidates = chunks(rows)
-    shards = candidates.count()
+    shards = min(candidates.count(), SHARDS)
     bounds = (F.lit(0).alias("j"), F.lit(LOWEST).cast("bigint").alias("low"), F.lit(HIGHEST).cast("bigint").alias("high"))
-    good = searched(near, near.select(F.col("id").alias("anchor"), *bounds), candidates, shards, same=True, k=positives, name="positives")
+    good = searched(near, near.select(F.col("id").alias("anchor"), *bounds), candidates, shards, width, same=True, k=positives, name="positives")
     good = good.select("anchor", F.col("rank").alias("j"), F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     share = F.col("positive_score") * least
     wants = good.select("anchor", "j", ((share + F.pmod(-share, F.lit(100))) / 100).cast("bigint").alias("low"), F.col("positive_score").alias("high"))
-    bad = searched(near, wants.where("low <= high"), candidates, shards, same=False, k=negatives, name="negatives")
+    bad = searched(near, wants.where("low <= high"), candidates, shards, width, same=False, k=negatives, name="negatives")
     named = bad.select("anchor", "j", "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))
     return good.join(named, ["anchor", "j"]).select(F.col("anchor").alias("anchor_id"), "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 

@@ -93,3 +93,32 @@ def test_walks_end_early():
     for i in range(5):
         all_ = sorted(zip(-(x @ members[i]), ids))[:5]
         assert [(-s, k) for s, k in zip(score[want == i], found[want == i])] == all_
+
+
+def test_blocks_meet_many_chunks(spark, monkeypatch):
+    """A block goes once to a shard, however many chunks that has, and a task sorts blocks and chunks, not their pairs."""
+    for name, size in (("CHUNK", 20), ("HEAD", 8), ("STEP", 4), ("BLOCK", 7), ("CLUSTERS", 3), ("SHARDS", 3), ("GROUP", 2)):
+        monkeypatch.setattr(H, name, size)
+    sent = []
+    frame = type(spark.range(0))
+    whole = frame.mapInArrow
+
+    def counted(self, run, schema, *a, **b):
+        if schema.startswith("anchor bigint"):
+            sent.append(self.count())
+        return whole(self, run, schema, *a, **b)
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    assert check(spark, vectors(400, 9, 4), every=5)
+    chunks, blocks = 400 // 20, 80 / 7
+    assert len(sent) == 4 and max(sent) < blocks * chunks
+
+
+def test_walks_carry_over():
+    """What was found on one list ends the walk of the next and is merged with it."""
+    x = np.array([[9.0, 0], [8, 0], [1, 0], [10, 0], [2, 0], [3, 0]])
+    own, wants = np.array([[1.0, 0]]), H.Wants(np.zeros(1, int), np.array([H.LOWEST]), np.array([H.HIGHEST]), True, 2)
+    for part in (slice(0, 3), slice(3, 6)):
+        ids = np.arange(6)[part]
+        want, score, found = wants.walk(H.List(x[part], ids, np.zeros(3, int), own), own, np.array([-1]), np.zeros(1, int), 3)
+    assert [*want] == [0, 0] and [*score] == [10, 9] and [*found] == [3, 0]
