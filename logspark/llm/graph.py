@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logspark.session import scratch_path
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder for tables that nothing reads afterwards: it is deleted, and shuffle files go as soon as a table is written."""
+    folder, before = scratch_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield folder
+    finally:
+        spark.conf.set(CLEANUP, before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared scratch folder and read back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write to the shared scratch folder, or to one of ``scratch``, and read back: cuts lineage and survives lost executors."""
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

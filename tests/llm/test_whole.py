@@ -114,3 +114,23 @@ def test_links_in_large_groups_of_lines(spark, tmp_path, monkeypatch):
     assert {i for i, r in got.items() if r.removed} == set(removed)
     pairs, members = seen[0]
     assert members and pairs < sum(n for _, n in expected.values()) / 2
+
+
+def test_quality_leaves_no_tables_behind(spark, generated_docs, monkeypatch, tmp_path):
+    """Word grams go in rounds whose tables are deleted; sums are the same as in one round."""
+    from pathlib import Path
+
+    marked = [(i, "en", 0 if i % 3 else 1, t) for i, t in [*generated_docs, (61, " \n"), (62, None)]]
+    docs = spark.createDataFrame([*marked, marked[1]], "doc_id bigint, lang string, role tinyint, text string").repartition(3)
+    once = sorted(map(tuple, ngrams.word_scores(docs).collect()))
+    monkeypatch.setattr(ngrams, "ROUND_BYTES", 1 << 12)
+    monkeypatch.setattr(ngrams, "ROUNDS", 3)
+    monkeypatch.setattr(ngrams, "BLOCK_BYTES", 1 << 12)
+    monkeypatch.setattr(ngrams, "LEAST_WORD_SHARDS", 5)
+    monkeypatch.setattr("logspark.session.shared_dir", lambda _: str(tmp_path))
+    turns = []
+    whole = ngrams.pack_words
+    monkeypatch.setattr(ngrams, "pack_words", lambda rounds, turn, shards: turns.append((rounds, turn)) or whole(rounds, turn, shards))
+    assert sorted(map(tuple, ngrams.word_scores(docs).collect())) == once
+    assert turns == [(3, 0), (3, 1), (3, 2)]
+    assert [p.name.split("-")[0] for p in Path(tmp_path).iterdir()] == ["scores"]
