@@ -11,18 +11,21 @@ from pyspark.sql import functions as F
 
 from logspark.session import scratch_path
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a scratch folder is in use: shuffle files go as soon as a table is written, and Python workers get texts in small batches.
+LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 @contextmanager
 def scratch(spark: SparkSession, name: str) -> Iterator[str]:
-    """A folder for tables that nothing reads afterwards: it is deleted, and shuffle files go as soon as a table is written."""
-    folder, before = scratch_path(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    """A folder for tables that nothing reads afterwards: it is deleted at the end; meanwhile LEAN holds."""
+    folder, before = scratch_path(spark, name), {key: spark.conf.get(key) for key in LEAN}
+    for key, value in LEAN.items():
+        spark.conf.set(key, value)
     try:
         yield folder
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -465,10 +465,11 @@ def pack_words(rounds: int, turn: int, shards: int) -> Callable[[Batches], Batch
                 texts = texts_of(part.column("text"))
                 keys = word_keys(texts, rounds, turn)
                 some = np.diff(texts.bounds) > 0
-                owner = (np.cumsum(some) - 1 + texts_held)[texts.owner].astype(np.int32)
                 own = np.flatnonzero(texts.words % U64(rounds) == turn)
+                number, bounds = (np.cumsum(some) - 1 + texts_held).astype(np.int32), texts.bounds[1:]
                 key = np.concatenate([texts.words[own], *[keys[c] for c in ("vw", "uvw", "v", "uv")]])
-                owner = np.concatenate([owner[own], *[owner[keys["at"]]] * 4])
+                of_own, around = (number[np.searchsorted(bounds, x, side="right")] for x in (own, keys["at"]))
+                owner = np.concatenate([of_own, *[around] * 4])
                 context = np.zeros(len(key), bool)
                 context[len(key) - 2 * len(keys["at"]) :] = True
                 held.append((part.column("t").to_numpy()[some], key, owner, context))
